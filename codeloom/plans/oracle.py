@@ -112,8 +112,8 @@ def regex_symbols_ctes(files: str, prefix: str = "rx") -> str:
   SELECT relative, kind_rank, kind, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM {prefix}_m
 ),
 {prefix}_d AS (
-  SELECT relative, kind || ' ' || name AS sym, min(CAST(kind_rank AS BIGINT) * 1000000000 + i) AS o
-  FROM {prefix}_u GROUP BY relative, kind || ' ' || name
+  SELECT relative, kind, name, kind || ' ' || name AS sym, min(CAST(kind_rank AS BIGINT) * 1000000000 + i) AS o
+  FROM {prefix}_u GROUP BY relative, kind, name
 ),
 {prefix}_s AS (
   SELECT relative, list(sym ORDER BY o) AS syms FROM {prefix}_d GROUP BY relative
@@ -166,3 +166,260 @@ SELECT f.relative,
        {describe_text_sql(syms)} AS text,
        CAST(NULL AS VARCHAR) AS error
 FROM {files} f LEFT JOIN rx_s ON rx_s.relative = f.relative {rjoin}"""
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",".join(c.strip("\n") for c in ctes if c)
+
+
+def symbol_rows_sql(corpus_cte: str, files: str) -> str:
+    return _with(corpus_cte, pattern_values(), regex_symbols_ctes(files)) + """
+SELECT relative, CAST(row_number() OVER (PARTITION BY relative ORDER BY o) AS BIGINT) AS pos, kind, name
+FROM rx_d"""
+
+
+def _rust_rows_cte() -> str:
+    return f"""
+rs_parts AS (
+  SELECT relative, p_partkey, {RUST_SYMBOLS_SQL} AS syms FROM code_blocks WHERE lang = 'rs'
+),
+rs_rows AS (
+  SELECT relative, p_partkey, unnest(syms) AS sym, generate_subscripts(syms, 1) AS j FROM rs_parts
+),
+rs_sym AS (
+  SELECT relative, CAST(row_number() OVER (PARTITION BY relative ORDER BY p_partkey, j) AS BIGINT) AS pos,
+         split_part(sym, ' ', 1) AS kind, substr(sym, strpos(sym, ' ') + 1) AS name
+  FROM rs_rows
+)"""
+
+
+def rust_symbol_rows_sql() -> str:
+    return _with(code_files_cte(["rs"]), _rust_rows_cte()) + "\nSELECT relative, pos, kind, name FROM rs_sym"
+
+
+def _mixed_ctes() -> str:
+    return ",".join([code_files_cte(), config_files_cte(), chat_files_cte(), """
+mixed AS (
+  SELECT relative, content FROM code_files UNION ALL SELECT relative, content FROM config_files
+  UNION ALL SELECT relative, content FROM chat_files
+)"""])
+
+
+def _all_symbol_rows() -> str:
+    return _with(_mixed_ctes(), pattern_values(), regex_symbols_ctes("mixed"), _rust_rows_cte(), """
+all_sym AS (
+  SELECT relative, CAST(row_number() OVER (PARTITION BY relative ORDER BY o) AS BIGINT) AS pos, kind, name
+  FROM rx_d
+  UNION ALL SELECT relative, pos, kind, name FROM rs_sym
+)""")
+
+
+def symbols_all_sql() -> str:
+    return _all_symbol_rows() + "\nSELECT relative, pos, kind, name FROM all_sym"
+
+
+def symbol_distinct_sql() -> str:
+    return _all_symbol_rows() + """
+SELECT relative, kind, CAST(count(*) AS BIGINT) AS n_symbols, CAST(min(pos) AS BIGINT) AS first_pos
+FROM all_sym GROUP BY relative, kind"""
+
+
+def _rust_fn_cte() -> str:
+    return f"""
+rs_fn AS (
+  SELECT relative, p_partkey, {RUST_FN_NAME_SQL} AS name, CAST({RUST_FN_LINES_SQL} AS BIGINT) AS lines,
+         CAST(row_number() OVER (PARTITION BY relative ORDER BY p_partkey) AS BIGINT) AS pos
+  FROM code_blocks WHERE lang = 'rs' AND p_partkey % 4 <> 2
+)"""
+
+
+def function_spans_sql(min_lines: int = 0) -> str:
+    return _with(code_files_cte(["rs"]), _rust_fn_cte()) + f"""
+SELECT relative, pos, name, lines FROM rs_fn WHERE lines >= {min_lines}"""
+
+
+def long_count_sql(threshold: int) -> str:
+    return _with(code_files_cte(["rs"]), _rust_fn_cte()) + f"""
+SELECT relative, CAST(count(*) AS BIGINT) AS n_long FROM rs_fn WHERE lines >= {threshold} GROUP BY relative"""
+
+
+def _long_cte(threshold: int) -> str:
+    return _with(code_files_cte(["rs"]), _rust_fn_cte(), f"""
+lf AS (
+  SELECT f.relative, CAST({LINE_COUNT_SQL.replace('content', 'f.content')} AS BIGINT) AS total_lines,
+         list(struct_pack(p_partkey := r.p_partkey, name := r.name, lines := r.lines) ORDER BY r.p_partkey) AS fns
+  FROM code_files f JOIN rs_fn r ON r.relative = f.relative
+  WHERE r.lines >= {threshold}
+  GROUP BY f.relative, f.content
+)""")
+
+
+def long_files_sql(threshold: int) -> str:
+    return _long_cte(threshold) + """
+SELECT relative, total_lines, CAST(len(fns) AS BIGINT) AS n_long,
+       array_to_string(list_transform(fns, lambda x: x.name), ',') AS names
+FROM lf"""
+
+
+def long_text_sql(threshold: int) -> str:
+    return _long_cte(threshold) + """
+SELECT 1 AS section, relative,
+       relative || ' [' || cast(total_lines as string) || ' lines]' || chr(10)
+       || array_to_string(list_transform(fns, lambda x: '  └── ' || x.name || ': ' || cast(x.lines as string) || ' lines'), chr(10))
+       || chr(10) AS entry
+FROM lf"""
+
+
+def long_json_sql(threshold: int) -> str:
+    nl = "chr(10)"
+    return _long_cte(threshold) + f"""
+SELECT 1 AS section, relative,
+       '  {{' || {nl} || '    "file": ' || to_json(relative) || ',' || {nl} || '    "long_functions": [' || {nl}
+       || array_to_string(list_transform(fns, lambda x: '      {{' || {nl} || '        "lines": ' || cast(x.lines as string)
+            || ',' || {nl} || '        "name": ' || to_json(x.name) || {nl} || '      }}'), ',' || {nl})
+       || {nl} || '    ],' || {nl} || '    "total_lines": ' || cast(total_lines as string) || {nl} || '  }}'
+       || CASE WHEN relative = max(relative) OVER () THEN '' ELSE ',' END AS entry
+FROM lf
+UNION ALL SELECT 0, '', CASE WHEN (SELECT count(*) FROM lf) > 0 THEN '[' ELSE '[]' END
+UNION ALL SELECT 2, '', ']' WHERE (SELECT count(*) FROM lf) > 0"""
+
+
+def xml_attr_sql(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),"
+            f" '\"', '&quot;'), '''', '&apos;')")
+
+
+def long_xml_sql(threshold: int) -> str:
+    nl = "chr(10)"
+    return _long_cte(threshold) + f"""
+SELECT 1 AS section, relative,
+       '  <file path="' || {xml_attr_sql('relative')} || '" total_lines="' || cast(total_lines as string) || '">' || {nl}
+       || array_to_string(list_transform(fns, lambda x: '    <function name="' || {xml_attr_sql('x.name')}
+            || '" lines="' || cast(x.lines as string) || '" />'), {nl})
+       || {nl} || '  </file>' AS entry
+FROM lf
+UNION ALL SELECT 0, '', '<long-functions>'
+UNION ALL SELECT 2, '', '</long-functions>'"""
+
+
+# ------------------------------------------------------------------ scalars
+
+def doc_scalar_sql(expr: str, alias: str) -> str:
+    return _with(doc_files_cte()) + f"\nSELECT relative, {expr} AS {alias} FROM doc_files"
+
+
+def page_scalar_sql(expr: str, alias: str) -> str:
+    return f"SELECT page_id, {expr} AS {alias} FROM pages"
+
+
+LINE_COUNT_SPLIT_SQL = ("CAST(CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10)))"
+                        " - CASE WHEN suffix(content, chr(10)) THEN 1 ELSE 0 END END AS BIGINT)")
+
+
+def head_lines_sql(n: int) -> str:
+    lines = ("CASE WHEN content = '' THEN []::VARCHAR[] WHEN suffix(content, chr(10))"
+             " THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END")
+    return (f"array_to_string(list_slice({lines}, 1, {n}), chr(10))"
+            f" || CASE WHEN len({lines}) > {n} THEN chr(10) || '[...truncated...]' ELSE '' END")
+
+
+UNITS_SQL = "['B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB']"
+
+
+def human_size_expr(b: str) -> str:
+    """The reference's float formula: unit = floor(log2(b)/10) capped, '%.1f'."""
+    i = f"least(CAST(floor(log2({b}) / 10) AS INTEGER), 5)"
+    return (f"CASE WHEN {b} = 0 THEN '0 B' ELSE printf('%.1f', {b} / pow(1024, {i})) || ' ' || {UNITS_SQL}[{i} + 1] END")
+
+
+def human_size_sql() -> str:
+    b = "(CAST(strlen(text) AS BIGINT) * CAST(pow(1024, doc_id % 5) AS BIGINT))"
+    return f"SELECT doc_id, {b} AS bytes, {human_size_expr(b)} AS human FROM documents"
+
+
+def iso_time_sql(seconds: str) -> str:
+    return f"strftime(make_timestamp(CAST({C.EPOCH_2024} + {seconds} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def xml_body_sql(x: str) -> str:
+    esc = f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return f"CASE WHEN contains({x}, ']]>') THEN {esc} ELSE '<![CDATA[' || {x} || ']]>' END"
+
+
+def describe_text_query_sql() -> str:
+    full = ("CASE WHEN len(syms) = 0 THEN 'no symbols' ELSE array_to_string(syms, ', ') END")
+    return _with(code_files_cte(["py", "rs"]), pattern_values(), regex_symbols_ctes("code_files"),
+                 rust_expect_cte()) + f"""
+SELECT f.relative, {describe_text_sql('syms')} AS text, {full} AS full_text
+FROM (SELECT f.relative, coalesce(rs_s.syms, rx_s.syms, []) AS syms FROM code_files f
+      LEFT JOIN rx_s ON rx_s.relative = f.relative LEFT JOIN rs_s ON rs_s.relative = f.relative) f"""
+
+
+def _is_cont(h: str, j: int) -> str:
+    return f"substring({h}, {2 * j - 1}, 1) IN ('8', '9', 'A', 'B')"
+
+
+def byte_truncate_sql(x: str, cap: int = 8000) -> str:
+    """Cut by inspecting the hex of the UTF-8 bytes: the first byte after the cut
+    must not be a continuation byte (10xxxxxx)."""
+    h = f"hex(encode({x}))"
+    k = (f"CASE WHEN NOT {_is_cont(h, cap + 1)} THEN {cap} WHEN NOT {_is_cont(h, cap)} THEN {cap - 1}"
+         f" WHEN NOT {_is_cont(h, cap - 1)} THEN {cap - 2} ELSE {cap - 3} END")
+    return (f"CASE WHEN strlen({x}) > {cap} THEN decode(unhex(substring({h}, 1, 2 * ({k}))))"
+            f" || chr(10) || chr(10) || '[...file truncated...]' ELSE {x} END")
+
+
+PROMPT_SUFFIX_SQL = {"en": "in English", "ru": "по-русски"}
+
+
+def prompt_sql(lang: str) -> str:
+    return (f"md5('Describe the purpose of this ' || relative || ' file in one line (max 20 words) "
+            f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || {byte_truncate_sql('content')})")
+
+
+COMPLETION_BODY_SQL = ("'{\"choices\":[{\"message\":{\"content\":' || CASE event_id % 3"
+                       " WHEN 0 THEN '\"  ' || event_type || ' ' || CAST(user_id AS STRING) || '  \"'"
+                       " WHEN 1 THEN props ELSE 'null' END || '}}]}'")
+
+
+def parse_completion_sql() -> str:
+    v = "json_extract(body, '$.choices[0].message.content')"
+    return f"""SELECT event_id,
+       CASE WHEN json_type({v}) = 'VARCHAR' THEN trim(json_extract_string(body, '$.choices[0].message.content')) END AS text,
+       CASE WHEN json_type({v}) = 'VARCHAR' THEN NULL ELSE 'no content in response' END AS error
+FROM (SELECT event_id, {COMPLETION_BODY_SQL} AS body FROM events)"""
+
+
+def _all_paths_cte() -> str:
+    return ",".join([code_files_cte(), doc_files_cte(), chat_files_cte(), page_files_cte(), config_files_cte(), """
+all_files AS (
+  SELECT path, relative, content, kmax FROM code_files UNION ALL SELECT path, relative, content, kmax FROM doc_files
+  UNION ALL SELECT path, relative, content, kmax FROM chat_files UNION ALL SELECT path, relative, content, kmax FROM page_files
+  UNION ALL SELECT path, relative, content, kmax FROM config_files
+)"""])
+
+
+def lang_tag_sql() -> str:
+    from codeloom.functions.text import FENCE_LANGUAGE
+    ext = "regexp_extract(regexp_extract(relative, '[^/]*$', 0), '^.+\\.([^.]*)$', 1)"
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in FENCE_LANGUAGE.items())
+    return _with(_all_paths_cte()) + f"\nSELECT relative, CASE {ext} {whens} ELSE '' END AS lang FROM all_files"
+
+
+def path_filter_sql(include: str, exclude: str) -> str:
+    cond = f"regexp_matches(relative, {q(include)})"
+    if exclude:
+        cond = f"NOT regexp_matches(relative, {q(exclude)}) AND " + cond
+    return _with(_all_paths_cte()) + f"\nSELECT relative FROM all_files WHERE {cond}"
+
+
+def size_guard_sql(cap: int) -> str:
+    too_big = f"strlen(f.content) > {cap}"
+    return _with(doc_files_cte(), pattern_values(), regex_symbols_ctes("doc_files")) + f"""
+SELECT f.relative,
+       CASE WHEN {too_big} THEN NULL ELSE CAST({LINE_COUNT_SQL.replace('content', 'f.content')} AS BIGINT) END AS total_lines,
+       CAST(CASE WHEN {too_big} THEN 0 ELSE len(coalesce(rx_s.syms, [])) END AS BIGINT) AS n_symbols,
+       CAST(0 AS BIGINT) AS n_functions, CAST(0 AS BIGINT) AS n_long,
+       CASE WHEN {too_big} THEN '[ERROR]' ELSE {describe_text_sql('coalesce(rx_s.syms, [])')} END AS text,
+       CASE WHEN {too_big} THEN '[SKIPPED: file too large (' || cast(strlen(f.content) as string) || ' > {cap})]' END AS error
+FROM doc_files f LEFT JOIN rx_s ON rx_s.relative = f.relative"""

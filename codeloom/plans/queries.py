@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions.patterns import LANGUAGE_PATTERNS
+from codeloom.functions import text as T
+from codeloom.operators import filters as Fl
+from codeloom.operators import long_report as R
 from codeloom.operators import summary as A
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
@@ -19,10 +22,193 @@ def file_summary(spark, sf_dir):
     return A.summary_report(A.file_summary(C.code_files(spark, sf_dir)))
 
 
-def _lang_group_query(exts: tuple[str, ...]):
-    name = "sym_" + exts[0]
+for _exts, _pats in LANGUAGE_PATTERNS:
+    _langs = [e for e in _exts if e in C.CODE_LANGUAGES]
+    if not _langs:
+        continue
 
-    def fn(spark, sf_dir):
-        files = C.code_files(spark, sf_dir, [e for e in exts if e in C.CODE_LANGUAGES])
-        return A.symbol_rows(A.file_summary(files))
-    return name, fn
+    def _make(langs):
+        def fn(spark, sf_dir):
+            return A.symbol_rows(A.file_summary(C.code_files(spark, sf_dir, langs)))
+        return fn
+    query("sym_" + _langs[0], O.symbol_rows_sql(O.code_files_cte(_langs), "code_files"))(_make(_langs))
+
+
+@query("sym_markup", O.symbol_rows_sql("," .join([O.config_files_cte(), O.chat_files_cte().lstrip()]),
+                                       "(SELECT relative, content FROM config_files UNION ALL"
+                                       " SELECT relative, content FROM chat_files)"))
+def sym_markup(spark, sf_dir):
+    """Toml / yaml / json keys and markdown headings."""
+    files = C.config_files(spark, sf_dir).unionByName(C.chat_files(spark, sf_dir))
+    return A.symbol_rows(A.file_summary(files))
+
+
+@query("sym_rust", O.rust_symbol_rows_sql())
+def sym_rust(spark, sf_dir):
+    """Rust items in source order."""
+    return A.symbol_rows(A.file_summary(C.code_files(spark, sf_dir, ["rs"])))
+
+
+@query("symbols_all", O.symbols_all_sql())
+def symbols_all(spark, sf_dir):
+    """Dispatch over every language of the mixed corpus, exploded."""
+    files = C.code_files(spark, sf_dir).unionByName(C.config_files(spark, sf_dir)) \
+        .unionByName(C.chat_files(spark, sf_dir))
+    return A.symbol_rows(A.file_summary(files))
+
+
+@query("symbol_distinct", O.symbol_distinct_sql())
+def symbol_distinct(spark, sf_dir):
+    """A1: distinct symbols per file and kind (first-seen dedupe, counted)."""
+    files = C.code_files(spark, sf_dir).unionByName(C.config_files(spark, sf_dir)) \
+        .unionByName(C.chat_files(spark, sf_dir))
+    rows = A.symbol_rows(A.file_summary(files))
+    return rows.groupBy("relative", "kind").agg(F.count("*").cast("bigint").alias("n_symbols"),
+                                                F.min("pos").cast("bigint").alias("first_pos"))
+
+
+@query("function_spans", O.function_spans_sql())
+def function_spans(spark, sf_dir):
+    """(relative, pos, name, lines) for every Rust function with a body."""
+    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir, ["rs"])))
+
+
+@query("long_functions", O.function_spans_sql(min_lines=20))
+def long_functions_q(spark, sf_dir):
+    """Functions of at least 20 lines."""
+    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir, ["rs"]))).filter(F.col("lines") >= 20)
+
+
+@query("long_count_per_file", O.long_count_sql(20))
+def long_count_per_file(spark, sf_dir):
+    """A4: '(long: N)' per file."""
+    return A.long_count_per_file(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+
+
+@query("long_files", O.long_files_sql(35))
+def long_files(spark, sf_dir):
+    """Files keeping at least one function >= threshold (35), with their long list."""
+    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 35)
+    return rep.select("relative", "total_lines", F.size("long").cast("bigint").alias("n_long"),
+                      F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
+
+
+@query("long_text", O.long_text_sql(20))
+def long_text(spark, sf_dir):
+    """D8."""
+    return R.long_text(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+
+
+@query("long_json", O.long_json_sql(30))
+def long_json(spark, sf_dir):
+    """D9."""
+    return R.long_json(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 30)
+
+
+@query("long_xml", O.long_xml_sql(40))
+def long_xml(spark, sf_dir):
+    """D10."""
+    return R.long_xml(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 40)
+
+
+# ---------------------------------------------------------------- P (scalars over documents)
+
+def _docs(spark, sf_dir):
+    return C.doc_files(spark, sf_dir)
+
+
+@query("file_ext", O.doc_scalar_sql("regexp_extract(relative, '[^.]*$', 0)", "ext"))
+def file_ext(spark, sf_dir):
+    return _docs(spark, sf_dir).select("relative", T.file_ext("relative").alias("ext"))
+
+
+@query("lang_tag", O.lang_tag_sql())
+def lang_tag(spark, sf_dir):
+    """P2 over every corpus path."""
+    files = C.all_files(spark, sf_dir)
+    return files.select("relative", T.lang_tag("relative").alias("lang"))
+
+
+@query("line_count", O.doc_scalar_sql(O.LINE_COUNT_SPLIT_SQL, "total_lines"))
+def line_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("relative", T.line_count("content").alias("total_lines"))
+
+
+@query("head_lines", O.doc_scalar_sql(O.head_lines_sql(3), "head"))
+def head_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("relative", T.head_lines("content", 3).alias("head"))
+
+
+@query("human_size", O.human_size_sql())
+def human_size(spark, sf_dir):
+    """P5 over document sizes scaled by 1024^(doc_id % 5) to reach every unit."""
+    docs = C.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = (F.octet_length("text").cast("bigint") * F.pow(F.lit(1024), F.col("doc_id") % 5).cast("bigint"))
+    return docs.select("doc_id", b.alias("bytes"), T.human_size(b).alias("human"))
+
+
+@query("iso_time", O.doc_scalar_sql(O.iso_time_sql("kmax"), "modified"))
+def iso_time(spark, sf_dir):
+    return _docs(spark, sf_dir).select("relative", T.iso_time("mtime").alias("modified"))
+
+
+@query("xml_attr_escape", O.page_scalar_sql(O.xml_attr_sql("url"), "attr"))
+def xml_attr_escape(spark, sf_dir):
+    pages = C.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", T.xml_attr_escape("url").alias("attr"))
+
+
+@query("xml_body", O.page_scalar_sql(O.xml_body_sql("html"), "body"))
+def xml_body(spark, sf_dir):
+    pages = C.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", T.xml_body("html").alias("body"))
+
+
+@query("describe_text", O.describe_text_query_sql())
+def describe_text(spark, sf_dir):
+    """First ten symbols plus an ellipsis, and the untruncated variant."""
+    desc = A.file_summary(C.code_files(spark, sf_dir, ["py", "rs"]))
+    return desc.select("relative", "text", T.describe_text("symbols", no_truncate=True).alias("full_text"))
+
+
+@query("byte_truncate", O.doc_scalar_sql(O.byte_truncate_sql("content"), "truncated"))
+def byte_truncate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("relative", T.byte_truncate("content").alias("truncated"))
+
+
+@query("build_prompt", O.doc_scalar_sql(O.prompt_sql("en"), "prompt_md5"))
+def build_prompt(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "relative", F.md5(T.build_prompt("relative", "content", "en")).alias("prompt_md5"))
+
+
+@query("parse_completion", O.parse_completion_sql())
+def parse_completion(spark, sf_dir):
+    """P13 over completion bodies rendered from events (string, object or null content)."""
+    ev = C.read_table(spark, sf_dir, "events")
+    body = F.expr(O.COMPLETION_BODY_SQL)
+    return ev.select("event_id", body.alias("body")).select(
+        "event_id", T.completion_text("body").alias("text"), T.completion_error("body").alias("error"))
+
+
+# ---------------------------------------------------------------- F (filters)
+
+@query("include_filter", O.path_filter_sql(r"\.(rs|md)$", ""))
+def include_filter(spark, sf_dir):
+    return Fl.select_paths(C.all_files(spark, sf_dir), r"\.(rs|md)$", "").select("relative")
+
+
+@query("exclude_filter", O.path_filter_sql(r".", r"chunk1|src1/|\.json$"))
+def exclude_filter(spark, sf_dir):
+    return Fl.select_paths(C.all_files(spark, sf_dir), r".", r"chunk1|src1/|\.json$").select("relative")
+
+
+@query("default_filter", O.path_filter_sql(Fl.DEFAULT_INCLUDE_PATTERN, Fl.DEFAULT_EXCLUDE_PATTERN))
+def default_filter(spark, sf_dir):
+    return Fl.select_paths(C.all_files(spark, sf_dir)).select("relative")
+
+
+@query("size_guard", O.size_guard_sql(8000))
+def size_guard(spark, sf_dir):
+    """descriptions of documents with a size cap of 8000 bytes."""
+    return A.summary_report(A.file_summary(_docs(spark, sf_dir), A.PatternConfig(max_file_size=8000)))
