@@ -423,3 +423,74 @@ SELECT f.relative,
        CASE WHEN {too_big} THEN '[ERROR]' ELSE {describe_text_sql('coalesce(rx_s.syms, [])')} END AS text,
        CASE WHEN {too_big} THEN '[SKIPPED: file too large (' || cast(strlen(f.content) as string) || ' > {cap})]' END AS error
 FROM doc_files f LEFT JOIN rx_s ON rx_s.relative = f.relative"""
+
+
+# ------------------------------------------------------------------ dump
+
+def _dump_base(files_cte: str, files: str, max_size: int | None, max_lines: int | None) -> str:
+    size = "CAST(strlen(content) AS BIGINT)"
+    chain = f"CASE WHEN {size} = 0 THEN '[EMPTY FILE]'"
+    if max_size is not None:
+        chain += (f" WHEN {size} > {max_size} THEN '[SKIPPED: file size ' || {human_size_expr(size)}"
+                  f" || ' > limit ' || {human_size_expr(str(max_size))} || ']'")
+    chain += " WHEN contains(left(content, 1024), chr(0)) THEN '[BINARY FILE SKIPPED]' END"
+    body = "content" if max_lines is None else head_lines_sql(max_lines)
+    return _with(files_cte) + f""",
+st AS (
+  SELECT relative, {size} AS size, kmax, {chain} AS reason, {body} AS body FROM {files}
+)"""
+
+
+def _nl_missing(x: str) -> str:
+    return f"CASE WHEN suffix({x}, chr(10)) THEN '' ELSE chr(10) END"
+
+
+def dump_plain_sql(max_size: int | None, detailed: bool) -> str:
+    head = "'==== File: ' || relative || ' ===='"
+    if detailed:
+        head = (f"'==== File: ' || relative || ' (size: ' || {human_size_expr('size')} || ', modified: '"
+                f" || {iso_time_sql('kmax')} || ') ===='")
+    return _dump_base(doc_files_cte(), "doc_files", max_size, None) + f"""
+SELECT 1 AS section, relative,
+       CASE WHEN reason IS NULL THEN {head} || chr(10) || body || {_nl_missing('body')}
+            ELSE {head} || chr(10) || reason || chr(10) END AS entry
+FROM st"""
+
+
+def dump_markdown_sql(max_size: int | None, max_lines: int | None, detailed: bool) -> str:
+    from codeloom.functions.text import FENCE_LANGUAGE
+    head = "'## `' || relative || '`' || chr(10) || chr(10)"
+    if detailed:
+        head += (f" || chr(10) || '*Size: ' || {human_size_expr('size')} || '*, *Modified: '"
+                 f" || {iso_time_sql('kmax')} || '*' || chr(10) || chr(10) || chr(10)")
+    ext = "regexp_extract(regexp_extract(relative, '[^/]*$', 0), '^.+\\.([^.]*)$', 1)"
+    lang = "CASE " + ext + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in FENCE_LANGUAGE.items()) + " ELSE '' END"
+    return _dump_base(doc_files_cte(), "doc_files", max_size, max_lines) + f"""
+SELECT 1 AS section, relative,
+       CASE WHEN reason IS NULL THEN {head} || '```' || {lang} || chr(10) || body || {_nl_missing('body')} || '```' || chr(10)
+            ELSE {head} || '```' || chr(10) || reason || chr(10) || '```' || chr(10) END AS entry
+FROM st"""
+
+
+def dump_xml_sql(max_size: int | None, project: str, generated: str) -> str:
+    path = xml_attr_sql("relative")
+    mt = f"' mtime=\"' || cast({C.EPOCH_2024} + kmax as string) || '\"'"
+    header = ('<?xml version="1.0" encoding="UTF-8"?>' + "' || chr(10) || '" +
+              f'<project name="{project}" generated="{generated}">' + "' || chr(10) || '" + "  <files>")
+    return _dump_base(page_files_cte(), "page_files", max_size, None) + f"""
+SELECT 1 AS section, relative,
+       CASE WHEN reason IS NULL THEN '    <file path="' || {path} || '" size="' || cast(size as string) || '"' || {mt}
+                 || '>' || chr(10) || '      ' || {xml_body_sql('body')} || chr(10) || '    </file>'
+            ELSE '    <file path="' || {path} || '" size="' || cast(size as string) || '"' || {mt}
+                 || ' error="' || {xml_attr_sql('reason')} || '" />' END AS entry
+FROM st
+UNION ALL SELECT 0, '', '{header}'
+UNION ALL SELECT 2, '', '  </files>' || chr(10) || '</project>'"""
+
+
+def dump_status_sql(max_size: int) -> str:
+    return _dump_base(doc_files_cte(), "doc_files", max_size, None) + """
+SELECT relative, CASE WHEN reason IS NULL THEN 'content' WHEN reason = '[EMPTY FILE]' THEN 'empty'
+                      WHEN reason LIKE '[SKIPPED%' THEN 'skipped' ELSE 'binary' END AS status,
+       reason
+FROM st"""

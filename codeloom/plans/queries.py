@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.patterns import LANGUAGE_PATTERNS
 from codeloom.functions import text as T
+from codeloom.operators import dump as D
 from codeloom.operators import filters as Fl
 from codeloom.operators import long_report as R
 from codeloom.operators import summary as A
@@ -212,3 +213,34 @@ def default_filter(spark, sf_dir):
 def size_guard(spark, sf_dir):
     """descriptions of documents with a size cap of 8000 bytes."""
     return A.summary_report(A.file_summary(_docs(spark, sf_dir), A.PatternConfig(max_file_size=8000)))
+
+
+# ---------------------------------------------------------------- D1-D3, F6 (export)
+
+XML_PROJECT, XML_GENERATED = "corpus", "2024-01-01T00:00:00Z"
+
+
+@query("dump_status", O.dump_status_sql(8000))
+def dump_status(spark, sf_dir):
+    """first-match status per document with an 8000-byte limit."""
+    s = D.dump_status(_docs(spark, sf_dir), D.DumpOptions(max_size=8000))
+    return s.select("relative", "status", F.when(F.col("status") != "content", F.col("reason")).alias("reason"))
+
+
+@query("dump_plain", O.dump_plain_sql(16384, True))
+def dump_plain(spark, sf_dir):
+    """Plain export with size/mtime headers and a 16 KiB limit."""
+    return D.dump_plain(_docs(spark, sf_dir), D.DumpOptions(max_size=16384, detailed=True))
+
+
+@query("dump_markdown", O.dump_markdown_sql(50000, 5, True))
+def dump_markdown(spark, sf_dir):
+    """Markdown export, first 5 lines per file, detailed."""
+    return D.dump_markdown(_docs(spark, sf_dir), D.DumpOptions(max_size=50000, max_lines=5, detailed=True))
+
+
+@query("dump_xml", O.dump_xml_sql(20000, XML_PROJECT, XML_GENERATED))
+def dump_xml(spark, sf_dir):
+    """D3: xml export of the web pages with a 20000-byte limit."""
+    return D.dump_xml(C.page_files(spark, sf_dir), D.DumpOptions(max_size=20000),
+                      project_name=XML_PROJECT, generated=XML_GENERATED)
