@@ -494,3 +494,112 @@ SELECT relative, CASE WHEN reason IS NULL THEN 'content' WHEN reason = '[EMPTY F
                       WHEN reason LIKE '[SKIPPED%' THEN 'skipped' ELSE 'binary' END AS status,
        reason
 FROM st"""
+
+
+# ------------------------------------------------------------------ tree
+
+def _tree_ctes() -> str:
+    return _with(_mixed_ctes(), pattern_values(), regex_symbols_ctes("mixed"), rust_expect_cte(), f"""
+descs AS (
+  SELECT f.relative, CAST({LINE_COUNT_SQL.replace('content', 'f.content')} AS BIGINT) AS total_lines,
+         coalesce(rs_s.syms, rx_s.syms, []) AS syms, CAST(coalesce(rs_s.n_long, 0) AS BIGINT) AS n_long
+  FROM mixed f LEFT JOIN rx_s ON rx_s.relative = f.relative LEFT JOIN rs_s ON rs_s.relative = f.relative
+),
+pre AS (
+  SELECT relative, parts, unnest(range(1, len(parts) + 1)) AS k
+  FROM (SELECT relative, string_split(relative, '/') AS parts FROM descs)
+),
+nodes0 AS (
+  SELECT array_to_string(parts[1:k], '/') AS node, any_value(parts[1:k]) AS nparts, any_value(k) AS depth,
+         any_value(parts[k]) AS name, any_value(array_to_string(parts[1:k - 1], '/')) AS parent,
+         bool_or(k < len(parts)) AS has_children, max(CASE WHEN k = len(parts) THEN relative END) AS frel
+  FROM pre GROUP BY 1
+),
+nodes AS (
+  SELECT n.*, d.total_lines, d.syms, d.n_long, d.relative IS NOT NULL AS has_d,
+         {describe_text_sql('d.syms')} AS text,
+         n.name = max(n.name) OVER (PARTITION BY n.parent) AS is_last
+  FROM nodes0 n LEFT JOIN descs d ON d.relative = n.frel
+)""")
+
+
+def tree_nodes_sql() -> str:
+    return _tree_ctes() + """
+SELECT node, parent, name, CAST(depth AS INTEGER) AS depth, has_children,
+       CASE WHEN has_d THEN total_lines END AS total_lines, CASE WHEN has_d THEN text END AS text
+FROM nodes"""
+
+
+def sibling_order_sql() -> str:
+    return _tree_ctes() + "\nSELECT node, parent, is_last FROM nodes"
+
+
+def tree_plain_sql(max_depth: int | None) -> str:
+    keep = f"WHERE n.depth <= {max_depth + 1}" if max_depth is not None else ""
+    extras = ("concat_ws(' ', CASE WHEN n.total_lines IS NOT NULL THEN '[' || cast(n.total_lines as string) || ' lines]' END,"
+              " CASE WHEN n.text <> '' AND n.text <> 'no symbols' THEN '(' || n.text || ')' END,"
+              " CASE WHEN n.n_long > 0 THEN '(long: ' || cast(n.n_long as string) || ')' END)")
+    return _tree_ctes() + f""",
+anc AS (
+  SELECT n.node, i, a.is_last
+  FROM (SELECT node, nparts, unnest(range(1, depth)) AS i FROM nodes) n
+  JOIN nodes a ON a.node = array_to_string(n.nparts[1:i], '/')
+),
+bars AS (
+  SELECT node, string_agg(CASE WHEN is_last THEN '    ' ELSE '│   ' END, '' ORDER BY i) AS prefix FROM anc GROUP BY node
+)
+SELECT n.node, 0 AS phase,
+       coalesce(b.prefix, '') || CASE WHEN n.is_last THEN '└── ' ELSE '├── ' END || n.name
+       || CASE WHEN n.has_d THEN CASE WHEN {extras} = '' THEN '' ELSE ' ' || {extras} END ELSE '/' END AS entry
+FROM nodes n LEFT JOIN bars b ON b.node = n.node {keep}"""
+
+
+def tree_xml_sql(max_depth: int | None) -> str:
+    name = xml_attr_sql("name")
+    full = "CASE WHEN len(syms) = 0 THEN 'no symbols' ELSE array_to_string(syms, ', ') END"
+    trunc = f"depth > {max_depth}" if max_depth is not None else "false"
+    keep = f"WHERE depth <= {max_depth + 1}" if max_depth is not None else ""
+    return _tree_ctes() + f""",
+alln AS (
+  SELECT node, name, depth, has_children, has_d, syms, n_long, total_lines FROM nodes
+  UNION ALL SELECT '', '', 0, true, false, NULL, NULL, NULL
+)
+SELECT node, 0 AS phase,
+       CASE WHEN {trunc} THEN '<file name="' || {name} || '" truncated="true" />'
+            WHEN has_children THEN '<directory name="' || {name} || '">'
+            WHEN has_d THEN '<file name="' || {name} || '" description="' || {xml_attr_sql(full)}
+                 || '" long_functions="' || cast(n_long as string) || '" total_lines="'
+                 || cast(coalesce(total_lines, 0) as string) || '" />'
+            ELSE '<file name="' || {name} || '" />' END AS entry
+FROM alln {keep}
+UNION ALL
+SELECT node, 1, CASE WHEN depth = 0 THEN '</directory>' || chr(10) ELSE '</directory>' END
+FROM alln WHERE has_children AND NOT ({trunc}) {('AND depth <= ' + str(max_depth + 1)) if max_depth is not None else ''}"""
+
+
+def tree_json_sql(max_depth: int | None) -> str:
+    nl = "chr(10)"
+    trunc = f"depth + 1 > {max_depth}" if max_depth is not None else "false"
+    keep = f"WHERE depth + 1 <= {max_depth + 1}" if max_depth is not None else ""
+    i0, i1, i2 = "repeat(' ', depth * 4)", "repeat(' ', depth * 4 + 2)", "repeat(' ', depth * 4 + 4)"
+    comma = "CASE WHEN is_last THEN '' ELSE ',' END"
+    full = "CASE WHEN len(syms) = 0 THEN 'no symbols' ELSE array_to_string(syms, ', ') END"
+    symbols = (f"CASE WHEN len(syms) = 0 THEN {i1} || '\"symbols\": []' ELSE {i1} || '\"symbols\": [' || {nl}"
+               f" || array_to_string(list_transform(syms, lambda s: {i2} || to_json(s)), ',' || {nl})"
+               f" || {nl} || {i1} || ']' END")
+    tail = (f"concat_ws(',' || {nl}, CASE WHEN has_d THEN {i1} || '\"description\": ' || to_json({full}) END,"
+            f" {i1} || '\"name\": ' || to_json(name), CASE WHEN has_d THEN {symbols} END)")
+    return _tree_ctes() + f""",
+alln AS (
+  SELECT node, name, depth, has_children, has_d, syms, is_last FROM nodes
+  UNION ALL SELECT '', '', 0, true, false, NULL, true
+)
+SELECT node, 0 AS phase,
+       CASE WHEN {trunc} THEN {i0} || '{{' || {nl} || {i1} || '"name": ' || to_json(name) || ',' || {nl}
+                 || {i1} || '"truncated": true' || {nl} || {i0} || '}}' || {comma}
+            WHEN has_children THEN {i0} || '{{' || {nl} || {i1} || '"children": ['
+            ELSE {i0} || '{{' || {nl} || {tail} || {nl} || {i0} || '}}' || {comma} END AS entry
+FROM alln {keep}
+UNION ALL
+SELECT node, 1, {i1} || '],' || {nl} || {tail} || {nl} || {i0} || '}}' || {comma}
+FROM alln WHERE has_children AND NOT ({trunc}) {('AND depth + 1 <= ' + str(max_depth + 1)) if max_depth is not None else ''}"""

@@ -10,6 +10,7 @@ from codeloom.operators import dump as D
 from codeloom.operators import filters as Fl
 from codeloom.operators import long_report as R
 from codeloom.operators import summary as A
+from codeloom.operators import tree as Tr
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
 from codeloom.sources import corpora as C
@@ -244,3 +245,61 @@ def dump_xml(spark, sf_dir):
     """D3: xml export of the web pages with a 20000-byte limit."""
     return D.dump_xml(C.page_files(spark, sf_dir), D.DumpOptions(max_size=20000),
                       project_name=XML_PROJECT, generated=XML_GENERATED)
+
+
+# ---------------------------------------------------------------- A3, W2, W4, D4-D7 (tree)
+
+def _mixed_desc(spark, sf_dir):
+    files = C.code_files(spark, sf_dir).unionByName(C.config_files(spark, sf_dir)) \
+        .unionByName(C.chat_files(spark, sf_dir))
+    return A.file_summary(files)
+
+
+@query("tree_nodes", O.tree_nodes_sql())
+def tree_nodes(spark, sf_dir):
+    """A3: distinct directory and file nodes; file nodes carry their description."""
+    n = Tr.tree_nodes(_mixed_desc(spark, sf_dir))
+    return n.select("node", "parent", "name", "depth", "has_children",
+                    F.col("d.total_lines").alias("total_lines"), F.col("d.text").alias("text"))
+
+
+@query("sibling_order", O.sibling_order_sql())
+def sibling_order(spark, sf_dir):
+    """Last child of each directory by byte order."""
+    return Tr.sibling_order(Tr.tree_nodes(_mixed_desc(spark, sf_dir))).select("node", "parent", "is_last")
+
+
+@query("tree_plain", O.tree_plain_sql(None))
+def tree_plain(spark, sf_dir):
+    """Connectors, ancestor bars, [N lines], (text), (long: N)."""
+    return Tr.tree_plain(_mixed_desc(spark, sf_dir))
+
+
+@query("depth_limit", O.tree_plain_sql(1))
+def depth_limit(spark, sf_dir):
+    """W4 (plain rule): levels up to max_depth + 1 with max_depth = 1."""
+    return Tr.tree_plain(_mixed_desc(spark, sf_dir), max_depth=1)
+
+
+@query("tree_xml", O.tree_xml_sql(None))
+def tree_xml(spark, sf_dir):
+    """D6."""
+    return Tr.tree_xml(_mixed_desc(spark, sf_dir))
+
+
+@query("tree_xml_depth", O.tree_xml_sql(2))
+def tree_xml_depth(spark, sf_dir):
+    """D6 + W4 (xml rule): truncated stubs at level max_depth + 1 = 3."""
+    return Tr.tree_xml(_mixed_desc(spark, sf_dir), max_depth=2)
+
+
+@query("tree_json", O.tree_json_sql(None))
+def tree_json(spark, sf_dir):
+    """D5."""
+    return Tr.tree_json(_mixed_desc(spark, sf_dir))
+
+
+@query("tree_json_depth", O.tree_json_sql(3))
+def tree_json_depth(spark, sf_dir):
+    """D5 + W4 (json rule): stubs at JSON depth max_depth + 1."""
+    return Tr.tree_json(_mixed_desc(spark, sf_dir), max_depth=3)
