@@ -603,3 +603,85 @@ FROM alln {keep}
 UNION ALL
 SELECT node, 1, {i1} || '],' || {nl} || {tail} || {nl} || {i0} || '}}' || {comma}
 FROM alln WHERE has_children AND NOT ({trunc}) {('AND depth + 1 <= ' + str(max_depth + 1)) if max_depth is not None else ''}"""
+
+
+# ------------------------------------------------------------------ state (V6) and changes (V7)
+
+def _events_cte() -> str:
+    return f"""
+ev AS (
+  SELECT '/corpus/events/u' || lpad(cast(user_id as string), 4, '0') || '.log' AS path, event_type AS mode,
+         {q(C.PATTERN_PARAMS)} AS params, epoch_us(ts) // 1000 AS mtime_ms, props AS text, event_id
+  FROM events
+),
+first_half AS (SELECT * FROM ev WHERE event_id < (SELECT count(*) FROM events) / 2),
+stored AS (
+  SELECT path, mode, params, arg_max(mtime_ms, event_id) AS mtime_ms, arg_max(text, event_id) AS text
+  FROM first_half GROUP BY path, mode, params
+),
+now AS (SELECT path, max(mtime_ms) AS mtime_ms FROM first_half GROUP BY path),
+hits AS (
+  SELECT s.* FROM stored s JOIN now n ON n.path = s.path AND n.mtime_ms = s.mtime_ms
+  WHERE s.mode = 'click' AND s.params = {q(C.PATTERN_PARAMS)}
+)"""
+
+
+def cache_hits_sql() -> str:
+    return _with(_events_cte()) + "\nSELECT path, mode, mtime_ms, text FROM hits"
+
+
+def cache_misses_sql() -> str:
+    return _with(_events_cte()) + "\nSELECT path, mtime_ms FROM now WHERE path NOT IN (SELECT path FROM hits)"
+
+
+def cache_upsert_sql() -> str:
+    return _with(_events_cte()) + """
+SELECT path, mode, params, arg_max(mtime_ms, event_id) AS mtime_ms, arg_max(text, event_id) AS text
+FROM ev GROUP BY path, mode, params"""
+
+
+def incremental_sql(langs: list[str], cached: bool) -> str:
+    inner = file_summary_sql(code_files_cte(langs), "code_files", with_rust="rs" in langs)
+    flag = "length(relative) % 3 = 1" if cached else "false"
+    return f"SELECT *, {flag} AS from_cache FROM ({inner})"
+
+
+def _snapshots_cte() -> str:
+    return f"""
+docs AS (SELECT doc_id, {C.DOC_RELATIVE_SQL} AS relative, text FROM documents),
+old AS (SELECT relative, text AS content FROM docs WHERE doc_id % 10 <> 0),
+new AS (
+  SELECT relative, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'modified ' || cast(doc_id as string)
+                        ELSE text END AS content
+  FROM docs WHERE doc_id % 10 <> 1
+),
+diff AS (
+  SELECT coalesce(o.relative, n.relative) AS relative,
+         CASE WHEN o.relative IS NULL THEN 'added' WHEN n.relative IS NULL THEN 'removed' ELSE 'modified' END AS status
+  FROM old o FULL OUTER JOIN new n ON o.relative = n.relative
+  WHERE o.relative IS NULL OR n.relative IS NULL OR md5(o.content) <> md5(n.content)
+)"""
+
+
+def snapshot_diff_sql() -> str:
+    return _with(_snapshots_cte()) + "\nSELECT relative, status FROM diff"
+
+
+def _lines_of(tbl: str) -> str:
+    lines = ("CASE WHEN content = '' THEN []::VARCHAR[] WHEN suffix(content, chr(10))"
+             " THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END")
+    return (f"SELECT relative, line, count(*) AS n FROM (SELECT relative, unnest({lines}) AS line FROM {tbl}"
+            f" WHERE relative IN (SELECT relative FROM diff WHERE status = 'modified')) GROUP BY relative, line")
+
+
+def line_changes_sql() -> str:
+    return _with(_snapshots_cte(), f"""
+ol AS ({_lines_of('old')}),
+nl AS ({_lines_of('new')}),
+d AS (
+  SELECT coalesce(ol.relative, nl.relative) AS relative, coalesce(ol.line, nl.line) AS line,
+         coalesce(nl.n, 0) - coalesce(ol.n, 0) AS delta
+  FROM ol FULL OUTER JOIN nl ON ol.relative = nl.relative AND ol.line = nl.line
+)""") + """
+SELECT relative, CASE WHEN delta > 0 THEN '+' ELSE '-' END AS change, line, CAST(abs(delta) AS BIGINT) AS n
+FROM d WHERE delta <> 0"""

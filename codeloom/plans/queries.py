@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.patterns import LANGUAGE_PATTERNS
 from codeloom.functions import text as T
+from codeloom.operators import changes as X
 from codeloom.operators import dump as D
+from codeloom.operators import state as S
 from codeloom.operators import filters as Fl
 from codeloom.operators import long_report as R
 from codeloom.operators import summary as A
@@ -303,3 +305,80 @@ def tree_json(spark, sf_dir):
 def tree_json_depth(spark, sf_dir):
     """D5 + W4 (json rule): stubs at JSON depth max_depth + 1."""
     return Tr.tree_json(_mixed_desc(spark, sf_dir), max_depth=3)
+
+
+# ---------------------------------------------------------------- C1-C5 (incremental state)
+
+V6_COLUMNS = ["path", "mode", "params", "mtime_ms", "text"]
+
+
+def _v6(spark, sf_dir):
+    """(stored results after the first half of the versions, current file mtimes, all versions)."""
+    ev = C.event_versions(spark, sf_dir)
+    half = ev.select((F.count("*") / 2).alias("h")).scalar()
+    first = ev.filter(F.col("event_id") < half)
+    empty = spark.createDataFrame([], "path string, mode string, params string, mtime_ms bigint, text string")
+    stored = S.cache_upsert(empty, first, "event_id")
+    now = first.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
+    return stored, now, ev, half
+
+
+@query("cache_hits", O.cache_hits_sql())
+def cache_hits(spark, sf_dir):
+    """Stored 'click' results that are still valid for the current file version."""
+    stored, now, _, _ = _v6(spark, sf_dir)
+    return S.cache_hits(stored, now, "click", C.PATTERN_PARAMS).select("path", "mode", "mtime_ms", "text")
+
+
+@query("cache_misses", O.cache_misses_sql())
+def cache_misses(spark, sf_dir):
+    """Files that need work for mode 'click' (absent or stale)."""
+    stored, now, _, _ = _v6(spark, sf_dir)
+    return S.cache_misses(now, stored, "click", C.PATTERN_PARAMS).select("path", "mtime_ms")
+
+
+@query("cache_upsert", O.cache_upsert_sql())
+def cache_upsert(spark, sf_dir):
+    """Stored results upserted with the second half of the versions."""
+    stored, _, ev, half = _v6(spark, sf_dir)
+    second = ev.filter(F.col("event_id") >= half)
+    return S.cache_upsert(stored, second, "event_id").select(*V6_COLUMNS)
+
+
+INCR_LANGS = ["rs", "py", "go"]
+
+
+@query("incremental_summary", O.incremental_sql(INCR_LANGS, cached=True))
+def incremental_summary(spark, sf_dir):
+    """C4: a prior run stored results for 2/3 of the files, half of them now stale."""
+    files = C.code_files(spark, sf_dir, INCR_LANGS)
+    prior_desc = A.file_summary(files.filter(F.length("relative") % 3 != 0))
+    cur = S.with_mtime_ms(files).select("path", "mtime_ms", "relative")
+    prior = prior_desc.join(cur, ["path", "relative"]).select(
+        "path", F.lit("pattern").alias("mode"), F.lit(S.pattern_params("", "")).alias("params"),
+        F.when(F.length("relative") % 3 == 1, F.col("mtime_ms")).otherwise(F.col("mtime_ms") - 1000).alias("mtime_ms"),
+        "text", "total_lines", "symbols", "functions")
+    stored = spark.read.parquet(S.write_results(prior, spark, "prior-results"))
+    desc, _ = S.incremental_summary(files, stored)
+    return A.summary_report(desc).join(desc.select("relative", "from_cache"), "relative")
+
+
+@query("cache_refresh", O.incremental_sql(INCR_LANGS, cached=False))
+def cache_refresh(spark, sf_dir):
+    """refresh = start from an empty results table (every file recomputed)."""
+    desc, _ = S.incremental_summary(C.code_files(spark, sf_dir, INCR_LANGS), S.empty_results(spark))
+    return A.summary_report(desc).join(desc.select("relative", "from_cache"), "relative")
+
+
+# ---------------------------------------------------------------- X1, X2 (changes)
+
+@query("snapshot_diff", O.snapshot_diff_sql())
+def snapshot_diff(spark, sf_dir):
+    old, new = C.snapshots(spark, sf_dir)
+    return X.snapshot_diff(old, new)
+
+
+@query("line_changes", O.line_changes_sql())
+def line_changes(spark, sf_dir):
+    old, new = C.snapshots(spark, sf_dir)
+    return X.line_changes(old, new)
