@@ -16,6 +16,7 @@ from codeloom.operators import tree as Tr
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
 from codeloom.sources import corpora as C
+from codeloom.streaming import arrivals as ST
 
 # ---------------------------------------------------------------- A2 / E / N
 
@@ -382,3 +383,25 @@ def snapshot_diff(spark, sf_dir):
 def line_changes(spark, sf_dir):
     old, new = C.snapshots(spark, sf_dir)
     return X.line_changes(old, new)
+
+
+# ---------------------------------------------------------------- T1, T2 (streaming)
+
+@query("stream_summary", O.file_summary_sql(O.code_files_cte(), "code_files", with_rust=True))
+def stream_summary(spark, sf_dir):
+    """The source corpus arrives as one drop per language; descriptions per micro-batch."""
+    files = C.code_files(spark, sf_dir).withColumn("drop", T.file_ext("relative"))
+    drops = ST.stage_drops(files, "drop", "code-drops")
+    schema = spark.read.parquet(drops).schema
+    out = ST.stream_summary(spark, drops, schema, files_per_trigger=3)
+    return A.summary_report(spark.read.parquet(out).drop("batch_id"))
+
+
+@query("stream_latest", O.cache_upsert_sql())
+def stream_latest(spark, sf_dir):
+    """Versions arrive in four drops; the newest version per key survives."""
+    ev = C.event_versions(spark, sf_dir).withColumn("drop", (F.col("event_id") % 4).cast("int"))
+    drops = ST.stage_drops(ev, "drop", "version-drops")
+    schema = spark.read.parquet(drops).schema
+    base = ST.stream_latest(spark, drops, schema, ["path", "mode", "params"], "event_id")
+    return ST.read_latest(spark, base).select(*V6_COLUMNS)
