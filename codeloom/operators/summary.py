@@ -23,8 +23,12 @@ from codeloom.functions.patterns import DEFAULT_REGISTRY, LanguageRegistry, rege
 from codeloom.operators.filters import long_functions, too_large, too_large_message
 from codeloom.operators.rust import rust_items
 
-EMPTY_SYMBOLS = F.array().cast("array<string>")
-EMPTY_FUNCTIONS = F.array().cast("array<struct<name:string,lines:bigint>>")
+def empty_symbols():
+    return F.array().cast("array<string>")
+
+
+def empty_functions():
+    return F.array().cast("array<struct<name:string,lines:bigint>>")
 
 DESCRIPTION_COLUMNS = ["path", "relative", "total_lines", "symbols", "functions", "text", "error", "from_cache"]
 
@@ -48,7 +52,7 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
 def _error_rows(df: DataFrame, message) -> DataFrame:
     return df.select("path", "relative",
                      F.lit(None).cast("bigint").alias("total_lines"),
-                     EMPTY_SYMBOLS.alias("symbols"), EMPTY_FUNCTIONS.alias("functions"),
+                     empty_symbols().alias("symbols"), empty_functions().alias("functions"),
                      F.lit(T.ERROR_TEXT).alias("text"), message.alias("error"),
                      F.lit(False).alias("from_cache"))
 
@@ -67,14 +71,14 @@ def file_summary(files: DataFrame, cfg: PatternConfig = PatternConfig()) -> Data
     other = ok.filter(F.col("_ext") != "rs").select(
         "path", "relative", "total_lines",
         regex_symbols("relative", "_text", cfg.registry).alias("symbols"),
-        EMPTY_FUNCTIONS.alias("functions"))
+        empty_functions().alias("functions"))
 
     rs = ok.filter(F.col("_ext") == "rs")
     items = rust_items(rs.select("path", F.col("_text").alias("content")), cfg.rust_partitions)
     rs_rows = (rs.select("path", "relative", "total_lines").join(items, "path", "left")
                .select("path", "relative", "total_lines",
-                       F.coalesce("symbols", EMPTY_SYMBOLS).alias("symbols"),
-                       F.coalesce("functions", EMPTY_FUNCTIONS).alias("functions")))
+                       F.coalesce("symbols", empty_symbols()).alias("symbols"),
+                       F.coalesce("functions", empty_functions()).alias("functions")))
 
     described = other.unionByName(rs_rows).select(
         "path", "relative", "total_lines", "symbols", "functions",

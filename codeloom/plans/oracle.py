@@ -685,3 +685,48 @@ d AS (
 )""") + """
 SELECT relative, CASE WHEN delta > 0 THEN '+' ELSE '-' END AS change, line, CAST(abs(delta) AS BIGINT) AS n
 FROM d WHERE delta <> 0"""
+
+
+# ------------------------------------------------------------------ describe
+
+def _prompt_expr(lang: str) -> str:
+    return (f"'Describe the purpose of this ' || relative || ' file in one line (max 20 words) "
+            f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || {byte_truncate_sql('content')}")
+
+
+def describe_llm_sql(cap: int) -> str:
+    return _with(doc_files_cte(), f"""
+p AS (SELECT relative, content, {_prompt_expr('en')} AS prompt FROM doc_files),
+h AS (SELECT relative, content, prompt, md5(prompt) AS h FROM p)""") + f"""
+SELECT relative,
+       CASE WHEN strlen(content) > {cap} THEN '[ERROR]'
+            WHEN substr(h, 1, 1) NOT IN ('0','1','2','3','4','5','6','7') THEN 'primary ' || substr(h, 1, 8)
+            WHEN substr(h, 1, 1) = '0' OR substr(h, 2, 1) = 'f' THEN '[ERROR]'
+            ELSE 'fallback ' || cast(strlen(prompt) as string) END AS text,
+       CASE WHEN strlen(content) > {cap} THEN '[SKIPPED: file too large (' || cast(strlen(content) as string) || ' > {cap})]'
+            WHEN substr(h, 1, 1) NOT IN ('0','1','2','3','4','5','6','7') THEN NULL
+            WHEN substr(h, 1, 1) = '0' OR substr(h, 2, 1) = 'f' THEN 'all backends failed' END AS error,
+       CASE WHEN strlen(content) > {cap} THEN NULL
+            WHEN substr(h, 1, 1) NOT IN ('0','1','2','3','4','5','6','7') THEN 'primary'
+            WHEN substr(h, 1, 1) = '0' OR substr(h, 2, 1) = 'f' THEN NULL ELSE 'fallback' END AS backend
+FROM h"""
+
+
+def request_body_sql(model: str) -> str:
+    return _with(doc_files_cte()) + f"""
+SELECT relative, md5(CAST(json_object('max_tokens', 150,
+         'messages', [json_object('content', {_prompt_expr('en')}, 'role', 'user')],
+         'model', {q(model)}, 'temperature', 0.2) AS VARCHAR)) AS body_md5
+FROM doc_files"""
+
+
+def register_language_sql(ext: str, kind: str, pattern: str) -> str:
+    return _with(doc_files_cte(), f"""
+m AS (
+  SELECT relative, regexp_extract_all(content, {q(pattern)}, 1) AS names FROM doc_files
+  WHERE regexp_extract(relative, '[^.]*$', 0) = {q(ext)}
+),
+u AS (SELECT relative, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM m),
+d AS (SELECT relative, name, min(i) AS o FROM u GROUP BY relative, name)""") + f"""
+SELECT relative, CAST(row_number() OVER (PARTITION BY relative ORDER BY o) AS BIGINT) AS pos,
+       {q(kind)} AS kind, name FROM d"""

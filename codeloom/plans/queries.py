@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.patterns import LANGUAGE_PATTERNS
 from codeloom.functions import text as T
 from codeloom.operators import changes as X
+from codeloom.operators import describe as U
 from codeloom.operators import dump as D
 from codeloom.operators import state as S
 from codeloom.operators import filters as Fl
@@ -405,3 +406,59 @@ def stream_latest(spark, sf_dir):
     schema = spark.read.parquet(drops).schema
     base = ST.stream_latest(spark, drops, schema, ["path", "mode", "params"], "event_id")
     return ST.read_latest(spark, base).select(*V6_COLUMNS)
+
+
+# ---------------------------------------------------------------- U1-U3 (describers, languages)
+
+def _stub_primary(body: str) -> tuple[int, str]:
+    """Deterministic stand-in for a model endpoint: fails for half of the prompts."""
+    import hashlib
+    import json
+    prompt = json.loads(body)["messages"][0]["content"]
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()
+    if h[0] in "01234567":
+        return 500, ""
+    return 200, json.dumps({"choices": [{"message": {"content": f"  primary {h[:8]}  "}}]})
+
+
+def _stub_fallback(body: str) -> tuple[int, str]:
+    """Second stand-in: fails or answers with a non-string content for some prompts."""
+    import hashlib
+    import json
+    prompt = json.loads(body)["messages"][0]["content"]
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()
+    if h[0] == "0":
+        return 503, ""
+    if h[1] == "f":
+        return 200, json.dumps({"choices": [{"message": {"content": 42}}]})
+    return 200, json.dumps({"choices": [{"message": {"content": f"fallback {len(prompt.encode('utf-8'))}"}}]})
+
+
+DESCRIBE_CAP = 100_000
+
+
+@query("describe_llm", O.describe_llm_sql(DESCRIBE_CAP))
+def describe_llm(spark, sf_dir):
+    """Two backends tried in order on every document; first usable answer wins."""
+    backends = [U.Backend("primary", "model-a", _stub_primary), U.Backend("fallback", "model-b", _stub_fallback)]
+    out = U.describe_llm(_docs(spark, sf_dir), backends, language="en", max_file_size=DESCRIBE_CAP)
+    return out.select("relative", "text", "error", "backend")
+
+
+@query("request_body", O.request_body_sql("model-a"))
+def request_body(spark, sf_dir):
+    """JSON request body per document (md5 of the exact bytes)."""
+    prompt = T.build_prompt("relative", "content", "en")
+    return _docs(spark, sf_dir).select("relative", F.md5(U.request_body(prompt, "model-a")).alias("body_md5"))
+
+
+REGISTERED = ("log", "lead", r"(?m)^([A-Za-z]+)")
+
+
+@query("register_language", O.register_language_sql(*REGISTERED))
+def register_language(spark, sf_dir):
+    """A language added at run time ('.log' files: the leading word of each line)."""
+    from codeloom.functions.patterns import DEFAULT_REGISTRY
+    reg = DEFAULT_REGISTRY.register(REGISTERED[0], [(REGISTERED[1], REGISTERED[2])])
+    docs = _docs(spark, sf_dir).filter(T.file_ext("relative") == REGISTERED[0])
+    return A.symbol_rows(A.file_summary(docs, A.PatternConfig(registry=reg)))

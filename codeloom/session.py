@@ -40,12 +40,35 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``codeloom`` importable in Python workers (mapInPandas, foreachBatch
+    closures), whatever the driver's working directory: zip it once per
+    application into the shared checkpoint folder and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    os.makedirs(target, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(target, "codeloom"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on; safe to call on a session we did not build."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
