@@ -730,3 +730,28 @@ u AS (SELECT relative, unnest(names) AS name, generate_subscripts(names, 1) AS i
 d AS (SELECT relative, name, min(i) AS o FROM u GROUP BY relative, name)""") + f"""
 SELECT relative, CAST(row_number() OVER (PARTITION BY relative ORDER BY o) AS BIGINT) AS pos,
        {q(kind)} AS kind, name FROM d"""
+
+
+# ------------------------------------------------------------------ sources (S) and ignore rules
+
+def corpus_scan_sql() -> str:
+    return _with(doc_files_cte()) + f"""
+SELECT relative, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS content_md5, false AS is_binary,
+       {LINE_COUNT_SPLIT_SQL} AS total_lines
+FROM doc_files"""
+
+
+def gitignore_sql() -> str:
+    return f"""WITH docs AS (
+  SELECT {C.DOC_RELATIVE_SQL} AS relative, source, lang, doc_id,
+         CAST(substr(source, 4) AS INTEGER) AS n, {C.DOC_EXTS_SQL} AS ext FROM documents
+),
+kept_docs AS (
+  SELECT relative FROM docs
+  WHERE NOT (source = 'src1'
+             OR (source = 'src2' AND lang = 'en' AND ext = 'txt')
+             OR (ext = 'log' AND NOT (n % 3 = 0 AND starts_with(cast(doc_id as string), '1'))))
+)
+SELECT relative FROM kept_docs
+UNION ALL SELECT '.gitignore'
+UNION ALL SELECT DISTINCT source || '/.gitignore' FROM docs WHERE source <> 'src1'"""

@@ -11,12 +11,14 @@ from codeloom.operators import describe as U
 from codeloom.operators import dump as D
 from codeloom.operators import state as S
 from codeloom.operators import filters as Fl
+from codeloom.operators import gitignore as G
 from codeloom.operators import long_report as R
 from codeloom.operators import summary as A
 from codeloom.operators import tree as Tr
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
 from codeloom.sources import corpora as C
+from codeloom.sources import filetree as FT
 from codeloom.streaming import arrivals as ST
 
 # ---------------------------------------------------------------- A2 / E / N
@@ -462,3 +464,35 @@ def register_language(spark, sf_dir):
     reg = DEFAULT_REGISTRY.register(REGISTERED[0], [(REGISTERED[1], REGISTERED[2])])
     docs = _docs(spark, sf_dir).filter(T.file_ext("relative") == REGISTERED[0])
     return A.symbol_rows(A.file_summary(docs, A.PatternConfig(registry=reg)))
+
+
+# ---------------------------------------------------------------- S1-S6 (directory source), F4
+
+@query("corpus_scan", O.corpus_scan_sql())
+def corpus_scan(spark, sf_dir):
+    """The document corpus written out as a directory tree, scanned back."""
+    from codeloom.session import scratch_path
+    root = scratch_path(spark, "doc-tree")
+    FT.export_tree(_docs(spark, sf_dir), root)
+    scanned = FT.scan(spark, root, partition_bytes=1 << 20)
+    return scanned.select("relative", "size", F.md5("content").alias("content_md5"),
+                          T.is_binary("content").alias("is_binary"),
+                          T.line_count(T.as_text_strict("content")).alias("total_lines"))
+
+
+ROOT_IGNORE = "src1/\n/src2/en/*.txt\n# comment\n!src1/keep.md\n"
+
+
+@query("gitignore_filter", O.gitignore_sql())
+def gitignore_filter(spark, sf_dir):
+    """per-source '.gitignore' files (ignore logs, re-include doc_1*.log where the
+    source number is divisible by 3) under a root file ignoring src1/ and /src2/en/*.txt."""
+    docs = _docs(spark, sf_dir).select("relative", "content")
+    src = docs.select(F.split("relative", "/")[0].alias("src")).distinct()
+    per_src = src.select(
+        F.concat("src", F.lit("/.gitignore")).alias("relative"),
+        F.concat(F.lit("*.log\n"), F.when(F.substring("src", 4, 9).cast("int") % 3 == 0,
+                                          F.lit("!doc_1*.log\n")).otherwise(F.lit(""))).alias("content"))
+    root = spark.createDataFrame([(".gitignore", ROOT_IGNORE)], "relative string, content string")
+    files = docs.unionByName(per_src).unionByName(root)
+    return G.gitignore_filter(files).select("relative")
