@@ -3,9 +3,11 @@
 Rust is analysed structurally in the reference (an AST visitor).  Here the same
 facts come from a token stream and window functions, with no UDF:
 
-1. one ``regexp_extract_all`` per file cuts comments, strings, chars,
-   attributes, macro openers, impl headers, item keywords, ``{ } ; [ ]`` and
-   newlines; ``posexplode`` gives (path, pos, tok) rows and ``content`` is dropped;
+1. ``regexp_extract_all`` cuts comments, strings, chars, attributes, macro
+   openers, impl headers, item keywords and ``{ } ; [ ]``; every match also
+   holds the text skipped before its token, so line numbers come from newline
+   counts without newline tokens; ``posexplode`` gives (path, pos, tok) rows
+   and ``content`` is dropped;
 2. running windows over (path, pos): line number, brace depth, bracket depth,
    the last delimiter before each token (its *segment*) and whether a token is
    the first item keyword of its segment (the item *head*);
@@ -36,7 +38,7 @@ SYMBOL_KINDS = ("fn", "struct", "enum", "trait", "type", "const", "impl")
 _LEX_PARTS = [
     r"//[^\n]*+",                                           # line comment (doc: ///)
     r"/\*(?:[^*]++|\*(?!/))*+\*/",                          # block comment
-    r"\b[bc]?r(#*+)\"(?:[^\"]++|\"(?!\1))*+\"\1",           # raw string
+    r"\b[bc]?r(#*+)\"(?:[^\"]++|\"(?!\2))*+\"\2",           # raw string (group 2: hashes)
     r"b?\"(?:[^\"\\]++|\\[\s\S])*+\"",                      # string / byte string
     r"'(?:[^'\\\n]|\\'|\\[^\n']{1,10}+)'",                  # char literal (not a lifetime)
     r"#!?\[[^\]]*+\]",                                      # attribute, inner attribute
@@ -45,9 +47,12 @@ _LEX_PARTS = [
     r"\bconst(?=\s++(?:fn|unsafe|async|extern)\b)",         # const as a modifier
     r"\b(?:" + "|".join(ITEM_KEYWORDS) + r")\s++(?:r#)?\w++",  # item keyword + name
     r"\b(?:pub|async|unsafe|extern)\b",                     # modifiers
-    r"[{};\[\]\n]",
+    r"[{};\[\]]",
 ]
-LEX = "(?Ud)" + "|".join(_LEX_PARTS)
+# Each match is <gap><token>: the lazily skipped text before a token is part of
+# the match, so newlines are counted from the matches themselves and need no
+# tokens of their own.  Group 1 is the token.
+LEX = "(?Ud)(?s:.)*?(" + "|".join(_LEX_PARTS) + ")"
 
 
 def _balanced_angle(depth: int = 4) -> str:
@@ -74,13 +79,19 @@ def impl_name(header: Column) -> Column:
     return F.regexp_replace(h, r"(?U)^\s+|\s+$", "")
 
 
-def _tokens(files: DataFrame) -> DataFrame:
+def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
     t = F.col("t")
-    toks = files.select("path", F.posexplode_outer(
-        F.regexp_extract_all(F.col("content"), F.lit(LEX), F.lit(0))).alias("pos", "t"))
+    full = F.regexp_extract_all(F.col("content"), F.lit(LEX), F.lit(0))
+    tok = F.regexp_extract_all(F.col("content"), F.lit(LEX), F.lit(1))
+    extra = [carry] if carry else []
+    toks = files.select("path", *extra,
+                        F.posexplode_outer(F.arrays_zip(full.alias("m"), tok.alias("t"))).alias("pos", "z"))
+    first_row = F.col("pos").isNull() | (F.col("pos") == 0)
+    toks = toks.select("path", F.coalesce("pos", F.lit(0)).alias("pos"),
+                       *([F.when(first_row, F.col(carry)).alias("_carry")] if carry else []),
+                       F.col("z.m").alias("m"), F.col("z.t").alias("t"))
     is_doc = (t.rlike(r"^///(?!/)") | t.rlike(r"^/\*\*(?![*/])"))
     cls = (F.when(t.isNull(), F.lit("none"))
-           .when(t == "\n", F.lit("nl"))
            .when(t.startswith("//") | t.startswith("/*"), F.when(is_doc, F.lit("doc")).otherwise(F.lit("cmt")))
            .when(t == "{", F.lit("open"))
            .when(t == "}", F.lit("close"))
@@ -99,29 +110,43 @@ def _tokens(files: DataFrame) -> DataFrame:
             .when(cls == "item", F.regexp_extract(t, r"^(\w+)", 1)))
     name = (F.when(cls == "impl", impl_name(t))
             .when(cls == "item", F.regexp_extract(t, r"^\w+\s+((?:r#)?\w+)$", 1)))
-    nl = F.coalesce(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))), F.lit(0))
-    return toks.select("path", "pos", "t", cls.alias("cls"), kind.alias("kind"), name.alias("name"),
-                       nl.alias("nl"))
+    def newlines(c):
+        return F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))), F.lit(0))
+    m = F.col("m")
+    # nl: newlines in gap + token (advances the next token's line); gap_nl: before this token
+    return toks.select("path", "pos", *(["_carry"] if carry else []), "t", cls.alias("cls"),
+                       kind.alias("kind"), name.alias("name"),
+                       newlines(m).alias("nl"), (newlines(m) - newlines(t)).alias("gap_nl"))
 
 
-def rust_items(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str | None = None) -> DataFrame:
     """files(path, content) of Rust sources -> (path, symbols array<string>,
-    functions array<struct<name string, lines bigint>>, parsed boolean)."""
-    src = files.select("path", "content")
-    src = src.repartition(num_partitions, "path") if num_partitions else src.repartition("path")
-    tk = _tokens(src)
+    functions array<struct<name string, lines bigint>>, parsed boolean).
+
+    Rows whose content is null pass through as a single row.  ``carry`` names a
+    column kept (once per file) and returned, so callers need no join back.
+    """
+    src = files.select("path", "content", *([carry] if carry else []))
+    # An explicit partition count: AQE would otherwise coalesce this shuffle by
+    # its (small) byte size, although every byte expands into many token rows.
+    spark = files.sparkSession
+    n = num_partitions or max(spark.sparkContext.defaultParallelism,
+                              int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tk = _tokens(src.repartition(n, "path"), carry).drop("t")
+    keep_carry = F.col("_carry").isNotNull() if carry else F.lit(False)
 
     cls = F.col("cls")
     by_path = Window.partitionBy("path").orderBy("pos")
     prev = by_path.rowsBetween(Window.unboundedPreceding, -1)
 
+    # pass 1 (every token): line numbers, depths, segments, item heads
     is_opener = cls.isin("open", "macro")
     delta = F.when(is_opener, 1).when(cls == "close", -1).otherwise(0)
     bdelta = F.when(cls == "lb", 1).when(cls == "rb", -1).otherwise(0)
     tk = tk.select(
         "*",
         delta.alias("delta"),
-        (F.lit(1) + F.coalesce(F.sum("nl").over(prev), F.lit(0))).alias("line"),
+        (F.lit(1) + F.coalesce(F.sum("nl").over(prev), F.lit(0)) + F.col("gap_nl")).alias("line"),
         F.coalesce(F.sum(delta).over(prev), F.lit(0)).alias("before"),
         F.coalesce(F.sum(bdelta).over(prev), F.lit(0)).alias("bdepth"),
     )
@@ -135,36 +160,47 @@ def rust_items(files: DataFrame, num_partitions: int | None = None) -> DataFrame
     )
     tk = tk.withColumn("is_head", is_kw & (F.col("last_kw").isNull() | (F.col("last_kw") < F.col("seg"))))
 
-    by_seg = Window.partitionBy("path", "seg")
+    # whole-file checks (balanced braces, never below zero), carried on every row
+    whole = Window.partitionBy("path")
+    tk = tk.withColumn("bad", (F.sum("delta").over(whole) != 0)
+                       | (F.min(F.col("before") + F.col("delta")).over(whole) < 0))
+
+    # pass 2 (delimiters and significant tokens): what each segment's head is and where it starts/ends
     significant = cls.isin("doc", "attr", "mod", "str", "chr", "item", "impl")
+    tk = tk.filter(F.col("is_delim") | significant | keep_carry)
+    by_seg = Window.partitionBy("path", "seg")
     tk = tk.select(
         "*",
         F.max(F.when(F.col("is_head"), F.col("kind"))).over(by_seg).alias("seg_kind"),
         F.min(F.when(significant, F.col("line"))).over(by_seg).alias("seg_line"),
+        F.max(F.when(F.col("is_delim"), cls)).over(by_seg).alias("end_cls"),
+        F.max(F.when(F.col("is_delim"), F.col("pos"))).over(by_seg).alias("end_pos"),
     )
 
+    # pass 3 (braces and heads): enclosing block of each head, opener matched by each closer
+    tk = tk.filter(is_opener | (cls == "close") | F.col("is_head") | keep_carry)
     level = F.when(is_opener, F.col("before") + 1).otherwise(F.col("before"))
     tk = tk.withColumn("level", level)
     block_kind = (F.when(cls == "macro", F.lit("macro"))
                   .when(cls == "open", F.coalesce(F.col("seg_kind"), F.lit("block"))))
-    by_level = Window.partitionBy("path", "level").orderBy("pos")
-    by_level_rev = Window.partitionBy("path", "level").orderBy(F.desc("pos"))
+    by_level = Window.partitionBy("path", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     tk = tk.select(
         "*",
-        F.coalesce(F.last(block_kind, ignorenulls=True)
-                   .over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit("file")).alias("encl_kind"),
-        F.last(F.when(cls == "close", F.col("line")), ignorenulls=True)
-        .over(by_level_rev.rowsBetween(Window.unboundedPreceding, -1)).alias("close_line"),
+        F.coalesce(F.last(block_kind, ignorenulls=True).over(by_level), F.lit("file")).alias("encl_kind"),
+        F.last(F.when(is_opener, F.col("pos")), ignorenulls=True).over(by_level).alias("open_pos"),
     )
 
-    tk = tk.select(
-        "*",
-        F.max(F.when(F.col("is_delim"), cls)).over(by_seg).alias("end_cls"),
-        F.max(F.when(F.col("is_delim") & (cls == "open"), F.col("close_line"))).over(by_seg).alias("end_line"),
-    )
+    # pass 4 (macro openers, closers, heads): macro extents and closing lines of bodies
+    tk = tk.filter((cls == "macro") | (cls == "close") | F.col("is_head") | keep_carry)
     macro_delta = (F.when(cls == "macro", 1)
                    .when((cls == "close") & (F.col("encl_kind") == "macro"), -1).otherwise(0))
-    tk = tk.withColumn("in_macro", F.coalesce(F.sum(macro_delta).over(prev), F.lit(0)) > 0)
+    match_key = F.when(cls == "close", F.col("open_pos")).when(F.col("is_head"), F.col("end_pos"))
+    tk = tk.select(
+        "*",
+        (F.coalesce(F.sum(macro_delta).over(prev), F.lit(0)) > 0).alias("in_macro"),
+        match_key.alias("match_key"))
+    tk = tk.withColumn("end_line", F.max(F.when(cls == "close", F.col("line")))
+                       .over(Window.partitionBy("path", "match_key")))
 
     kind = F.col("kind")
     keep = (F.col("is_head") & ~F.col("in_macro") & kind.isin(*SYMBOL_KINDS)
@@ -174,19 +210,20 @@ def rust_items(files: DataFrame, num_partitions: int | None = None) -> DataFrame
     sym = F.when(keep, F.struct(F.col("pos"), F.concat(kind, F.lit(" "), F.col("name")).alias("s")))
     fn = F.when(is_fn, F.struct(F.col("pos"), F.col("name").alias("name"),
                                 (F.col("end_line") - F.col("seg_line") + 1).cast("bigint").alias("lines")))
-    agg = tk.groupBy("path").agg(
+    out = tk.groupBy("path").agg(
         F.array_sort(F.collect_list(sym)).alias("_s"),
         F.array_sort(F.collect_list(fn)).alias("_f"),
-        F.sum("delta").alias("_depth"),
-        F.min(F.col("before") + F.col("delta")).alias("_min_depth"),
-    )
-    parsed = (F.coalesce(F.col("_depth"), F.lit(0)) == 0) & (F.coalesce(F.col("_min_depth"), F.lit(0)) >= 0)
+        F.max("bad").alias("_bad"),
+        *([F.first("_carry", ignorenulls=True).alias(carry)] if carry else []))
+    parsed = ~F.coalesce(F.col("_bad"), F.lit(False))
     empty_s = F.array().cast("array<string>")
     empty_f = F.array().cast("array<struct<name:string,lines:bigint>>")
-    return agg.select(
-        "path",
-        F.when(parsed, F.array_distinct(F.transform("_s", lambda x: x["s"]))).otherwise(empty_s).alias("symbols"),
-        F.when(parsed, F.transform("_f", lambda x: F.struct(x["name"].alias("name"), x["lines"].alias("lines"))))
-        .otherwise(empty_f).alias("functions"),
+    s_list = F.coalesce(F.transform("_s", lambda x: x["s"]), empty_s)
+    f_list = F.coalesce(F.transform("_f", lambda x: F.struct(x["name"].alias("name"), x["lines"].alias("lines"))),
+                        empty_f)
+    return out.select(
+        "path", *([carry] if carry else []),
+        F.when(parsed, F.array_distinct(s_list)).otherwise(empty_s).alias("symbols"),
+        F.when(parsed, f_list).otherwise(empty_f).alias("functions"),
         parsed.alias("parsed"),
     )

@@ -22,6 +22,7 @@ from codeloom.functions import text as T
 from codeloom.functions.patterns import DEFAULT_REGISTRY, LanguageRegistry, regex_symbols
 from codeloom.operators.filters import long_functions, too_large, too_large_message
 from codeloom.operators.rust import rust_items
+from codeloom.sources.tables import spread
 
 def empty_symbols():
     return F.array().cast("array<string>")
@@ -49,43 +50,43 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_text", F.col(content))
 
 
-def _error_rows(df: DataFrame, message) -> DataFrame:
-    return df.select("path", "relative",
-                     F.lit(None).cast("bigint").alias("total_lines"),
-                     empty_symbols().alias("symbols"), empty_functions().alias("functions"),
-                     F.lit(T.ERROR_TEXT).alias("text"), message.alias("error"),
-                     F.lit(False).alias("from_cache"))
-
-
 def file_summary(files: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
-    base = with_text(files)
+    """One scan, one shuffle.  A single projection computes guards, line counts
+    and regex symbols for every file; the shuffle by path then carries that
+    small per-file struct for all files plus the content of Rust files only,
+    which the token job turns into items inside the same partitions."""
+    base = with_text(spread(files))
     big = too_large("size", cfg.max_file_size)
     err = (F.when(big, too_large_message("size", cfg.max_file_size or 0))
            .when(F.col("_text").isNull(), F.lit("unreadable")))
-    base = base.select("path", "relative", "size", "_text", err.alias("_err"),
-                       T.file_ext("relative").alias("_ext"))
-    errors = _error_rows(base.filter(F.col("_err").isNotNull()), F.col("_err"))
-    ok = base.filter(F.col("_err").isNull()).select(
-        "path", "relative", "_ext", "_text", T.line_count("_text").alias("total_lines"))
-
-    other = ok.filter(F.col("_ext") != "rs").select(
-        "path", "relative", "total_lines",
-        regex_symbols("relative", "_text", cfg.registry).alias("symbols"),
-        empty_functions().alias("functions"))
-
-    rs = ok.filter(F.col("_ext") == "rs")
-    items = rust_items(rs.select("path", F.col("_text").alias("content")), cfg.rust_partitions)
-    rs_rows = (rs.select("path", "relative", "total_lines").join(items, "path", "left")
-               .select("path", "relative", "total_lines",
-                       F.coalesce("symbols", empty_symbols()).alias("symbols"),
-                       F.coalesce("functions", empty_functions()).alias("functions")))
-
-    described = other.unionByName(rs_rows).select(
+    ext = T.file_ext("relative")
+    ok = err.isNull()
+    is_rs = ok & (ext == "rs")
+    carry = F.struct(
+        F.col("relative").alias("relative"),
+        err.alias("error"),
+        is_rs.alias("is_rs"),
+        F.when(ok, T.line_count("_text")).alias("total_lines"),
+        F.when(ok & ~is_rs, regex_symbols("relative", "_text", cfg.registry))
+        .otherwise(empty_symbols()).alias("symbols"))
+    rows = base.select("path", carry.alias("c"), F.when(is_rs, F.col("_text")).alias("content"))
+    items = rust_items(rows, cfg.rust_partitions, carry="c")
+    return _finish(items, cfg)
+
+
+def _finish(items: DataFrame, cfg: PatternConfig) -> DataFrame:
+    c = F.col("c")
+    has_err = c["error"].isNotNull()
+    symbols = (F.when(has_err, empty_symbols())
+               .when(c["is_rs"], F.coalesce("symbols", empty_symbols())).otherwise(c["symbols"]))
+    functions = F.when(c["is_rs"] & ~has_err, F.coalesce("functions", empty_functions())).otherwise(empty_functions())
+    out = items.select("path", c["relative"].alias("relative"), c["total_lines"].cast("bigint").alias("total_lines"),
+                       symbols.alias("symbols"), functions.alias("functions"), c["error"].alias("error"))
+    return out.select(
         "path", "relative", "total_lines", "symbols", "functions",
-        T.describe_text("symbols", cfg.no_truncate).alias("text"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(False).alias("from_cache"))
-    return described.unionByName(errors)
+        F.when(F.col("error").isNotNull(), F.lit(T.ERROR_TEXT))
+        .otherwise(T.describe_text("symbols", cfg.no_truncate)).alias("text"),
+        "error", F.lit(False).alias("from_cache"))
 
 
 def summary_report(desc: DataFrame, long_threshold: int = T.LONG_THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.sources.tables import read_table
+from codeloom.sources.tables import parallelism, read_table, spread
 
 NL = "chr(10)"
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
@@ -140,7 +140,7 @@ def code_files(spark: SparkSession, sf_dir: str, languages: list[str] | None = N
     rows = (part.select("*", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
             .select(F.expr(CODE_RELATIVE_SQL).alias("relative"), "p_partkey",
                     F.expr(code_block_sql()).alias("block")))
-    files = rows.groupBy("relative").agg(
+    files = rows.repartition(parallelism(spark), "relative").groupBy("relative").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "block"))),
                                  lambda x: x["block"]), "").alias("content"),
         F.max("p_partkey").alias("kmax"),
@@ -150,7 +150,7 @@ def code_files(spark: SparkSession, sf_dir: str, languages: list[str] | None = N
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: one file per document; text as is."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return _file_table(docs.select(F.expr(DOC_RELATIVE_SQL).alias("relative"), "doc_id",
                                    F.col("text").alias("content")),
                        F.lit(EPOCH_2024) + F.col("doc_id"))
@@ -161,7 +161,7 @@ def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations")
     files = (conv.select(F.expr(CHAT_RELATIVE_SQL).alias("relative"), "conv_id", "turn",
                          F.expr(CHAT_BLOCK_SQL).alias("block"))
-             .groupBy("relative", "conv_id").agg(
+             .repartition(parallelism(spark), "relative").groupBy("relative", "conv_id").agg(
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))),
                                           lambda x: x["block"]), "").alias("content")))
     return _file_table(files, F.lit(EPOCH_2024) + F.col("conv_id"))
@@ -169,7 +169,7 @@ def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: one html file per page under web/<host>/."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = spread(read_table(spark, sf_dir, "pages"))
     return _file_table(pages.select(F.expr(PAGE_RELATIVE_SQL).alias("relative"), "page_id",
                                     F.col("html").alias("content")),
                        F.lit(EPOCH_2024) + F.col("page_id"))

@@ -16,3 +16,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_file_table(spark: SparkSession, path: str) -> DataFrame:
     """A file table stored as parquet (path, relative, size, mtime, content)."""
     return spark.read.parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Repartition to the cluster's parallelism only when ``df`` has fewer partitions.
+
+    Inputs with a single row group come in as one partition; per-row CPU work
+    (regex scans, rendering) would then run in one task.  At scale the input
+    already has far more partitions than cores and this is a no-op.  The
+    explicit count also keeps AQE from coalescing the shuffle by byte size.
+    """
+    n = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
