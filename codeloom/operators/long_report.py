@@ -55,7 +55,8 @@ def long_text(desc: DataFrame, threshold: int = T.LONG_THRESHOLD) -> DataFrame:
 
 def long_json(desc: DataFrame, threshold: int = T.LONG_THRESHOLD) -> DataFrame:
     """Pretty-printed JSON array (2-space indent, keys in sorted order)."""
-    rep = long_report(desc, threshold)
+    # read three times (entries, last file, count): materialise once
+    rep = long_report(desc, threshold).checkpoint(eager=True)
     last = rep.select(F.max("relative")).scalar()
     fn_objs = F.array_join(F.transform("long", lambda f: F.concat(
         F.lit("      {\n        \"lines\": "), f["lines"].cast("string"),

@@ -89,7 +89,8 @@ def _finish(items: DataFrame, cfg: PatternConfig) -> DataFrame:
         "error", F.lit(False).alias("from_cache"))
 
 
-def summary_report(desc: DataFrame, long_threshold: int = T.LONG_THRESHOLD) -> DataFrame:
+def summary_report(desc: DataFrame, long_threshold: int = T.LONG_THRESHOLD,
+                   with_cache_flag: bool = False) -> DataFrame:
     """Scalar view of descriptions (what the correctness check hashes)."""
     return desc.select(
         "relative",
@@ -97,7 +98,7 @@ def summary_report(desc: DataFrame, long_threshold: int = T.LONG_THRESHOLD) -> D
         F.size("symbols").cast("bigint").alias("n_symbols"),
         F.size("functions").cast("bigint").alias("n_functions"),
         F.size(long_functions("functions", long_threshold)).cast("bigint").alias("n_long"),
-        "text", "error",
+        "text", "error", *(["from_cache"] if with_cache_flag else []),
     )
 
 

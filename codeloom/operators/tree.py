@@ -95,9 +95,16 @@ def _extras(no_long_indicator: bool) -> Column:
     return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit(" "), joined))
 
 
+def materialized_nodes(desc: DataFrame) -> DataFrame:
+    """The node table, written once to the shared checkpoint folder: every
+    renderer reads it several times (siblings, ancestors, root, emptiness) and
+    must not recompute the descriptions behind it."""
+    return tree_nodes(desc).checkpoint(eager=True)
+
+
 def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator: bool = False) -> DataFrame:
     """D4 (+W4: levels <= max_depth + 1 are printed)."""
-    nodes = sibling_order(tree_nodes(desc))
+    nodes = sibling_order(materialized_nodes(desc))
     if max_depth is not None:
         nodes = nodes.filter(F.col("depth") <= max_depth + 1)
     ups = F.when(F.col("depth") > 1, F.sequence(F.lit(1), F.col("depth") - 1)).otherwise(F.array().cast("array<int>"))
@@ -121,7 +128,7 @@ def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator:
 
 def tree_xml(desc: DataFrame, max_depth: int | None = None) -> DataFrame:
     """<directory> around children, <file> leaves; level max+1 becomes a truncated stub."""
-    nodes = tree_nodes(desc)
+    nodes = materialized_nodes(desc)
     allnodes = nodes.withColumn("is_last", F.lit(False)).unionByName(_root(nodes))
     if max_depth is not None:
         allnodes = allnodes.filter(F.col("depth") <= max_depth + 1)
@@ -152,7 +159,7 @@ def _indent(n: Column) -> Column:
 
 def tree_json(desc: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Pretty JSON, keys in sorted order; JSON depth = tree level + 1."""
-    base = tree_nodes(desc)
+    base = materialized_nodes(desc)
     nodes = sibling_order(base).unionByName(_root(base))
     jdepth = F.col("depth") + 1
     if max_depth is not None:

@@ -364,14 +364,14 @@ def incremental_summary(spark, sf_dir):
         "text", "total_lines", "symbols", "functions")
     stored = spark.read.parquet(S.write_results(prior, spark, "prior-results"))
     desc, _ = S.incremental_summary(files, stored)
-    return A.summary_report(desc).join(desc.select("relative", "from_cache"), "relative")
+    return A.summary_report(desc, with_cache_flag=True)
 
 
 @query("cache_refresh", O.incremental_sql(INCR_LANGS, cached=False))
 def cache_refresh(spark, sf_dir):
     """refresh = start from an empty results table (every file recomputed)."""
     desc, _ = S.incremental_summary(C.code_files(spark, sf_dir, INCR_LANGS), S.empty_results(spark))
-    return A.summary_report(desc).join(desc.select("relative", "from_cache"), "relative")
+    return A.summary_report(desc, with_cache_flag=True)
 
 
 # ---------------------------------------------------------------- X1, X2 (changes)
