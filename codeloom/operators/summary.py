@@ -122,3 +122,16 @@ def long_count_per_file(desc: DataFrame, threshold: int = T.LONG_THRESHOLD) -> D
     """A4: files with at least one long function and their count."""
     return (desc.select("relative", F.size(long_functions("functions", threshold)).cast("bigint").alias("n_long"))
             .filter(F.col("n_long") > 0))
+
+
+def sort_files(files: DataFrame) -> DataFrame:
+    """Files in byte order of ``relative`` with their 1-based position.
+
+    ``orderBy`` range-partitions the keys (sampled bounds, no single task holds
+    all rows); ``zipWithIndex`` then numbers rows with one extra counting job
+    over the sorted partitions instead of a global window.
+    """
+    ordered = files.select("relative").orderBy("relative")
+    spark = files.sparkSession
+    indexed = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
+    return spark.createDataFrame(indexed, "relative string, position bigint")

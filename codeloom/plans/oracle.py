@@ -755,3 +755,14 @@ kept_docs AS (
 SELECT relative FROM kept_docs
 UNION ALL SELECT '.gitignore'
 UNION ALL SELECT DISTINCT source || '/.gitignore' FROM docs WHERE source <> 'src1'"""
+
+
+def sort_files_sql() -> str:
+    return _with(_all_paths_cte()) + """
+SELECT relative, CAST(row_number() OVER (ORDER BY relative) AS BIGINT) AS position FROM all_files"""
+
+
+def sym_none_sql() -> str:
+    return _with(doc_files_cte()) + """
+SELECT relative, 'no symbols' AS text, CAST(0 AS BIGINT) AS n_symbols FROM doc_files
+WHERE regexp_extract(relative, '[^.]*$', 0) IN ('txt', 'log')"""

@@ -496,3 +496,27 @@ def gitignore_filter(spark, sf_dir):
     root = spark.createDataFrame([(".gitignore", ROOT_IGNORE)], "relative string, content string")
     files = docs.unionByName(per_src).unionByName(root)
     return G.gitignore_filter(files).select("relative")
+
+
+# ---------------------------------------------------------------- W1, E15, N3 (names of the inventory)
+
+@query("sort_files", O.sort_files_sql())
+def sort_files(spark, sf_dir):
+    """Global byte order of every corpus path, as positions."""
+    return A.sort_files(C.all_files(spark, sf_dir))
+
+
+@query("sym_none", O.sym_none_sql())
+def sym_none(spark, sf_dir):
+    """Extensions without patterns describe as 'no symbols'."""
+    docs = _docs(spark, sf_dir).filter(T.file_ext("relative").isin("txt", "log"))
+    return A.summary_report(A.file_summary(docs)).select(
+        "relative", "text", "n_symbols")
+
+
+@query("long_report", O.long_files_sql(20))
+def long_report(spark, sf_dir):
+    """Per file with a function of at least 20 lines: total lines and the long list."""
+    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+    return rep.select("relative", "total_lines", F.size("long").cast("bigint").alias("n_long"),
+                      F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
