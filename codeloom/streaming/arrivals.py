@@ -26,10 +26,10 @@ from codeloom.session import scratch_path
 
 
 def stage_drops(df: DataFrame, drop_col: str, name: str = "drops") -> str:
-    """Writes ``df`` partitioned by ``drop_col`` (one directory per arrival)."""
+    """Writes ``df`` partitioned by ``drop_col``: one directory (and one file) per arrival."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.partitionBy(drop_col).parquet(path)
+    df.repartition(drop_col).write.partitionBy(drop_col).parquet(path)
     return path
 
 
