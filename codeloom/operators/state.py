@@ -99,7 +99,8 @@ def incremental_summary(files: DataFrame, results: DataFrame, cfg: PatternConfig
         T.describe_text("symbols", cfg.no_truncate).alias("text"),
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"))
     todo = f.join(hits.select("path"), "path", "left_anti")
-    fresh = file_summary(todo, cfg)
+    # read twice (descriptions and new results): materialise once
+    fresh = file_summary(todo, cfg).checkpoint(eager=True)
     desc = from_cache.unionByName(fresh)
     stored = fresh.filter(F.col("error").isNull()).join(f.select("path", "mtime_ms"), "path").select(
         "path", F.lit("pattern").alias("mode"), F.lit(params).alias("params"), "mtime_ms", "text",
@@ -112,3 +113,26 @@ def write_results(results: DataFrame, spark: SparkSession, name: str = "results"
     path = scratch_path(spark, name)
     results.write.mode("errorifexists").parquet(path)
     return path
+
+
+def incremental_describe(files: DataFrame, results: DataFrame, backends: list, language: str = "ru",
+                         max_file_size: int | None = T.DEFAULT_MAX_FILE_SIZE,
+                         max_concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """C4 (llm mode): the cache is consulted *before* the size guard; only
+    successful descriptions are stored.  Fresh answers are checkpointed so the
+    backends are called exactly once per miss.  Returns (descriptions, results)."""
+    from codeloom.operators.describe import describe_llm
+    params = llm_params(language, [{"model": b.model, "options": b.options} for b in backends])
+    f = with_mtime_ms(files)
+    hits = cache_hits(results, f, "llm", params)
+    from_cache = hits.join(f.select("path", "relative"), "path").select(
+        "path", "relative", "text", F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("string").alias("backend"), F.lit(True).alias("from_cache"))
+    todo = f.join(hits.select("path"), "path", "left_anti")
+    fresh = describe_llm(todo, backends, language, max_file_size, max_concurrency).checkpoint(eager=True)
+    desc = from_cache.unionByName(fresh.withColumn("from_cache", F.lit(False)))
+    stored = fresh.filter(F.col("error").isNull()).join(f.select("path", "mtime_ms"), "path").select(
+        "path", F.lit("llm").alias("mode"), F.lit(params).alias("params"), "mtime_ms", "text",
+        F.lit(None).cast("bigint").alias("total_lines"), F.array().cast("array<string>").alias("symbols"),
+        F.array().cast("array<struct<name:string,lines:bigint>>").alias("functions"))
+    return desc, cache_upsert(results, stored)

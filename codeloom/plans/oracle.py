@@ -766,3 +766,8 @@ def sym_none_sql() -> str:
     return _with(doc_files_cte()) + """
 SELECT relative, 'no symbols' AS text, CAST(0 AS BIGINT) AS n_symbols FROM doc_files
 WHERE regexp_extract(relative, '[^.]*$', 0) IN ('txt', 'log')"""
+
+
+def incremental_describe_sql(cap: int) -> str:
+    return (f"SELECT relative, text, error, CASE WHEN length(relative) % 4 = 0 AND error IS NULL THEN NULL ELSE backend END"
+            f" AS backend, length(relative) % 4 = 0 AND error IS NULL AS from_cache FROM ({describe_llm_sql(cap)})")

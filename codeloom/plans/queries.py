@@ -520,3 +520,21 @@ def long_report(spark, sf_dir):
     rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
     return rep.select("relative", "total_lines", F.size("long").cast("bigint").alias("n_long"),
                       F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
+
+
+@query("incremental_describe", O.incremental_describe_sql(DESCRIBE_CAP))
+def incremental_describe(spark, sf_dir):
+    """C4 in llm mode: a prior run described the documents with an even path length;
+    half of those are still current, the other half stale."""
+    backends = [U.Backend("primary", "model-a", _stub_primary), U.Backend("fallback", "model-b", _stub_fallback)]
+    docs = _docs(spark, sf_dir)
+    _, prior = S.incremental_describe(docs.filter(F.length("relative") % 2 == 0), S.empty_results(spark),
+                                      backends, "en", DESCRIBE_CAP)
+    cur = S.with_mtime_ms(docs).select("path", "relative")
+    prior = prior.join(cur, "path").select(
+        "path", "mode", "params",
+        F.when(F.length("relative") % 4 == 0, F.col("mtime_ms")).otherwise(F.col("mtime_ms") - 1000).alias("mtime_ms"),
+        "text", "total_lines", "symbols", "functions")
+    stored = spark.read.parquet(S.write_results(prior, spark, "prior-llm-results"))
+    desc, _ = S.incremental_describe(docs, stored, backends, "en", DESCRIBE_CAP)
+    return desc.select("relative", "text", "error", "backend", "from_cache")
