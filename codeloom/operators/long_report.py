@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators.filters import long_functions
+from codeloom.session import materialize
 
 ENTRY_COLUMNS = ["section", "relative", "entry"]
 
@@ -56,7 +57,7 @@ def long_text(desc: DataFrame, threshold: int = T.LONG_THRESHOLD) -> DataFrame:
 def long_json(desc: DataFrame, threshold: int = T.LONG_THRESHOLD) -> DataFrame:
     """Pretty-printed JSON array (2-space indent, keys in sorted order)."""
     # read three times (entries, last file, count): materialise once
-    rep = long_report(desc, threshold).checkpoint(eager=True)
+    rep = materialize(long_report(desc, threshold), "long-report")
     last = rep.select(F.max("relative")).scalar()
     fn_objs = F.array_join(F.transform("long", lambda f: F.concat(
         F.lit("      {\n        \"lines\": "), f["lines"].cast("string"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators.summary import PatternConfig, file_summary
-from codeloom.session import scratch_path
+from codeloom.session import materialize, scratch_path
 
 PATTERN_CACHE_VERSION = 1
 KEY = ["path", "mode", "params"]
@@ -100,7 +100,7 @@ def incremental_summary(files: DataFrame, results: DataFrame, cfg: PatternConfig
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"))
     todo = f.join(hits.select("path"), "path", "left_anti")
     # read twice (descriptions and new results): materialise once
-    fresh = file_summary(todo, cfg).checkpoint(eager=True)
+    fresh = materialize(file_summary(todo, cfg), "fresh-descriptions")
     desc = from_cache.unionByName(fresh)
     stored = fresh.filter(F.col("error").isNull()).join(f.select("path", "mtime_ms"), "path").select(
         "path", F.lit("pattern").alias("mode"), F.lit(params).alias("params"), "mtime_ms", "text",
@@ -129,7 +129,8 @@ def incremental_describe(files: DataFrame, results: DataFrame, backends: list, l
         "path", "relative", "text", F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("string").alias("backend"), F.lit(True).alias("from_cache"))
     todo = f.join(hits.select("path"), "path", "left_anti")
-    fresh = describe_llm(todo, backends, language, max_file_size, max_concurrency).checkpoint(eager=True)
+    fresh = materialize(describe_llm(todo, backends, language, max_file_size, max_concurrency),
+                        "fresh-llm-descriptions")
     desc = from_cache.unionByName(fresh.withColumn("from_cache", F.lit(False)))
     stored = fresh.filter(F.col("error").isNull()).join(f.select("path", "mtime_ms"), "path").select(
         "path", F.lit("llm").alias("mode"), F.lit(params).alias("params"), "mtime_ms", "text",

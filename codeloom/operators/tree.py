@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators.filters import long_functions
+from codeloom.session import materialize
 
 # ---------------------------------------------------------------------------
 # Tree drawing characters and empty-tree messages.
@@ -99,7 +100,7 @@ def materialized_nodes(desc: DataFrame) -> DataFrame:
     """The node table, written once to the shared checkpoint folder: every
     renderer reads it several times (siblings, ancestors, root, emptiness) and
     must not recompute the descriptions behind it."""
-    return tree_nodes(desc).checkpoint(eager=True)
+    return materialize(tree_nodes(desc), "tree-nodes")
 
 
 def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator: bool = False) -> DataFrame:

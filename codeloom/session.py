@@ -91,3 +91,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` once as parquet under the shared checkpoint
+    folder and read it back.  Unlike an eager RDD checkpoint of an unpersisted
+    plan, the upstream work runs exactly once; the table survives executor loss."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
