@@ -407,7 +407,7 @@ def stream_latest(spark, sf_dir):
     drops = ST.stage_drops(ev, "drop", "version-drops")
     schema = spark.read.parquet(drops).schema
     base = ST.stream_latest(spark, drops, schema, ["path", "mode", "params"], "event_id")
-    return ST.read_latest(spark, base).select(*V6_COLUMNS)
+    return ST.read_latest(spark, base, ["path", "mode", "params"], "event_id").select(*V6_COLUMNS)
 
 
 # ---------------------------------------------------------------- U1-U3 (describers, languages)

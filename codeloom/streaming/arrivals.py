@@ -8,10 +8,10 @@ streaming plans do not support:
 * T1 ``stream_summary``: stateless, each micro-batch's descriptions are
   appended under ``out/batch_id=<n>`` (overwrite of that one directory makes
   a replayed batch idempotent).
-* T2 ``stream_latest``: keeps the newest version per key in versioned
-  snapshots ``state/v=<batch_id>``: batch n reads snapshot n-1, upserts and
-  writes snapshot n.  A retried batch rewrites only its own snapshot, never
-  the one it reads, so the job survives executor or driver restarts.
+* T2 ``stream_latest``: a stateful streaming aggregation keeps the newest
+  version per key in the state store; update mode emits only changed keys,
+  written per batch id, so a replayed batch is idempotent and per-batch work
+  does not grow with the state.
 
 Checkpoints and outputs live under ``spark.checkpoint.dir``.
 """
@@ -55,39 +55,37 @@ def stream_summary(spark: SparkSession, drops: str, schema, cfg: PatternConfig =
     return out
 
 
-def latest_by_version(state: DataFrame, batch: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Newest row per key over (state, batch) by ``version`` — deterministic whatever the arrival order."""
-    cols = [c for c in state.columns]
-    rest = [c for c in cols if c not in key]
-    merged = state.select(*cols).unionByName(batch.select(*cols)).groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.col(version)).alias("_r"))
-    return merged.select(*key, *[F.col("_r." + c).alias(c) for c in rest])
-
-
 def stream_latest(spark: SparkSession, drops: str, schema, key: list[str], version: str,
                   files_per_trigger: int = 1) -> str:
-    """Versioned upsert of arriving versions; returns the snapshot base (see ``read_latest``)."""
+    """Newest version per key as a stateful streaming aggregation.
+
+    ``groupBy(key).agg(max_by(row, version))`` keeps one state row per key in
+    the state store (checkpointed with the query); in update mode each
+    micro-batch emits only the keys it changed, which ``foreachBatch`` writes
+    to ``deltas/batch_id=<n>`` (a replayed batch overwrites its own directory).
+    Work per batch is proportional to the batch, not to the whole state.
+    Returns the delta base; ``read_latest`` folds the deltas.
+    """
     base = scratch_path(spark, "stream-latest")
     ckpt = scratch_path(spark, "stream-latest-ckpt")
     cols = [f.name for f in schema.fields if f.name != "drop"]
+    rest = [c for c in cols if c not in key]
+    stream = _read_stream(spark, drops, schema, files_per_trigger).select(*cols)
+    latest = stream.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")) \
+        .select(*key, *[F.col("_r." + c).alias(c) for c in rest])
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*cols)
-        if batch_id == 0:
-            state = batch.sparkSession.createDataFrame([], batch.schema)
-        else:
-            state = batch.sparkSession.read.parquet(f"{base}/v={batch_id - 1}")
-        latest_by_version(state, batch, key, version).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
 
-    q = (_read_stream(spark, drops, schema, files_per_trigger).writeStream
-         .foreachBatch(per_batch).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
+    q = (latest.writeStream.outputMode("update").foreachBatch(per_batch)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return base
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest snapshot written by ``stream_latest``."""
-    snaps = spark.read.parquet(base)
-    newest = snaps.select(F.max("v")).scalar()
-    return snaps.filter(F.col("v") == newest).drop("v")
+def read_latest(spark: SparkSession, base: str, key: list[str], version: str) -> DataFrame:
+    """Fold the emitted deltas: the newest row per key over all batches."""
+    deltas = spark.read.parquet(base).drop("batch_id")
+    rest = [c for c in deltas.columns if c not in key]
+    return deltas.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")) \
+        .select(*key, *[F.col("_r." + c).alias(c) for c in rest])
