@@ -474,7 +474,7 @@ def corpus_scan(spark, sf_dir):
     from codeloom.session import scratch_path
     root = scratch_path(spark, "doc-tree")
     FT.export_tree(_docs(spark, sf_dir), root)
-    scanned = FT.scan(spark, root, partition_bytes=1 << 20)
+    scanned = FT.scan_tree(spark, root)
     return scanned.select("relative", "size", F.md5("content").alias("content_md5"),
                           T.is_binary("content").alias("is_binary"),
                           T.line_count(T.as_text_strict("content")).alias("total_lines"))

@@ -12,6 +12,12 @@ partitions of about ``partitionBytes`` bytes, and executors read the content.
 Spark's ``binaryFile`` source is not used because it silently skips names
 starting with '.' or '_' (``__init__.py``, ``.env``).
 
+``scan_tree`` is the scale path: the listing itself is distributed (one
+executor round per directory level, results written to the checkpoint
+folder), path filters are Spark predicates, and contents are read on
+executors in partitions sized by total bytes.  The data source above keeps
+the listing on the driver and suits trees whose listing fits there.
+
 ``export_tree`` is the inverse: it writes a file table's contents under a
 root directory from the executors (one file per row).
 """
@@ -154,3 +160,102 @@ def export_tree(files: DataFrame, root: str) -> int:
     """Writes each row's content to ``root/relative`` on the executors; returns the file count."""
     out = files.select("relative", "content").mapInPandas(_writer(root), "written bigint")
     return out.agg(F.sum("written")).first()[0] or 0
+
+
+# ---------------------------------------------------------------- distributed scan
+
+LISTING_SCHEMA = "kind string, path string, relative string, size bigint, mtime double, error string"
+
+
+def _list_level(root: str):
+    """Executors: list one directory level (files, links skipped, subdirectories to visit next)."""
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for rel_dir in pdf["relative"]:
+                d = os.path.join(root, rel_dir) if rel_dir else root
+                try:
+                    entries = list(os.scandir(d))
+                except OSError as e:
+                    out.append(("error", d, rel_dir, None, None, str(e)))
+                    continue
+                for e in entries:
+                    rel = f"{rel_dir}/{e.name}" if rel_dir else e.name
+                    try:
+                        if e.is_symlink():
+                            continue
+                        if e.is_dir(follow_symlinks=False):
+                            out.append(("dir", e.path, rel, None, None, None))
+                        elif e.is_file(follow_symlinks=False):
+                            st = e.stat(follow_symlinks=False)
+                            out.append(("file", e.path, rel, st.st_size, st.st_mtime, None))
+                    except OSError as err:
+                        out.append(("file", e.path, rel, None, None, str(err)))
+            yield pd.DataFrame(out, columns=["kind", "path", "relative", "size", "mtime", "error"])
+    return run
+
+
+def list_files(spark: SparkSession, root: str, max_depth: int = 256) -> DataFrame:
+    """S1 metadata: breadth-first listing where every level is listed on the executors.
+
+    The frontier (directories still to list) is a DataFrame repartitioned across
+    the cluster each round; file rows of every level are written under the
+    checkpoint folder, so no listing passes through the driver.  Rounds are
+    bounded by the tree depth.
+    """
+    from codeloom.session import scratch_path
+    from codeloom.sources.tables import parallelism
+    root = os.path.realpath(root)
+    out = scratch_path(spark, "listing")
+    frontier = spark.createDataFrame([("",)], "relative string")
+    n = parallelism(spark)
+    for level in range(max_depth):
+        listed = frontier.repartition(n).mapInPandas(_list_level(root), LISTING_SCHEMA)
+        path = f"{out}/level={level}"
+        listed.write.parquet(path)
+        frontier = spark.read.parquet(path).filter(F.col("kind") == "dir").select("relative")
+        if frontier.isEmpty():
+            break
+    rows = spark.read.parquet(out).filter(F.col("kind") != "dir").drop("level")
+    return rows.select(
+        "path", "relative", "size",
+        F.when(F.col("mtime").isNotNull(), F.timestamp_micros((F.col("mtime") * 1_000_000).cast("bigint")))
+        .alias("mtime"),
+        "error")
+
+
+def _reader(max_size: int | None):
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            contents, errors = [], []
+            for p, size, err in zip(pdf["path"], pdf["size"], pdf["error"]):
+                data = None
+                if err is None and (max_size is None or (size is not None and size <= max_size)):
+                    try:
+                        with open(p, "rb") as fh:
+                            data = fh.read()
+                    except OSError as e:
+                        err = str(e)
+                contents.append(data)
+                errors.append(err)
+            yield pdf.assign(content=contents, error=errors)
+    return run
+
+
+def scan_tree(spark: SparkSession, root: str, include: str | None = None, exclude: str | None = None,
+              max_size: int | None = None, target_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """S1 at scale: distributed listing, path filters as Spark predicates (F1/F2),
+    contents read on executors in partitions of about ``target_bytes``."""
+    from codeloom.operators.filters import exclude_matches, include_matches
+    meta = list_files(spark, root)
+    if exclude:
+        meta = meta.filter(~exclude_matches("relative", exclude))
+    if include:
+        meta = meta.filter(include_matches("relative", include))
+    total = meta.agg(F.sum("size")).first()[0] or 0
+    n = max(1, min(int(total // target_bytes) + 1, 1 << 20))
+    from codeloom.sources.tables import parallelism
+    n = max(n, parallelism(spark))
+    return meta.repartition(n, "path").mapInPandas(_reader(max_size), SCHEMA)

@@ -275,6 +275,10 @@ def test_scan_hidden_files(spark, tmp_path):
     assert [r.content for r in rows if r.relative == "big.bin"] == [None]
     inc = FT.scan(spark, str(tmp_path), include=r"\.txt$", exclude="a/")
     assert sorted(r.relative for r in inc.collect()) == ["a.txt", "c.txt"]
+    dist = FT.scan_tree(spark, str(tmp_path), max_size=50).orderBy("relative").collect()
+    assert [(r.relative, r.size, r.content) for r in dist] == [(r.relative, r.size, r.content) for r in rows]
+    inc2 = FT.scan_tree(spark, str(tmp_path), include=r"\.txt$", exclude="a/")
+    assert sorted(r.relative for r in inc2.collect()) == ["a.txt", "c.txt"]
 
 
 def test_plans_stay_in_the_jvm(spark):
