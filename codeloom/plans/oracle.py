@@ -348,7 +348,7 @@ def xml_body_sql(x: str) -> str:
 
 def describe_text_query_sql() -> str:
     full = ("CASE WHEN len(syms) = 0 THEN 'no symbols' ELSE array_to_string(syms, ', ') END")
-    return _with(code_files_cte(["py", "rs"]), pattern_values(), regex_symbols_ctes("code_files"),
+    return _with(code_files_cte(), pattern_values(), regex_symbols_ctes("code_files"),
                  rust_expect_cte()) + f"""
 SELECT f.relative, {describe_text_sql('syms')} AS text, {full} AS full_text
 FROM (SELECT f.relative, coalesce(rs_s.syms, rx_s.syms, []) AS syms FROM code_files f

@@ -78,25 +78,25 @@ def symbol_distinct(spark, sf_dir):
 @query("function_spans", O.function_spans_sql())
 def function_spans(spark, sf_dir):
     """(relative, pos, name, lines) for every Rust function with a body."""
-    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir, ["rs"])))
+    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir)))
 
 
 @query("long_functions", O.function_spans_sql(min_lines=20))
 def long_functions_q(spark, sf_dir):
     """Functions of at least 20 lines."""
-    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir, ["rs"]))).filter(F.col("lines") >= 20)
+    return A.function_rows(A.file_summary(C.code_files(spark, sf_dir))).filter(F.col("lines") >= 20)
 
 
 @query("long_count_per_file", O.long_count_sql(20))
 def long_count_per_file(spark, sf_dir):
     """A4: '(long: N)' per file."""
-    return A.long_count_per_file(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+    return A.long_count_per_file(A.file_summary(C.code_files(spark, sf_dir)), 20)
 
 
 @query("long_files", O.long_files_sql(35))
 def long_files(spark, sf_dir):
     """Files keeping at least one function >= threshold (35), with their long list."""
-    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 35)
+    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir)), 35)
     return rep.select("relative", "total_lines", F.size("long").cast("bigint").alias("n_long"),
                       F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
 
@@ -104,19 +104,19 @@ def long_files(spark, sf_dir):
 @query("long_text", O.long_text_sql(20))
 def long_text(spark, sf_dir):
     """D8."""
-    return R.long_text(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+    return R.long_text(A.file_summary(C.code_files(spark, sf_dir)), 20)
 
 
 @query("long_json", O.long_json_sql(30))
 def long_json(spark, sf_dir):
     """D9."""
-    return R.long_json(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 30)
+    return R.long_json(A.file_summary(C.code_files(spark, sf_dir)), 30)
 
 
 @query("long_xml", O.long_xml_sql(40))
 def long_xml(spark, sf_dir):
     """D10."""
-    return R.long_xml(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 40)
+    return R.long_xml(A.file_summary(C.code_files(spark, sf_dir)), 40)
 
 
 # ---------------------------------------------------------------- P (scalars over documents)
@@ -175,7 +175,7 @@ def xml_body(spark, sf_dir):
 @query("describe_text", O.describe_text_query_sql())
 def describe_text(spark, sf_dir):
     """First ten symbols plus an ellipsis, and the untruncated variant."""
-    desc = A.file_summary(C.code_files(spark, sf_dir, ["py", "rs"]))
+    desc = A.file_summary(C.code_files(spark, sf_dir))
     return desc.select("relative", "text", T.describe_text("symbols", no_truncate=True).alias("full_text"))
 
 
@@ -349,7 +349,7 @@ def cache_upsert(spark, sf_dir):
     return S.cache_upsert(stored, second, "event_id").select(*V6_COLUMNS)
 
 
-INCR_LANGS = ["rs", "py", "go"]
+INCR_LANGS = C.CODE_LANGUAGES
 
 
 @query("incremental_summary", O.incremental_sql(INCR_LANGS, cached=True))
@@ -517,7 +517,7 @@ def sym_none(spark, sf_dir):
 @query("long_report", O.long_files_sql(20))
 def long_report(spark, sf_dir):
     """Per file with a function of at least 20 lines: total lines and the long list."""
-    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir, ["rs"])), 20)
+    rep = R.long_report(A.file_summary(C.code_files(spark, sf_dir)), 20)
     return rep.select("relative", "total_lines", F.size("long").cast("bigint").alias("n_long"),
                       F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
 
