@@ -293,3 +293,24 @@ def test_invariant_under_repartition(spark):
     b = sorted(map(tuple, A.summary_report(A.file_summary(files_df(spark, rows).repartition(7),
                                                           A.PatternConfig(rust_partitions=3))).collect()))
     assert a == b
+
+
+def test_absolute_paths_and_empty_trees(spark):
+    df = files_df(spark, [("src/a.rs", "fn a() {}\n")])
+    plain = D.dump_plain(df, D.DumpOptions(absolute_paths=True)).first().entry
+    assert plain.startswith("==== File: /root/src/a.rs ====")
+    empty = A.file_summary(df).filter("false")
+    assert [r.entry for r in Tr.tree_json(empty).collect()] == ["[]"]
+    assert [r.entry for r in Tr.tree_xml(empty).collect()] == ["<files />"]
+
+
+def test_incremental_describe_cache_before_size_guard(spark):
+    df = files_df(spark, [("a.txt", "x" * 50), ("b.txt", "y")])
+    ok = [U.Backend("m", "model", _ok("described"))]
+    first, results = S.incremental_describe(df, S.empty_results(spark), ok, "en", max_file_size=10)
+    got = {r.relative: (r.text, r.from_cache) for r in first.collect()}
+    assert got == {"a.txt": ("[ERROR]", False), "b.txt": ("described", False)}
+    saved = spark.read.parquet(S.write_results(results, spark))
+    assert saved.count() == 1  # errors are never stored
+    again, _ = S.incremental_describe(df, saved, ok, "en", max_file_size=10)
+    assert {r.relative: r.from_cache for r in again.collect()} == {"a.txt": False, "b.txt": True}
