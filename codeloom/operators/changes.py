@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.session import materialize
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,8 +34,13 @@ def _line_counts(files: DataFrame, alias: str) -> DataFrame:
 
 
 def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per modified file, lines added ('+') and removed ('-') with multiplicity."""
-    modified = snapshot_diff(old, new).filter(F.col("status") == "modified").select("relative")
+    """Per modified file, lines added ('+') and removed ('-') with multiplicity.
+
+    The modified-path set (paths only) is written once to the checkpoint
+    folder, so each snapshot is read exactly twice: hashes, then the lines of
+    modified files."""
+    modified = materialize(snapshot_diff(old, new).filter(F.col("status") == "modified").select("relative"),
+                           "modified-paths")
     o = _line_counts(old.join(modified, "relative", "left_semi"), "n_old")
     n = _line_counts(new.join(modified, "relative", "left_semi"), "n_new")
     d = o.join(n, ["relative", "line"], "full_outer").select(

@@ -98,6 +98,12 @@ def _call_all(backends: list[Backend]):
             texts, errors, used = [], [], []
             for i in range(len(pdf)):
                 got = None
+                pre = pdf["_err"].iat[i]
+                if pre is not None:  # size guard / unreadable: no call, error passes through
+                    used.append(None)
+                    texts.append(T.ERROR_TEXT)
+                    errors.append(pre)
+                    continue
                 for j, b in enumerate(backends):
                     status, resp = b.send(pdf[f"body_{j}"].iat[i])
                     if 200 <= status < 300:
@@ -127,19 +133,16 @@ def describe_llm(files: DataFrame, backends: list[Backend], language: str = "ru"
     base = with_text(files)
     err = (F.when(too_large("size", max_file_size), too_large_message("size", max_file_size or 0))
            .when(F.col("_text").isNull(), F.lit("cannot read: stream did not contain valid UTF-8")))
-    base = base.select("path", "relative", "size", "_text", err.alias("_err"))
-    errors = base.filter(F.col("_err").isNotNull()).select(
-        "path", "relative", F.lit(T.ERROR_TEXT).alias("text"), F.col("_err").alias("error"),
-        F.lit(None).cast("string").alias("backend"))
+    # one pass: rows with an error carry it through the same mapInPandas (no call, no second scan)
     prompt = T.build_prompt("relative", "_text", language)
-    todo = base.filter(F.col("_err").isNull()).select(
-        "path", "relative", *[request_body(prompt, b.model, b.options).alias(f"body_{j}")
-                              for j, b in enumerate(backends)])
+    todo = base.select(
+        "path", "relative", err.alias("_err"),
+        *[F.when(err.isNull(), request_body(prompt, b.model, b.options)).alias(f"body_{j}")
+          for j, b in enumerate(backends)])
     if max_concurrency:
         todo = todo.repartition(max_concurrency)
-    done = todo.mapInPandas(_call_all(backends),
+    return todo.mapInPandas(_call_all(backends),
                             "path string, relative string, text string, error string, backend string")
-    return done.unionByName(errors)
 
 
 def llm_descriptions(described: DataFrame) -> DataFrame:

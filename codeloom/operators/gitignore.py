@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from codeloom.functions import text as T
+from codeloom.session import materialize
 
 RULE_SCHEMA = StructType([StructField("negated", BooleanType()), StructField("dir_only", BooleanType()),
                           StructField("regex", StringType())])
@@ -131,6 +132,11 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def gitignore_filter(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Files kept after honouring the ignore rules (rules default to the table's own .gitignore files)."""
-    rules = gitignore_rules(files) if rules is None else rules
-    return files.join(ignored(files, rules), "relative", "left_anti")
+    """Files kept after honouring the ignore rules (rules default to the table's own .gitignore files).
+
+    The rules and the ignored-path set are small and written once to the
+    checkpoint folder; the file table is read for paths only (pruned to the
+    ``relative`` column) and once more for the kept rows."""
+    rules = materialize(gitignore_rules(files) if rules is None else rules, "ignore-rules")
+    drop = materialize(ignored(files.select("relative"), rules), "ignored-paths")
+    return files.join(drop, "relative", "left_anti")
