@@ -17,6 +17,7 @@ from codeloom.operators import summary as A
 from codeloom.operators import tree as Tr
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
+from codeloom.session import materialize
 from codeloom.sources import corpora as C
 from codeloom.sources import filetree as FT
 from codeloom.streaming import arrivals as ST
@@ -272,7 +273,7 @@ def tree_nodes(spark, sf_dir):
 @query("sibling_order", O.sibling_order_sql())
 def sibling_order(spark, sf_dir):
     """Last child of each directory by byte order."""
-    return Tr.sibling_order(Tr.tree_nodes(_mixed_desc(spark, sf_dir))).select("node", "parent", "is_last")
+    return Tr.sibling_order(Tr.materialized_nodes(_mixed_desc(spark, sf_dir))).select("node", "parent", "is_last")
 
 
 @query("tree_plain", O.tree_plain_sql(None))
@@ -320,7 +321,7 @@ def _v6(spark, sf_dir):
     """(stored results after the first half of the versions, current file mtimes, all versions)."""
     ev = C.event_versions(spark, sf_dir)
     half = ev.select((F.count("*") / 2).alias("h")).scalar()
-    first = ev.filter(F.col("event_id") < half)
+    first = materialize(ev.filter(F.col("event_id") < half), "v6-first-half")
     empty = spark.createDataFrame([], "path string, mode string, params string, mtime_ms bigint, text string")
     stored = S.cache_upsert(empty, first, "event_id")
     now = first.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))

@@ -192,25 +192,37 @@ CONFIG_TAIL_SQL = {"toml": "''", "yaml": "''", "json": f"{NL} || '}}' || {NL}"}
 
 
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: per region one toml, yaml and json file; one block per nation (tables read once)."""
     region = read_table(spark, sf_dir, "region")
     nation = read_table(spark, sf_dir, "nation")
     supplier = read_table(spark, sf_dir, "supplier")
     n_supp = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n_supp"))
     nat = (nation.join(n_supp, "n_nationkey", "left").fillna(0, ["n_supp"])
            .join(region, nation.n_regionkey == region.r_regionkey))
-    out = None
-    for fmt in ("toml", "yaml", "json"):
-        per = (nat.select("r_regionkey", "r_name", "n_nationkey", F.expr(CONFIG_NATION_SQL[fmt]).alias("block"))
-               .groupBy("r_regionkey", "r_name").agg(
-                   F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "block"))),
-                                            lambda x: x["block"]), CONFIG_SEP[fmt]).alias("body"))
-               .select(F.concat(F.lit("config/"), F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))),
-                                F.lit("." + fmt)).alias("relative"),
-                       "r_regionkey",
-                       F.concat(F.expr(CONFIG_HEAD_SQL[fmt]), F.col("body"), F.expr(CONFIG_TAIL_SQL[fmt]))
-                       .alias("content")))
-        out = per if out is None else out.unionByName(per)
-    return _file_table(out, F.lit(EPOCH_2024) + F.col("r_regionkey"))
+    fmts = ["toml", "yaml", "json"]
+
+    def by_fmt(table: dict) -> F.Column:
+        expr = None
+        for fmt in fmts:
+            e = F.expr(table[fmt])
+            expr = F.when(F.col("fmt") == fmt, e) if expr is None else expr.when(F.col("fmt") == fmt, e)
+        return expr
+
+    per = (nat.select("r_regionkey", "r_name", "n_nationkey", "n_name", "n_supp",
+                      F.explode(F.array(*[F.lit(f) for f in fmts])).alias("fmt"))
+           .select("r_regionkey", "r_name", "fmt", "n_nationkey", by_fmt(CONFIG_NATION_SQL).alias("block"))
+           .groupBy("r_regionkey", "r_name", "fmt").agg(
+               F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "block"))),
+                           lambda x: x["block"]).alias("blocks"))
+           .select(F.concat(F.lit("config/"), F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))),
+                            F.lit("."), F.col("fmt")).alias("relative"),
+                   "r_regionkey",
+                   F.concat(by_fmt(CONFIG_HEAD_SQL),
+                            F.when(F.col("fmt") == "json", F.array_join("blocks", CONFIG_SEP["json"]))
+                            .otherwise(F.array_join("blocks", "")),
+                            by_fmt(CONFIG_TAIL_SQL))
+                   .alias("content")))
+    return _file_table(per, F.lit(EPOCH_2024) + F.col("r_regionkey"))
 
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
