@@ -314,3 +314,51 @@ def test_incremental_describe_cache_before_size_guard(spark):
     assert saved.count() == 1  # errors are never stored
     again, _ = S.incremental_describe(df, saved, ok, "en", max_file_size=10)
     assert {r.relative: r.from_cache for r in again.collect()} == {"a.txt": False, "b.txt": True}
+
+
+RUST_REAL = '''use std::collections::HashMap;
+
+/// A point.
+#[derive(Debug, Clone)]
+pub struct Point<T: Copy> {
+    x: T,
+    y: T,
+}
+
+impl<T: Copy + Default> Default for Point<T> {
+    fn default() -> Self {
+        Point { x: T::default(), y: T::default() }
+    }
+}
+
+unsafe impl<T: Copy> Send for Point<T> {}
+
+pub(crate) async fn fetch(url: &str) -> Result<String, ()> {
+    let s = "}";
+    let c = '{';
+    let f = |x: u8| { x + 1 };
+    match url.len() {
+        0 => Err(()),
+        _ => Ok(s.to_string()),
+    }
+}
+
+pub mod nested {
+    pub enum Kind { A, B(u8), C { v: i32 } }
+    pub const LIMIT: usize = 10;
+    pub fn helper(v: [u8; 4]) -> usize {
+        v.len()
+    }
+}
+
+fn r#match() {}
+'''
+
+
+def test_rust_realistic_items(spark):
+    r = summary(spark, [("lib.rs", RUST_REAL)], no_truncate=True)["lib.rs"]
+    assert r.symbols == ["struct Point", "impl Default", "fn default", "impl Send", "fn fetch", "enum Kind",
+                         "const LIMIT", "fn helper", "fn r#match"]
+    assert [(f.name, f.lines) for f in r.functions] == [("default", 3), ("fetch", 9), ("helper", 3),
+                                                        ("r#match", 1)]
+    assert r.total_lines == 36
