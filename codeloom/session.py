@@ -57,8 +57,13 @@ def ship_package(spark: SparkSession) -> None:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, "pyfiles")
-    os.makedirs(target, exist_ok=True)
+    ckpt = checkpoint_dir(spark)
+    if "://" in ckpt and not ckpt.startswith("file:"):
+        # remote checkpoint folder: build the archive on the driver; addPyFile ships it
+        target = tempfile.mkdtemp(prefix="codeloom-pyfiles-")
+    else:
+        target = scratch_path(spark, "pyfiles")
+        os.makedirs(target, exist_ok=True)
     archive = shutil.make_archive(os.path.join(target, "codeloom"), "zip",
                                   root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
     sc.addPyFile(archive)

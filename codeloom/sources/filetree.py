@@ -167,32 +167,42 @@ def export_tree(files: DataFrame, root: str) -> int:
 LISTING_SCHEMA = "kind string, path string, relative string, size bigint, mtime double, error string"
 
 
-def _list_level(root: str):
-    """Executors: list one directory level (files, links skipped, subdirectories to visit next)."""
+def _list_level(root: str, chunk_rows: int = 50_000):
+    """Executors: list one directory level (files, links skipped, subdirectories to visit next).
+
+    Output is yielded in chunks, so a directory holding millions of entries
+    never materialises as one frame in a worker."""
+    cols = ["kind", "path", "relative", "size", "mtime", "error"]
+
     def run(batches):
         import pandas as pd
+        out = []
         for pdf in batches:
-            out = []
             for rel_dir in pdf["relative"]:
                 d = os.path.join(root, rel_dir) if rel_dir else root
                 try:
-                    entries = list(os.scandir(d))
+                    it = os.scandir(d)
                 except OSError as e:
                     out.append(("error", d, rel_dir, None, None, str(e)))
                     continue
-                for e in entries:
-                    rel = f"{rel_dir}/{e.name}" if rel_dir else e.name
-                    try:
-                        if e.is_symlink():
-                            continue
-                        if e.is_dir(follow_symlinks=False):
-                            out.append(("dir", e.path, rel, None, None, None))
-                        elif e.is_file(follow_symlinks=False):
-                            st = e.stat(follow_symlinks=False)
-                            out.append(("file", e.path, rel, st.st_size, st.st_mtime, None))
-                    except OSError as err:
-                        out.append(("file", e.path, rel, None, None, str(err)))
-            yield pd.DataFrame(out, columns=["kind", "path", "relative", "size", "mtime", "error"])
+                with it:
+                    for e in it:
+                        rel = f"{rel_dir}/{e.name}" if rel_dir else e.name
+                        try:
+                            if e.is_symlink():
+                                continue
+                            if e.is_dir(follow_symlinks=False):
+                                out.append(("dir", e.path, rel, None, None, None))
+                            elif e.is_file(follow_symlinks=False):
+                                st = e.stat(follow_symlinks=False)
+                                out.append(("file", e.path, rel, st.st_size, st.st_mtime, None))
+                        except OSError as err:
+                            out.append(("file", e.path, rel, None, None, str(err)))
+                        if len(out) >= chunk_rows:
+                            yield pd.DataFrame(out, columns=cols)
+                            out = []
+        if out:
+            yield pd.DataFrame(out, columns=cols)
     return run
 
 
@@ -225,22 +235,27 @@ def list_files(spark: SparkSession, root: str, max_depth: int = 256) -> DataFram
         "error")
 
 
-def _reader(max_size: int | None):
+def _reader(max_size: int | None, budget_bytes: int = 64 * 1024 * 1024):
+    """Executors: read file contents, yielding a frame whenever ~``budget_bytes`` are buffered."""
     def run(batches):
         import pandas as pd
+        rows, held = [], 0
         for pdf in batches:
-            contents, errors = [], []
-            for p, size, err in zip(pdf["path"], pdf["size"], pdf["error"]):
-                data = None
-                if err is None and (max_size is None or (size is not None and size <= max_size)):
+            for rec in pdf.itertuples(index=False):
+                data, err = None, rec.error
+                if err is None and (max_size is None or (rec.size is not None and rec.size <= max_size)):
                     try:
-                        with open(p, "rb") as fh:
+                        with open(rec.path, "rb") as fh:
                             data = fh.read()
                     except OSError as e:
                         err = str(e)
-                contents.append(data)
-                errors.append(err)
-            yield pdf.assign(content=contents, error=errors)
+                rows.append((rec.path, rec.relative, rec.size, rec.mtime, data, err))
+                held += len(data) if data else 0
+                if held >= budget_bytes:
+                    yield pd.DataFrame(rows, columns=["path", "relative", "size", "mtime", "content", "error"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "relative", "size", "mtime", "content", "error"])
     return run
 
 
