@@ -131,12 +131,16 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return decided.filter(~F.col("negated")).select("relative").distinct()
 
 
+def ignored_paths(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The ignored-path set, written once to the checkpoint folder (rules too)."""
+    rules = materialize(gitignore_rules(files) if rules is None else rules, "ignore-rules")
+    return materialize(ignored(files.select("relative"), rules), "ignored-paths")
+
+
 def gitignore_filter(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Files kept after honouring the ignore rules (rules default to the table's own .gitignore files).
 
     The rules and the ignored-path set are small and written once to the
     checkpoint folder; the file table is read for paths only (pruned to the
     ``relative`` column) and once more for the kept rows."""
-    rules = materialize(gitignore_rules(files) if rules is None else rules, "ignore-rules")
-    drop = materialize(ignored(files.select("relative"), rules), "ignored-paths")
-    return files.join(drop, "relative", "left_anti")
+    return files.join(ignored_paths(files, rules), "relative", "left_anti")

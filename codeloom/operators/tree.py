@@ -30,6 +30,9 @@ from codeloom.session import materialize
 BRANCH, LAST_BRANCH = "├── ", "└── "
 BAR, BLANK = "│   ", "    "
 EMPTY_PLAIN, EMPTY_JSON, EMPTY_XML = "No matching files found.", "[]", "<files />"
+# ANSI styles of the colour view: dim tree lines, bold green files, bold red
+# failed files, bold cyan directories.
+ANSI_DIM, ANSI_FILE, ANSI_ERROR, ANSI_DIR, ANSI_RESET = "\x1b[90m", "\x1b[1;32m", "\x1b[1;31m", "\x1b[1;36m", "\x1b[0m"
 # ---------------------------------------------------------------------------
 AFTER_ALL = "\U0010ffff"
 
@@ -103,8 +106,13 @@ def materialized_nodes(desc: DataFrame) -> DataFrame:
     return materialize(tree_nodes(desc), "tree-nodes")
 
 
-def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator: bool = False) -> DataFrame:
-    """D4 (+W4: levels <= max_depth + 1 are printed)."""
+def _paint(style: str, c: Column) -> Column:
+    return F.concat(F.lit(style), c, F.lit(ANSI_RESET))
+
+
+def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator: bool = False,
+               color: bool = False) -> DataFrame:
+    """D4 (+W4: levels <= max_depth + 1 are printed); ``color`` adds the terminal styles."""
     nodes = sibling_order(materialized_nodes(desc))
     if max_depth is not None:
         nodes = nodes.filter(F.col("depth") <= max_depth + 1)
@@ -115,13 +123,21 @@ def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator:
     bars = anc.join(flags, "anc").groupBy("node").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "anc_last"))),
         lambda x: F.when(x["anc_last"], F.lit(BLANK)).otherwise(F.lit(BAR))), "").alias("prefix"))
+    prefix = F.coalesce("prefix", F.lit(""))
+    connector = F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
+    name = F.col("name")
+    if color:
+        prefix, connector = _paint(ANSI_DIM, prefix), _paint(ANSI_DIM, connector)
+        file_name = F.when(F.col("d.error").isNotNull(), _paint(ANSI_ERROR, name)).otherwise(_paint(ANSI_FILE, name))
+        dir_name = _paint(ANSI_DIR, name)
+    else:
+        file_name = dir_name = name
     out = nodes.join(bars, "node", "left").select(
         "node",
         F.lit(0).alias("phase"),
-        F.concat(F.coalesce("prefix", F.lit("")),
-                 F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
-                 F.col("name"),
-                 F.when(F.col("d").isNotNull(), _extras(no_long_indicator)).otherwise(F.lit("/"))).alias("entry"))
+        F.concat(prefix, connector,
+                 F.when(F.col("d").isNotNull(), F.concat(file_name, _extras(no_long_indicator)))
+                 .otherwise(F.concat(dir_name, F.lit("/")))).alias("entry"))
     return _with_empty(out, nodes, EMPTY_PLAIN)
 
 

@@ -32,7 +32,7 @@ from codeloom.sources import filetree as FT
 @dataclass
 class AnalyzeOptions:
     mode: str = "pattern"                    # "pattern" | "llm"
-    format: str = "plain"                    # "plain" | "json" | "xml"
+    format: str = "color"                    # "color" | "plain" | "json" | "xml"
     depth: int | None = None
     long: int | None = None                  # long-function report threshold instead of a tree
     no_truncate: bool = False
@@ -55,7 +55,7 @@ def select(files: DataFrame, include: str, exclude: str, respect_gitignore: bool
     out = Fl.select_paths(files, include, exclude)
     if respect_gitignore:
         # rules come from every .gitignore in the tree, even ones the path filters drop
-        out = out.join(G.ignored(files.select("relative"), G.gitignore_rules(files)), "relative", "left_anti")
+        out = out.join(G.ignored_paths(files), "relative", "left_anti")
     return out
 
 
@@ -85,7 +85,7 @@ def analyze(files: DataFrame, opts: AnalyzeOptions = AnalyzeOptions()) -> tuple[
         return Tr.tree_json(desc, opts.depth), results
     if opts.format == "xml":
         return Tr.tree_xml(desc, opts.depth), results
-    return Tr.tree_plain(desc, opts.depth, opts.no_long_indicator), results
+    return Tr.tree_plain(desc, opts.depth, opts.no_long_indicator, color=opts.format == "color"), results
 
 
 def export(files: DataFrame, fmt: str = "plain", options: D.DumpOptions = D.DumpOptions(),

@@ -25,7 +25,7 @@ def _read_parts(path):
 def test_analyze_plain_json_and_long(spark, tmp_path):
     _tree(tmp_path)
     files = jobs.load(spark, str(tmp_path))
-    entries, _ = jobs.analyze(files, jobs.AnalyzeOptions())
+    entries, _ = jobs.analyze(files, jobs.AnalyzeOptions(format="plain"))
     out = scratch_path(spark, "job-plain")
     jobs.write_document(entries, out)
     text = _read_parts(out)

@@ -362,3 +362,14 @@ def test_rust_realistic_items(spark):
     assert [(f.name, f.lines) for f in r.functions] == [("default", 3), ("fetch", 9), ("helper", 3),
                                                         ("r#match", 1)]
     assert r.total_lines == 36
+
+
+def test_color_tree(spark):
+    d = spark.createDataFrame(
+        [("a/b.rs", 3, ["fn b"], "fn b", None), ("a/c.rs", None, [], "[ERROR]", "x")],
+        "relative string, total_lines bigint, symbols array<string>, text string, error string") \
+        .withColumn("functions", F.array().cast("array<struct<name:string,lines:bigint>>"))
+    lines = [r.entry for r in Tr.tree_plain(d, color=True).orderBy(F.split("node", "/")).collect()]
+    assert lines[0] == "\x1b[90m\x1b[0m\x1b[90m└── \x1b[0m\x1b[1;36ma\x1b[0m/"
+    assert lines[1] == "\x1b[90m    \x1b[0m\x1b[90m├── \x1b[0m\x1b[1;32mb.rs\x1b[0m [3 lines] (fn b)"
+    assert lines[2].endswith("\x1b[1;31mc.rs\x1b[0m ([ERROR])")
