@@ -91,21 +91,24 @@ def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
                        *([F.when(first_row, F.col(carry)).alias("_carry")] if carry else []),
                        F.col("z.m").alias("m"), F.col("z.t").alias("t"))
     is_doc = (t.rlike(r"^///(?!/)") | t.rlike(r"^/\*\*(?![*/])"))
+    c1 = F.substring(t, 1, 1)
+    # Constant checks only (no regex) except for comments: strings end in '"' or '#',
+    # macro openers in '{', modifiers are a fixed word set, everything else is an item head.
     cls = (F.when(t.isNull(), F.lit("none"))
-           .when(t.startswith("//") | t.startswith("/*"), F.when(is_doc, F.lit("doc")).otherwise(F.lit("cmt")))
+           .when(c1 == "/", F.when(is_doc, F.lit("doc")).otherwise(F.lit("cmt")))
            .when(t == "{", F.lit("open"))
            .when(t == "}", F.lit("close"))
            .when(t == ";", F.lit("semi"))
            .when(t == "[", F.lit("lb"))
            .when(t == "]", F.lit("rb"))
-           .when(t.startswith("#!"), F.lit("iattr"))
-           .when(t.startswith("#"), F.lit("attr"))
-           .when(t.startswith("'"), F.lit("chr"))
-           .when(t.rlike(r'^[bc]?r?#*"'), F.lit("str"))
+           .when(t.startswith("#!["), F.lit("iattr"))
+           .when(t.startswith("#["), F.lit("attr"))
+           .when(c1 == "'", F.lit("chr"))
            .when(t.endswith("{"), F.lit("macro"))
-           .when(t.rlike(r"^impl\b"), F.lit("impl"))
-           .when(t.rlike(r"^(?:" + "|".join(ITEM_KEYWORDS) + r")\s"), F.lit("item"))
-           .otherwise(F.lit("mod")))
+           .when(t.endswith('"') | t.endswith("#"), F.lit("str"))
+           .when(t.isin("pub", "async", "unsafe", "extern", "const"), F.lit("mod"))
+           .when(t.startswith("impl"), F.lit("impl"))
+           .otherwise(F.lit("item")))
     kind = (F.when(cls == "impl", F.lit("impl"))
             .when(cls == "item", F.regexp_extract(t, r"^(\w+)", 1)))
     name = (F.when(cls == "impl", impl_name(t))
