@@ -373,3 +373,9 @@ def test_color_tree(spark):
     assert lines[0] == "\x1b[90m\x1b[0m\x1b[90m└── \x1b[0m\x1b[1;36ma\x1b[0m/"
     assert lines[1] == "\x1b[90m    \x1b[0m\x1b[90m├── \x1b[0m\x1b[1;32mb.rs\x1b[0m [3 lines] (fn b)"
     assert lines[2].endswith("\x1b[1;31mc.rs\x1b[0m ([ERROR])")
+
+
+def test_rust_long_token_free_gap(spark):
+    big = "fn big() {\n    let v = [" + ", ".join(["12345"] * 300000) + "];\n}\nconst X: u8 = 1;\n"
+    r = summary(spark, [("big.rs", big)])["big.rs"]
+    assert r.symbols == ["fn big", "const X"] and [(f.name, f.lines) for f in r.functions] == [("big", 3)]
