@@ -90,7 +90,9 @@ def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
     toks = toks.select("path", F.coalesce("pos", F.lit(0)).alias("pos"),
                        *([F.when(first_row, F.col(carry)).alias("_carry")] if carry else []),
                        F.col("z.m").alias("m"), F.col("z.t").alias("t"))
-    is_doc = (t.rlike(r"^///(?!/)") | t.rlike(r"^/\*\*(?![*/])"))
+    # outer doc comments: '///' but not '////', '/**' but not '/***' or '/**/'
+    is_doc = ((t.startswith("///") & ~t.startswith("////"))
+              | (t.startswith("/**") & ~t.startswith("/***") & ~t.startswith("/**/")))
     c1 = F.substring(t, 1, 1)
     # Constant checks only (no regex) except for comments: strings end in '"' or '#',
     # macro openers in '{', modifiers are a fixed word set, everything else is an item head.
