@@ -379,3 +379,13 @@ def test_rust_long_token_free_gap(spark):
     big = "fn big() {\n    let v = [" + ", ".join(["12345"] * 300000) + "];\n}\nconst X: u8 = 1;\n"
     r = summary(spark, [("big.rs", big)])["big.rs"]
     assert r.symbols == ["fn big", "const X"] and [(f.name, f.lines) for f in r.functions] == [("big", 3)]
+
+
+def test_http_backend_failure_falls_back(spark):
+    # port 9 (discard) is closed here: the client gets a connection error, never a server
+    dead = U.http_backend("dead", "http://127.0.0.1:9/v1/chat/completions", "m", timeout_s=2)
+    status, _ = dead.send('{"x": 1}')
+    assert status == 0
+    df = files_df(spark, [("t.txt", "content")])
+    row = U.describe_llm(df, [dead, U.Backend("ok", "m2", _ok("fine"))], "en").first()
+    assert row.text == "fine" and row.backend == "ok"
