@@ -23,8 +23,8 @@ path (plus a sub-key) and reuses that partitioning.  Work per window
 partition is bounded by one file, and files are bounded by the size guard.
 
 Accepted divergences from a real parser: nested block comments, parenthesised
-macros holding items, ``]`` inside attribute strings, ``extern`` blocks,
-``impl`` headers holding ``;`` or ``{``, files that balance yet do not parse.
+macros holding items, ``]`` inside attribute strings, ``impl`` headers holding
+``;`` or ``{``, files that balance yet do not parse.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
     m = F.col("m")
     # nl: newlines in gap + token (advances the next token's line); gap_nl: before this token
     return toks.select("path", "pos", *(["_carry"] if carry else []), "t", cls.alias("cls"),
-                       kind.alias("kind"), name.alias("name"),
+                       kind.alias("kind"), name.alias("name"), (t == "extern").alias("is_extern"),
                        newlines(m).alias("nl"), (newlines(m) - newlines(t)).alias("gap_nl"))
 
 
@@ -180,6 +180,7 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
         F.min(F.when(significant, F.col("line"))).over(by_seg).alias("seg_line"),
         F.max(F.when(F.col("is_delim"), cls)).over(by_seg).alias("end_cls"),
         F.max(F.when(F.col("is_delim"), F.col("pos"))).over(by_seg).alias("end_pos"),
+        F.max(F.col("is_extern")).over(by_seg).alias("seg_extern"),
     )
 
     # pass 3 (braces and heads): enclosing block of each head, opener matched by each closer
@@ -187,6 +188,7 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
     level = F.when(is_opener, F.col("before") + 1).otherwise(F.col("before"))
     tk = tk.withColumn("level", level)
     block_kind = (F.when(cls == "macro", F.lit("macro"))
+                  .when((cls == "open") & F.col("seg_kind").isNull() & F.col("seg_extern"), F.lit("extern"))
                   .when(cls == "open", F.coalesce(F.col("seg_kind"), F.lit("block"))))
     by_level = Window.partitionBy("path", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     tk = tk.select(
@@ -209,6 +211,7 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
 
     kind = F.col("kind")
     keep = (F.col("is_head") & ~F.col("in_macro") & kind.isin(*SYMBOL_KINDS)
+            & (F.col("encl_kind") != "extern")                      # foreign items are not visited
             & ~(kind.isin("fn", "const", "type") & (F.col("encl_kind") == "trait"))
             & ~(kind.isin("const", "type") & (F.col("encl_kind") == "impl")))
     is_fn = keep & (kind == "fn") & (F.col("end_cls") == "open") & F.col("end_line").isNotNull()

@@ -389,3 +389,10 @@ def test_http_backend_failure_falls_back(spark):
     df = files_df(spark, [("t.txt", "content")])
     row = U.describe_llm(df, [dead, U.Backend("ok", "m2", _ok("fine"))], "en").first()
     assert row.text == "fine" and row.backend == "ok"
+
+
+def test_rust_extern_blocks_hold_no_items(spark):
+    src = 'extern "C" {\n    fn abs(x: i32) -> i32;\n    static ERRNO: i32;\n}\nextern "C" fn cb() {\n}\nextern crate core;\nfn after() {}\n'
+    r = summary(spark, [("ffi.rs", src)])["ffi.rs"]
+    assert r.symbols == ["fn cb", "fn after"]
+    assert [(f.name, f.lines) for f in r.functions] == [("cb", 2), ("after", 1)]
