@@ -396,3 +396,10 @@ def test_rust_extern_blocks_hold_no_items(spark):
     r = summary(spark, [("ffi.rs", src)])["ffi.rs"]
     assert r.symbols == ["fn cb", "fn after"]
     assert [(f.name, f.lines) for f in r.functions] == [("cb", 2), ("after", 1)]
+
+
+def test_rust_nested_block_comments(spark):
+    src = "/* outer /* inner { */ still comment } */\nfn real() {\n}\n/** doc /* nested */ */\nfn documented() {}\n"
+    r = summary(spark, [("c.rs", src)])["c.rs"]
+    assert r.symbols == ["fn real", "fn documented"]
+    assert [(f.name, f.lines) for f in r.functions] == [("real", 2), ("documented", 2)]
