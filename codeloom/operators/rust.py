@@ -23,8 +23,8 @@ path (plus a sub-key) and reuses that partitioning.  Work per window
 partition is bounded by one file, and files are bounded by the size guard.
 
 Accepted divergences from a real parser: block comments nested deeper than four
-levels, parenthesised macros holding items, ``]`` inside attribute strings, ``impl`` headers holding
-``;`` or ``{``, files that balance yet do not parse.
+levels, parenthesised macros holding items, attributes nesting brackets more
+than one level, ``{`` inside ``impl`` headers, files that balance yet do not parse.
 """
 
 from __future__ import annotations
@@ -51,9 +51,9 @@ _LEX_PARTS = [
     r"\b[bc]?r(#*+)\"(?:[^\"]++|\"(?!\2))*+\"\2",           # raw string (group 2: hashes)
     r"b?\"(?:[^\"\\]++|\\[\s\S])*+\"",                      # string / byte string
     r"'(?:[^'\\\n]|\\'|\\[^\n']{1,10}+)'",                  # char literal (not a lifetime)
-    r"#!?\[[^\]]*+\]",                                      # attribute, inner attribute
+    r"#!?\[(?:[^\]\[\"]++|\"(?:[^\"\\]++|\\[\s\S])*+\"|\[[^\]]*+\])*+\]",  # attribute (strings, [..] inside)
     r"\b\w++!\s*+(?:\w++\s*+)?\{",                          # brace macro opener
-    r"\bimpl\b[^{;]*+",                                     # whole impl header
+    r"\bimpl\b(?:[^{;\[]++|\[[^\]]*+\])*+",                 # whole impl header ([T; N] allowed)
     r"\bconst(?=\s++(?:fn|unsafe|async|extern)\b)",         # const as a modifier
     r"\b(?:" + "|".join(ITEM_KEYWORDS) + r")\s++(?:r#)?\w++",  # item keyword + name
     r"\b(?:pub|async|unsafe|extern)\b",                     # modifiers

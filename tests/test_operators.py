@@ -403,3 +403,11 @@ def test_rust_nested_block_comments(spark):
     r = summary(spark, [("c.rs", src)])["c.rs"]
     assert r.symbols == ["fn real", "fn documented"]
     assert [(f.name, f.lines) for f in r.functions] == [("real", 2), ("documented", 2)]
+
+
+def test_rust_attribute_strings_and_array_impls(spark):
+    src = ('#[doc = "see [x] and ]"]\n#[cfg_attr(test, derive([Debug]))]\nfn a() {\n}\n'
+           'impl Trait for [u8; 4] {\n    fn m(&self) {}\n}\n')
+    r = summary(spark, [("x.rs", src)])["x.rs"]
+    assert r.symbols == ["fn a", "impl Trait", "fn m"]
+    assert [(f.name, f.lines) for f in r.functions] == [("a", 4), ("m", 1)]
