@@ -50,3 +50,19 @@ def test_export_markdown(spark, tmp_path):
     jobs.write_document(jobs.export(files, "markdown", DumpOptions(max_lines=2), include=r"\.(md|py)$"), out)
     assert _read_parts(out) == ("## `README.md`\n\n```markdown\n# Title\n```\n\n"
                                 "## `src/lib.py`\n\n```python\nclass A:\n```\n\n")
+
+
+def test_analyze_llm_mode_with_cache(spark, tmp_path):
+    from codeloom.operators import describe as U
+    from codeloom.operators import state as S
+    _tree(tmp_path)
+    files = jobs.load(spark, str(tmp_path))
+    answer = U.Backend("stub", "m", lambda body: (200, json.dumps({"choices": [{"message": {"content": " ok "}}]})))
+    opts = jobs.AnalyzeOptions(mode="llm", format="plain", backends=[answer], results=S.empty_results(spark))
+    entries, results = jobs.analyze(files, opts)
+    lines = sorted(r.entry for r in entries.collect())
+    assert lines == sorted(["├── README.md (ok)", "└── src/", "    ├── lib.py (ok)", "    └── main.rs (ok)"])
+    saved = spark.read.parquet(S.write_results(results, spark))
+    assert saved.filter("mode = 'llm'").count() == 3
+    again, _ = jobs.analyze(files, jobs.AnalyzeOptions(mode="llm", format="plain", backends=[answer], results=saved))
+    assert sorted(r.entry for r in again.collect()) == lines
