@@ -50,20 +50,15 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``codeloom`` importable in Python workers (mapInPandas, foreachBatch
     closures), whatever the driver's working directory: zip it once per
-    application into the shared checkpoint folder and ``addPyFile`` it."""
+    application on the driver and ``addPyFile`` it."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
-    ckpt = checkpoint_dir(spark)
-    if "://" in ckpt and not ckpt.startswith("file:"):
-        # remote checkpoint folder: build the archive on the driver; addPyFile ships it
-        target = tempfile.mkdtemp(prefix="codeloom-pyfiles-")
-    else:
-        target = scratch_path(spark, "pyfiles")
-        os.makedirs(target, exist_ok=True)
+    # built on the driver only: addPyFile sends it to every executor
+    target = tempfile.mkdtemp(prefix="codeloom-pyfiles-")
     archive = shutil.make_archive(os.path.join(target, "codeloom"), "zip",
                                   root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
     sc.addPyFile(archive)
@@ -92,10 +87,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused directory under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/codeloom/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{base}/codeloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df, name: str = "table"):
