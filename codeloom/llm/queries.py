@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, quality_rules, url_filter
+from codeloom.llm import mixing, packing, pii, quality_rules, url_filter
 from codeloom.session import prepare
 from codeloom.sources.tables import read_table
 
@@ -35,6 +35,12 @@ def op1_mixing(spark, sf_dir):
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    """Every document's pieces, packed into sequences of 1024 tokens."""
+    return packing.with_digest(packing.pack(read_table(spark, sf_dir, "documents")))
+
+
 @query("op5_quality_rules", quality_rules.oracle_sql())
 def op5_quality_rules(spark, sf_dir):
     """Counts and verdict of the quality rules for every document."""
@@ -42,6 +48,12 @@ def op5_quality_rules(spark, sf_dir):
         "doc_id", *quality_rules.METRICS, "base_failed", "kept")
 
 
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.with_digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
+
+
 @query("op9_url_filter")
 def op9_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's URL."""
