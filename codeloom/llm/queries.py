@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, packing, pii, quality_rules, url_filter
+from codeloom.llm import mixing, packing, pii, quality_rules, substring_dedup, url_filter
 from codeloom.session import prepare
 from codeloom.sources.tables import read_table
 
@@ -41,6 +41,13 @@ def op2_packing(spark, sf_dir):
     return packing.with_digest(packing.pack(read_table(spark, sf_dir, "documents")))
 
 
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, sf_dir):
+    """Words left in every document without windows of 20 words that start earlier elsewhere."""
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op5_quality_rules", quality_rules.oracle_sql())
 def op5_quality_rules(spark, sf_dir):
     """Counts and verdict of the quality rules for every document."""

@@ -14,19 +14,25 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SEGMENT = 1 << 20
+VALUE = np.where(SEPARATOR, 0, np.arange(256) + 1).astype(np.uint64)
+SEGMENT = 1 << 18
 #: odd multipliers of the polynomial hashes
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
+def _times(a: np.uint64, b: np.uint64) -> np.uint64:
+    """a * b modulo 2**64 (numpy warns where scalars wrap)."""
+    return np.uint64(int(a) * int(b) & 0xFFFFFFFFFFFFFFFF)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.empty(n, dtype=np.uint64)
     out[0] = 1
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done:done + step] = out[:step] * (out[done - 1] * base)
+        out[done:done + step] = out[:step] * _times(out[done - 1], base)
         done += step
     return out
 
@@ -95,14 +101,10 @@ class Words:
             length = stop - begin
             if length.max() >= len(powers):
                 powers = _powers(BYTE_BASE, int(length.max()) + 1)
-            # position of each byte counted back from its word's end is not needed:
-            # weight bytes by their place from the word's start
-            place = np.arange(hi - lo, dtype=np.int64)
-            owner = np.repeat(begin, np.diff(np.append(begin, hi - lo)))
-            place -= owner
-            np.minimum(place, len(powers) - 1, out=place)
-            valued = (piece.astype(np.uint64) + np.uint64(1)) * powers[place]
-            valued[SEPARATOR[piece]] = 0
+            # bytes are weighted by their place from the word's start; separators count 0
+            place = np.arange(hi - lo, dtype=np.int32)
+            place -= np.repeat(begin.astype(np.int32), np.diff(np.append(begin, hi - lo)))
+            valued = VALUE[piece] * powers.take(place, mode="clip")
             out[i:j] = np.add.reduceat(valued, begin) + length.astype(np.uint64)
             i = j
         return mix(out)
@@ -126,7 +128,7 @@ def window_hash(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
         if not weight:
             break
         level = level[:-width] * scale + level[width:]
-        scale = scale * scale
+        scale = _times(scale, scale)
         width *= 2
     return mix(total)
 
