@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, packing, pii, quality_rules, substring_dedup, url_filter
+from codeloom.llm import mixing, near_dup, packing, pii, quality_rules, substring_dedup, url_filter
 from codeloom.session import prepare
 from codeloom.sources.tables import read_table
 
@@ -65,3 +65,10 @@ def op8_pii(spark, sf_dir):
 def op9_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's URL."""
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_near_dup")
+def op10_near_dup(spark, sf_dir):
+    """Near-duplicate component of every document, on four-word shingles."""
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4).select(
+        "doc_id", "n_shingles", "component_id", "kept")
