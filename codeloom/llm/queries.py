@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, near_dup, packing, pii, quality_rules, substring_dedup, url_filter
+from codeloom.llm import mixing, near_dup, packing, pii, quality_mil, quality_rules, substring_dedup, topk, toxicity, url_filter
 from codeloom.session import prepare
 from codeloom.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(prepare(spark), sf_dir)
+
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
@@ -48,6 +51,12 @@ def op3_substring_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op5_quality_rules", quality_rules.oracle_sql())
 def op5_quality_rules(spark, sf_dir):
     """Counts and verdict of the quality rules for every document."""
@@ -55,6 +64,18 @@ def op5_quality_rules(spark, sf_dir):
         "doc_id", *quality_rules.METRICS, "base_failed", "kept")
 
 
+@query("op6_quality_mil")
+def op6_quality_mil(spark, sf_dir):
+    """Quality score of every document."""
+    return quality_mil.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_topk", topk.oracle_sql())
+def op7_topk(spark, sf_dir):
+    """The 20 highest integer inner products of every query vector."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_pii")
 def op8_pii(spark, sf_dir):
     """Personal data in every document."""

@@ -14,7 +14,6 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-VALUE = np.where(SEPARATOR, 0, np.arange(256) + 1).astype(np.uint64)
 SEGMENT = 1 << 18
 #: odd multipliers of the polynomial hashes
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,13 +61,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """Words of a batch of texts: byte ``start``/``end`` of each, and ``first``,
-    the index of each text's first word (one entry more than texts)."""
+    the index of each text's first word (one entry more than texts).  ``separator``
+    says which bytes end a word."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR):
         raw, off = text_bytes(column)
         self.raw = LOWER[raw] if lower else raw
         self.offsets = off
-        inside = ~SEPARATOR[raw]
+        self.value = np.where(separator, 0, np.arange(256) + 1).astype(np.uint64)
+        inside = ~separator[raw]
         n = len(raw)
         begins = inside.copy()
         ends = inside.copy()
@@ -104,7 +105,7 @@ class Words:
             # bytes are weighted by their place from the word's start; separators count 0
             place = np.arange(hi - lo, dtype=np.int32)
             place -= np.repeat(begin.astype(np.int32), np.diff(np.append(begin, hi - lo)))
-            valued = VALUE[piece] * powers.take(place, mode="clip")
+            valued = self.value[piece] * powers.take(place, mode="clip")
             out[i:j] = np.add.reduceat(valued, begin) + length.astype(np.uint64)
             i = j
         return mix(out)
