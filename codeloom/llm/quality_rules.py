@@ -114,11 +114,16 @@ def quality_metrics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def filter_quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with their own columns only."""
+    """The rows of ``df`` that the rules keep, with their own columns only.
+
+    The verdict is computed as a column and its row emitted by a generator: as a predicate the
+    optimizer would push it below the counts and evaluate their expressions many times.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
     base = df.select(whole, F.col(text).alias("text"))
     counted = _with_counts(_with_arrays(base, "text"), "text")
-    return counted.where(~base_failed() & verdict(thresholds)).select("__row.*")
+    judged = counted.select("__row", (~base_failed() & verdict(thresholds)).alias("__kept"))
+    return judged.select(F.explode(F.when(F.col("__kept"), F.array("__row"))).alias("__row")).select("__row.*")
 
 
 def oracle_sql(thresholds=THRESHOLDS) -> str:
