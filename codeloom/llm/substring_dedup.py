@@ -5,6 +5,9 @@ two positions p, q there is a shift d < PERIOD with (p + d) and (q + d) both in
 cover.  So two equal windows share an anchor of ``WINDOW - PERIOD + 1`` words at the
 same shift, and it is enough to hash anchors at cover positions (4 of 13).
 
+Copies of a whole earlier text are settled first: every window of theirs starts earlier
+there.  For the other texts:
+
 1. Every document sends the distinct hashes of its anchors; hashes that two or more
    documents send (or that repeat inside one) are repeated.
 2. Extension: windows around a repeated anchor, and only those, send their full hash
@@ -12,7 +15,8 @@ same shift, and it is enough to hash anchors at cover positions (4 of 13).
    each hash once; later occurrences inside it are copies already.
 3. Copies are gathered by document and their words removed.
 
-Scale: text is shuffled once (by doc_id) and reused by the three steps; anchors are
+Scale: text is shuffled once (by doc_id) and reused by the three steps; digests of texts are
+compared by a map-side combined minimum; anchors are
 8 + 8 bytes each, three tenths of the words; only windows near repeated anchors
 travel.  A hash has at most one row per document, and ranks stream over sorted rows,
 so no group is held in memory and no pairs are made.
@@ -142,9 +146,27 @@ def _send_windows(batches):
                 ["h1", "h2", "doc_id", "start", "version"])
 
 
+def _result(doc_id, n, removed, kept) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [doc_id, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+         pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+        ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+
+def _kept_copies(part: pa.RecordBatch):
+    """Copies of an earlier document's whole text: every window starts earlier there."""
+    words = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in part["text"]]
+    gone = [len(w) >= WINDOW for w in words]
+    yield _result(part["doc_id"], [len(w) for w in words], [len(w) * g for w, g in zip(words, gone, strict=True)],
+                  [b"" if g else b" ".join(w) for w, g in zip(words, gone, strict=True)])
+
+
 def _kept(batches):
     for batch in batches:
         for part in chunks(batch):
+            later_copy = part["later"].to_numpy(zero_copy_only=False).astype(bool)
+            yield from _kept_copies(part.filter(pa.array(later_copy)))
+            part = part.filter(pa.array(~later_copy))
             words, of, start, _, _, first = _candidates(part)
             version = _digest(part)
             covered = np.zeros(len(words.start) + 1, np.int64)
@@ -162,39 +184,40 @@ def _kept(batches):
                         cover(words.first[i] + np.array(begins, dtype=np.int64))
             gone = np.cumsum(covered)[:-1] > 0
             n = words.counts
-            removed, kept, sha = [], [], []
+            removed, kept = [], []
             for i, text in enumerate(part["text"]):
                 own = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 out = gone[words.first[i]:words.first[i + 1]]
                 k = int(out.sum())
                 if k:
                     own = [w for w, g in zip(own, out.tolist(), strict=True) if not g]
-                joined = b" ".join(own)
                 removed.append(k)
-                kept.append(joined)
-                sha.append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
-                 pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                kept.append(b" ".join(own))
+            yield _result(part["doc_id"], n, removed, kept)
 
 
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, n_removed, kept_text, kept_sha256."""
     n = partitions(df)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    texts = (df.select(key.alias("doc_id"), F.col(text).cast("string").alias("text"))
-             .repartition(n, "doc_id"))
-    anchors = texts.mapInArrow(_send_anchors, "hash long, doc_id long")
+    rows = df.select(key.alias("doc_id"), F.col(text).cast("string").alias("text"),
+                     F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256).alias("digest"))
+    ids = rows.select("doc_id", "digest")
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copied = (ids.join(first, "digest").where("doc_id > first").groupBy("doc_id")
+              .agg(F.collect_set("digest").alias("copied")))
+    texts = rows.repartition(n, "doc_id").join(copied, "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)).alias("later"))
+    anchors = texts.where("not later").select("doc_id", "text").mapInArrow(_send_anchors, "hash long, doc_id long")
     many = Window.partitionBy("hash")
     repeated = (anchors.withColumn("n", F.count(F.lit(1)).over(many)).where("n > 1")
                 .groupBy("doc_id").agg(F.collect_list("hash").alias("repeated")))
     marked = texts.join(repeated, "doc_id", "left")
-    windows = marked.select("doc_id", "text", "repeated").mapInArrow(
+    windows = marked.where("not later").select("doc_id", "text", "repeated").mapInArrow(
         _send_windows, "h1 long, h2 int, doc_id long, start int, version int")
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start")
     copies = (windows.withColumn("place", F.rank().over(order)).where("place > 1")
               .groupBy("doc_id").agg(F.collect_list(F.struct("start", "version")).alias("copies")))
-    both = marked.join(copies, "doc_id", "left")
-    out = both.select("doc_id", "text", "repeated", "copies").mapInArrow(
+    out = marked.join(copies, "doc_id", "left").select("doc_id", "text", "later", "repeated", "copies").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
