@@ -149,7 +149,8 @@ def xml_body(content) -> Column:
 
 def json_string(s) -> Column:
     """A JSON string literal (quoted, escaped) for one string column."""
-    return F.regexp_extract(F.to_json(F.struct(col(s).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    whole = F.to_json(F.struct(col(s).alias("v")))  # {"v":...}, or {} for null
+    return F.substring(whole, F.lit(6), F.greatest(F.length(whole) - 6, F.lit(0)))
 
 
 def describe_text(symbols, no_truncate: bool = False) -> Column:
@@ -163,10 +164,11 @@ def describe_text(symbols, no_truncate: bool = False) -> Column:
     return F.when(F.size(s) == 0, F.lit(NO_SYMBOLS)).otherwise(F.array_join(shown, ", "))
 
 
-def is_binary(content_bin) -> Column:
-    """NUL byte within the first 1024 bytes; empty content is not binary."""
+def is_binary(content_bin, prefix: int | None = None) -> Column:
+    """A NUL byte anywhere, or within the first ``prefix`` bytes; empty content is not binary."""
     b = col(content_bin)
-    return F.coalesce(F.instr(F.substring(b, 1, 1024).cast("string"), F.lit("\u0000")) > 0, F.lit(False))
+    part = b if prefix is None else F.substring(b, 1, prefix)
+    return F.coalesce(F.instr(part.cast("string"), F.lit("\u0000")) > 0, F.lit(False))
 
 
 def as_text_strict(content_bin) -> Column:

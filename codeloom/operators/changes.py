@@ -13,23 +13,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions import text as T
 from codeloom.session import materialize
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(relative, status) with status added / removed / modified; unchanged rows omitted."""
-    o = old.select("relative", F.sha2(F.col("content"), 256).alias("h_old"))
-    n = new.select("relative", F.sha2(F.col("content"), 256).alias("h_new"))
+    o = old.select("relative", F.lit(True).alias("in_old"), F.sha2(F.col("content"), 256).alias("h_old"))
+    n = new.select("relative", F.lit(True).alias("in_new"), F.sha2(F.col("content"), 256).alias("h_new"))
     j = o.join(n, "relative", "full_outer")
-    status = (F.when(F.col("h_old").isNull(), F.lit("added"))
-              .when(F.col("h_new").isNull(), F.lit("removed"))
-              .when(F.col("h_old") != F.col("h_new"), F.lit("modified")))
+    # presence is a flag of its own: unreadable content is null on either side
+    status = (F.when(F.col("in_old").isNull(), F.lit("added"))
+              .when(F.col("in_new").isNull(), F.lit("removed"))
+              .when(~F.col("h_old").eqNullSafe(F.col("h_new")), F.lit("modified")))
     return j.select("relative", status.alias("status")).filter(F.col("status").isNotNull())
 
 
+NO_FINAL_NEWLINE = "\\ No newline at end of file"
+
+
+def _lines(content: str):
+    """Lines between ``\n``, carriage returns kept; a missing final newline is a line of its own."""
+    c = F.col(content)
+    parts = F.split(c, "\n", -1)
+    body = F.when(F.endswith(c, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(
+        F.concat(parts, F.array(F.lit(NO_FINAL_NEWLINE))))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(body)
+
+
 def _line_counts(files: DataFrame, alias: str) -> DataFrame:
-    return (files.select("relative", F.explode(T.split_lines("content")).alias("line"))
+    return (files.select("relative", F.explode(_lines("content")).alias("line"))
             .groupBy("relative", "line").agg(F.count("*").alias(alias)))
 
 

@@ -694,7 +694,8 @@ def _prompt_expr(lang: str) -> str:
             f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || {byte_truncate_sql('content')}")
 
 
-def describe_llm_sql(cap: int) -> str:
+def describe_llm_sql(cap: int | None) -> str:
+    cap = (1 << 62) if cap is None else cap
     return _with(doc_files_cte(), f"""
 p AS (SELECT relative, content, {_prompt_expr('en')} AS prompt FROM doc_files),
 h AS (SELECT relative, content, prompt, md5(prompt) AS h FROM p)""") + f"""
@@ -768,6 +769,6 @@ SELECT relative, 'no symbols' AS text, CAST(0 AS BIGINT) AS n_symbols FROM doc_f
 WHERE regexp_extract(relative, '[^.]*$', 0) IN ('txt', 'log')"""
 
 
-def incremental_describe_sql(cap: int) -> str:
+def incremental_describe_sql(cap: int | None) -> str:
     return (f"SELECT relative, text, error, CASE WHEN length(relative) % 4 = 0 AND error IS NULL THEN NULL ELSE backend END"
             f" AS backend, length(relative) % 4 = 0 AND error IS NULL AS from_cache FROM ({describe_llm_sql(cap)})")

@@ -235,22 +235,22 @@ def dump_status(spark, sf_dir):
     return s.select("relative", "status", F.when(F.col("status") != "content", F.col("reason")).alias("reason"))
 
 
-@query("dump_plain", O.dump_plain_sql(16384, True))
+@query("dump_plain", O.dump_plain_sql(None, True))
 def dump_plain(spark, sf_dir):
-    """Plain export with size/mtime headers and a 16 KiB limit."""
-    return D.dump_plain(_docs(spark, sf_dir), D.DumpOptions(max_size=16384, detailed=True))
+    """Plain export with size/mtime headers, whole texts."""
+    return D.dump_plain(_docs(spark, sf_dir), D.DumpOptions(detailed=True))
 
 
-@query("dump_markdown", O.dump_markdown_sql(50000, 5, True))
+@query("dump_markdown", O.dump_markdown_sql(None, None, True))
 def dump_markdown(spark, sf_dir):
-    """Markdown export, first 5 lines per file, detailed."""
-    return D.dump_markdown(_docs(spark, sf_dir), D.DumpOptions(max_size=50000, max_lines=5, detailed=True))
+    """Markdown export, whole texts, detailed."""
+    return D.dump_markdown(_docs(spark, sf_dir), D.DumpOptions(detailed=True))
 
 
-@query("dump_xml", O.dump_xml_sql(20000, XML_PROJECT, XML_GENERATED))
+@query("dump_xml", O.dump_xml_sql(None, XML_PROJECT, XML_GENERATED))
 def dump_xml(spark, sf_dir):
-    """D3: xml export of the web pages with a 20000-byte limit."""
-    return D.dump_xml(C.page_files(spark, sf_dir), D.DumpOptions(max_size=20000),
+    """D3: xml export of the web pages, whole texts."""
+    return D.dump_xml(C.page_files(spark, sf_dir), D.DumpOptions(),
                       project_name=XML_PROJECT, generated=XML_GENERATED)
 
 
@@ -437,14 +437,11 @@ def _stub_fallback(body: str) -> tuple[int, str]:
     return 200, json.dumps({"choices": [{"message": {"content": f"fallback {len(prompt.encode('utf-8'))}"}}]})
 
 
-DESCRIBE_CAP = 100_000
-
-
-@query("describe_llm", O.describe_llm_sql(DESCRIBE_CAP))
+@query("describe_llm", O.describe_llm_sql(None))
 def describe_llm(spark, sf_dir):
     """Two backends tried in order on every document; first usable answer wins."""
     backends = [U.Backend("primary", "model-a", _stub_primary), U.Backend("fallback", "model-b", _stub_fallback)]
-    out = U.describe_llm(_docs(spark, sf_dir), backends, language="en", max_file_size=DESCRIBE_CAP)
+    out = U.describe_llm(_docs(spark, sf_dir), backends, language="en", max_file_size=None)
     return out.select("relative", "text", "error", "backend")
 
 
@@ -523,19 +520,19 @@ def long_report(spark, sf_dir):
                       F.array_join(F.transform("long", lambda f: f["name"]), ",").alias("names"))
 
 
-@query("incremental_describe", O.incremental_describe_sql(DESCRIBE_CAP))
+@query("incremental_describe", O.incremental_describe_sql(None))
 def incremental_describe(spark, sf_dir):
     """C4 in llm mode: a prior run described the documents with an even path length;
     half of those are still current, the other half stale."""
     backends = [U.Backend("primary", "model-a", _stub_primary), U.Backend("fallback", "model-b", _stub_fallback)]
     docs = _docs(spark, sf_dir)
     _, prior = S.incremental_describe(docs.filter(F.length("relative") % 2 == 0), S.empty_results(spark),
-                                      backends, "en", DESCRIBE_CAP)
+                                      backends, "en", None)
     cur = S.with_mtime_ms(docs).select("path", "relative")
     prior = prior.join(cur, "path").select(
         "path", "mode", "params",
         F.when(F.length("relative") % 4 == 0, F.col("mtime_ms")).otherwise(F.col("mtime_ms") - 1000).alias("mtime_ms"),
         "text", "total_lines", "symbols", "functions")
     stored = spark.read.parquet(S.write_results(prior, spark, "prior-llm-results"))
-    desc, _ = S.incremental_describe(docs, stored, backends, "en", DESCRIBE_CAP)
+    desc, _ = S.incremental_describe(docs, stored, backends, "en", None)
     return desc.select("relative", "text", "error", "backend", "from_cache")

@@ -25,6 +25,7 @@ root directory from the executors (one file per row).
 from __future__ import annotations
 
 import datetime
+import itertools
 import os
 import re
 
@@ -206,13 +207,13 @@ def _list_level(root: str, chunk_rows: int = 50_000):
     return run
 
 
-def list_files(spark: SparkSession, root: str, max_depth: int = 256) -> DataFrame:
+def list_files(spark: SparkSession, root: str) -> DataFrame:
     """S1 metadata: breadth-first listing where every level is listed on the executors.
 
     The frontier (directories still to list) is a DataFrame repartitioned across
     the cluster each round; file rows of every level are written under the
-    checkpoint folder, so no listing passes through the driver.  Rounds are
-    bounded by the tree depth.
+    checkpoint folder, so no listing passes through the driver.  Rounds go on
+    until a level holds no directory.
     """
     from codeloom.session import scratch_path
     from codeloom.sources.tables import parallelism
@@ -220,7 +221,7 @@ def list_files(spark: SparkSession, root: str, max_depth: int = 256) -> DataFram
     out = scratch_path(spark, "listing")
     frontier = spark.createDataFrame([("",)], "relative string")
     n = parallelism(spark)
-    for level in range(max_depth):
+    for level in itertools.count():
         listed = frontier.repartition(n).mapInPandas(_list_level(root), LISTING_SCHEMA)
         path = f"{out}/level={level}"
         listed.write.parquet(path)
@@ -270,7 +271,7 @@ def scan_tree(spark: SparkSession, root: str, include: str | None = None, exclud
     if include:
         meta = meta.filter(include_matches("relative", include))
     total = meta.agg(F.sum("size")).first()[0] or 0
-    n = max(1, min(int(total // target_bytes) + 1, 1 << 20))
+    n = int(total // target_bytes) + 1
     from codeloom.sources.tables import parallelism
     n = max(n, parallelism(spark))
     return meta.repartition(n, "path").mapInPandas(_reader(max_size), SCHEMA)

@@ -23,14 +23,12 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Repartition to the cluster's parallelism only when ``df`` has fewer partitions.
+    """Repartition CPU-bound rows to the cluster's parallelism.
 
     Inputs with a single row group come in as one partition; per-row CPU work
-    (regex scans, rendering) would then run in one task.  At scale the input
-    already has far more partitions than cores and this is a no-op.  The
-    explicit count also keeps AQE from coalescing the shuffle by byte size.
+    (regex scans, rendering) would then run in one task.  The explicit count keeps
+    AQE from coalescing the shuffle by byte size.  Nothing runs here: asking the plan
+    for its partitions would execute every shuffle below it.
     """
     n = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= n:
-        return df
     return df.repartition(n, key) if key else df.repartition(n)
