@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.frames import BROADCAST_ROWS
 from codeloom.session import materialize
 
 
@@ -16,20 +17,22 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the least node of its component.
 
-    Every step is a map-side combined minimum and a join on the centre of a star; the
-    number of steps grows with the logarithm of the longest path.  Only counts reach
+    Every step is a map-side combined minimum and a join on the centre of a star (broadcast
+    while the counted edges are few); the number of steps grows with the logarithm of the longest path.  Only counts reach
     the driver.
     """
-    e = (edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    e = materialize(e, "edges")
+    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                    .distinct(), "edges")
     state = _state(e)
     while state[0]:
+        # centres: at most two per edge of the last count
+        centres = F.broadcast if 2 * state[0] <= BROADCAST_ROWS else (lambda df: df)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "large-star")
+        large = both.where("v > u").join(centres(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large, "large-star")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(
+        small = large.join(centres(down), "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         e = materialize(small.select("e.*").where("u <> v").distinct(), "small-star")
         new = _state(e)

@@ -177,15 +177,15 @@ def _compare_leaves(batches):
 
 def _sized(rows: DataFrame) -> DataFrame:
     """``rows`` (path, ...) with ``n``, the size of their path; paths of one member are dropped."""
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(sizes, "path")
+    sizes = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    return rows.join(small(sizes), "path")
 
 
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """(u, v) ties of nodes (node, roots, sketch) whose components are the candidate clusters."""
     roots = nodes.select("node", F.posexplode("roots").alias("tree", "token"))
     paths = _sized(roots.select(F.xxhash64("tree", "token").alias("path"), "node"))
-    rows = materialize(paths.join(nodes.select("node", "sketch"), "node"), "near-paths")
+    rows = materialize(nodes.select("node", "sketch").join(paths, "node"), "near-paths")
     leaves = [rows.where(F.col("n") <= LEAF)]
     stuck = rows.where(F.col("n") > LEAF).select("path", "node", "sketch")
     for level in range(1, DEPTH):
@@ -268,10 +268,10 @@ def _verifier(percent: int):
 
 def confirmed_links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): spanning links of every cluster, checked on full sets."""
-    members = clusters.join(nodes.select("node", "doc_id", "n_shingles"), "node")
+    members = materialize(nodes.select("node", "doc_id", "n_shingles").join(small(clusters), "node"), "near-members")
     sizes = members.groupBy(F.col("root").alias("cluster")).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    wanted = materialize(members.withColumnRenamed("root", "cluster").join(sizes, "cluster")
+    wanted = materialize(members.withColumnRenamed("root", "cluster").join(small(materialize(sizes, "near-sizes")), "cluster")
                          .select("doc_id", "node", "cluster", "tiles"), "near-wanted")
     sets = (texts.join(small(wanted), "doc_id").select("text", "node", "cluster", "tiles")
             .mapInArrow(_setter(k), "node binary, cluster binary, tiles int, shingles binary"))
@@ -295,10 +295,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         F.first("sketch").alias("sketch")), "near-nodes")
     clusters = materialize(components(candidate_ties(nodes)), "near-clusters")
     links = confirmed_links(texts, nodes, clusters, shingle, percent)
-    found = components(links).join(nodes.select("node", "doc_id"), "node")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = found.join(least, "root").select("node", "component_id")
-    of_node = nodes.select("node", "doc_id").join(joined, "node", "left").select(
+    roots = small(materialize(components(links), "near-roots"))
+    found = materialize(nodes.select("node", "doc_id").join(roots, "node", "left")
+                        .withColumn("root", F.coalesce("root", "node")), "near-found")
+    least = found.where("root <> node").select("root").distinct()
+    # one row per component of several sets
+    least = materialize(found.join(least, "root", "left_semi").groupBy("root").agg(
+        F.min("doc_id").alias("component_id")), "near-least")
+    of_node = found.join(small(least), "root", "left").select(
         "node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
