@@ -164,8 +164,8 @@ def describe_text(symbols, no_truncate: bool = False) -> Column:
     return F.when(F.size(s) == 0, F.lit(NO_SYMBOLS)).otherwise(F.array_join(shown, ", "))
 
 
-def is_binary(content_bin, prefix: int | None = None) -> Column:
-    """A NUL byte anywhere, or within the first ``prefix`` bytes; empty content is not binary."""
+def is_binary(content_bin, prefix: int | None = 1024) -> Column:
+    """A NUL byte within the first ``prefix`` bytes (None: anywhere); empty content is not binary."""
     b = col(content_bin)
     part = b if prefix is None else F.substring(b, 1, prefix)
     return F.coalesce(F.instr(part.cast("string"), F.lit("\u0000")) > 0, F.lit(False))
