@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.frames import BROADCAST_ROWS
+from codeloom.llm.frames import BROADCAST_ROWS, narrow
 from codeloom.session import materialize
 
 
@@ -25,16 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
                     .distinct(), "edges")
     state = _state(e)
     while state[0]:
-        # centres: at most two per edge of the last count
-        centres = F.broadcast if 2 * state[0] <= BROADCAST_ROWS else (lambda df: df)
+        # centres and edges of a large star: at most two per edge of the last count
+        n = 2 * state[0]
+        centres = (lambda df: F.broadcast(narrow(df, n))) if n <= BROADCAST_ROWS else (lambda df: df)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(centres(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large, "large-star")
+        large = materialize(narrow(large, n), "large-star")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(centres(down), "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        e = materialize(small.select("e.*").where("u <> v").distinct(), "small-star")
+        e = materialize(narrow(small.select("e.*").where("u <> v").distinct(), 2 * n), "small-star")
         new = _state(e)
         if new == state:
             break

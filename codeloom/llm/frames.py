@@ -10,6 +10,8 @@ from codeloom.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of a measured table that may be broadcast
 BROADCAST_ROWS = 100_000
+#: rows that one task of a narrowed table holds
+NARROW_ROWS = 20_000
 
 
 def text_or_empty(name: str) -> Column:
@@ -28,6 +30,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows by count, in partitions of ``NARROW_ROWS``, at least one per core.
+
+    Small tables are then written in a few files; a table with more rows keeps its partitions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
+
+
 def partitions(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

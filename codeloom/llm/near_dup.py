@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.frames import partitions, small
+from codeloom.llm.frames import narrow, partitions, small
 from codeloom.llm.substring_dedup import chunks
 from codeloom.llm.wordscan import Words, mix, window_hash
 from codeloom.session import materialize
@@ -175,26 +175,29 @@ def _compare_leaves(batches):
                                           pa.array([nodes[root[i]] for i in tied], pa.binary())], ["u", "v"])
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """``rows`` (path, ...) with ``n``, the size of their path; paths of one member are dropped."""
-    sizes = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+def _sized(rows: DataFrame, count: int) -> DataFrame:
+    """The ``count`` ``rows`` (path, ...) with ``n``, the size of their path; paths of one member are dropped."""
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(narrow(sizes, count), "near-sizes")
     return rows.join(small(sizes), "path")
 
 
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """(u, v) ties of nodes (node, roots, sketch) whose components are the candidate clusters."""
+    count = TREES * nodes.count()
     roots = nodes.select("node", F.posexplode("roots").alias("tree", "token"))
-    paths = _sized(roots.select(F.xxhash64("tree", "token").alias("path"), "node"))
-    rows = materialize(nodes.select("node", "sketch").join(paths, "node"), "near-paths")
+    paths = _sized(roots.select(F.xxhash64("tree", "token").alias("path"), "node"), count)
+    rows = materialize(narrow(nodes.select("node", "sketch").join(paths, "node"), count), "near-paths")
     leaves = [rows.where(F.col("n") <= LEAF)]
     stuck = rows.where(F.col("n") > LEAF).select("path", "node", "sketch")
     for level in range(1, DEPTH):
-        if stuck.isEmpty():
+        count = stuck.count()
+        if not count:
             break
         at = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
         value = F.expr("substring(sketch, at + 1, 1)")
         branched = stuck.withColumn("at", at).select(F.xxhash64("path", value).alias("path"), "node", "sketch")
-        rows = materialize(_sized(branched), "near-paths")
+        rows = materialize(narrow(_sized(branched, count), count), "near-paths")
         leaves.append(rows.where(F.col("n") <= LEAF))
         stuck = rows.where(F.col("n") > LEAF).select("path", "node", "sketch")
     leaf = leaves[0]
@@ -268,11 +271,14 @@ def _verifier(percent: int):
 
 def confirmed_links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): spanning links of every cluster, checked on full sets."""
-    members = materialize(nodes.select("node", "doc_id", "n_shingles").join(small(clusters), "node"), "near-members")
+    count = clusters.count()
+    members = nodes.select("node", "doc_id", "n_shingles").join(small(clusters), "node")
+    members = materialize(narrow(members, count), "near-members")
     sizes = members.groupBy(F.col("root").alias("cluster")).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    wanted = materialize(members.withColumnRenamed("root", "cluster").join(small(materialize(sizes, "near-sizes")), "cluster")
-                         .select("doc_id", "node", "cluster", "tiles"), "near-wanted")
+    sizes = small(materialize(narrow(sizes, count), "near-sizes"))
+    wanted = members.withColumnRenamed("root", "cluster").join(sizes, "cluster").select("doc_id", "node", "cluster", "tiles")
+    wanted = materialize(narrow(wanted, count), "near-wanted")
     sets = (texts.join(small(wanted), "doc_id").select("text", "node", "cluster", "tiles")
             .mapInArrow(_setter(k), "node binary, cluster binary, tiles int, shingles binary"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -290,18 +296,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                       F.col(text).cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(
         _signer(shingle), "doc_id long, n_shingles long, node binary, roots array<long>, sketch binary"), "near-signed")
-    nodes = materialize(signed.where("node is not null").groupBy("node").agg(
+    count = signed.count()
+    nodes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"),
-        F.first("sketch").alias("sketch")), "near-nodes")
+        F.first("sketch").alias("sketch"))
+    nodes = materialize(narrow(nodes, count), "near-nodes")
     clusters = materialize(components(candidate_ties(nodes)), "near-clusters")
     links = confirmed_links(texts, nodes, clusters, shingle, percent)
     roots = small(materialize(components(links), "near-roots"))
-    found = materialize(nodes.select("node", "doc_id").join(roots, "node", "left")
-                        .withColumn("root", F.coalesce("root", "node")), "near-found")
+    found = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = materialize(narrow(found, count), "near-found")
     least = found.where("root <> node").select("root").distinct()
     # one row per component of several sets
-    least = materialize(found.join(least, "root", "left_semi").groupBy("root").agg(
-        F.min("doc_id").alias("component_id")), "near-least")
+    least = found.join(least, "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(narrow(least, count), "near-least")
     of_node = found.join(small(least), "root", "left").select(
         "node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
