@@ -61,8 +61,9 @@ _LEX_PARTS = [
 ]
 # Each match is <gap><token>: the lazily skipped text before a token is part of
 # the match, so newlines are counted from the matches themselves and need no
-# tokens of their own.  Group 1 is the token.
-LEX = "(?Ud)(?s:.)*?(" + "|".join(_LEX_PARTS) + ")"
+# tokens of their own.  Group 1 is the token; the end of the text is an empty
+# one, so that a tail without tokens is one match and not retried from every start.
+LEX = "(?Ud)(?s:.)*?(" + "|".join(_LEX_PARTS) + r"|\z)"
 
 
 def _balanced_angle(depth: int = 4) -> str:
@@ -106,7 +107,7 @@ def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
     c1 = F.substring(t, 1, 1)
     # Constant checks only (no regex) except for comments: strings end in '"' or '#',
     # macro openers in '{', modifiers are a fixed word set, everything else is an item head.
-    cls = (F.when(t.isNull(), F.lit("none"))
+    cls = (F.when(t.isNull() | (t == ""), F.lit("none"))
            .when(c1 == "/", F.when(is_doc, F.lit("doc")).otherwise(F.lit("cmt")))
            .when(t == "{", F.lit("open"))
            .when(t == "}", F.lit("close"))

@@ -381,6 +381,13 @@ def test_rust_long_token_free_gap(spark):
     assert r.symbols == ["fn big", "const X"] and [(f.name, f.lines) for f in r.functions] == [("big", 3)]
 
 
+def test_rust_token_free_tail(spark):
+    tail = "word " * 200_000
+    rows = summary(spark, [("t.rs", "fn a() {\n}\n// end\n" + tail), ("free.rs", tail), ("empty.rs", "")])
+    assert rows["t.rs"].symbols == ["fn a"] and [(f.name, f.lines) for f in rows["t.rs"].functions] == [("a", 2)]
+    assert not rows["free.rs"].symbols and not rows["empty.rs"].symbols
+
+
 def test_http_backend_failure_falls_back(spark):
     # port 9 (discard) is closed here: the client gets a connection error, never a server
     dead = U.http_backend("dead", "http://127.0.0.1:9/v1/chat/completions", "m", timeout_s=2)
