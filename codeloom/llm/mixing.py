@@ -106,11 +106,20 @@ def _finish(copy) -> Column:
     return (copy * F.col("source_size") + F.col("begins") + F.col("size")) / F.col("target")
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
-    """The mixed documents: the rows of ``df``, each as often as it is taken."""
-    documents, _ = plan_mix(df, **options)
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mixed documents: the rows of ``df``, each as often as it is taken.
+
+    Whole rows are written once under a number of their own and shuffled once, to meet the
+    copies of that number; everything else of the plan is done on narrow rows.
+    """
+    rows = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                                 F.monotonically_increasing_id().alias("place")), "mix-rows")
+    part = lambda c: F.col("row").getField(c)
+    documents, _ = plan_mix(rows.select("place", part(doc_id).alias("doc_id"), part(text).alias("text"),
+                                        part(source).alias("source")), carry=["place"], **options)
+    taken = documents.where("copies > 0").select(F.col("row.place").alias("place"), "copies")
     again = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
-    return documents.select("row", again).select("row.*")
+    return rows.join(taken.hint("merge"), "place").select("row", again).select("row.*")
 
 
 def oracle_sql(weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 0) -> str:
