@@ -321,11 +321,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with one document of each component; of rows with one kept doc_id and set, one stays."""
-    found = materialize(near_duplicates(df, doc_id, text, **options).where("kept")
-                        .select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), "near-kept")
-    unique = found.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __id is null")
-    kept = small(found.select("__id").distinct())
-    rows = df.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    found = materialize(near_duplicates(df, doc_id, text, **options)
+                        .select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), "near-kept")
+    ids = found.groupBy("__id").agg(F.count_if("__kept").alias("n"))
+    unique = ids.where("n > 1 or (n = 1 and __id is null)")
+    # the ids without a kept row are fewer than the others
+    gone = small(materialize(ids.where("n = 0").select("__id"), "near-gone"))
+    rows = df.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
     if unique.isEmpty():
         return rows
     # repeated or missing ids: told apart by their words
