@@ -22,9 +22,9 @@ Rows are hash-partitioned by path once (one shuffle of the narrow
 path (plus a sub-key) and reuses that partitioning.  Work per window
 partition is bounded by one file, and files are bounded by the size guard.
 
-Accepted divergences from a real parser: block comments nested deeper than four
-levels, parenthesised macros holding items, attributes nesting brackets more
-than one level, ``{`` inside ``impl`` headers, files that balance yet do not parse.
+Accepted divergences from a real parser: block comments, attribute brackets or generics
+nested deeper than ``NESTING`` levels, parenthesised macros holding items, ``{`` inside
+``impl`` headers, files that balance yet do not parse.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 ITEM_KEYWORDS = ("fn", "struct", "enum", "trait", "type", "const", "mod", "static", "union")
 SYMBOL_KINDS = ("fn", "struct", "enum", "trait", "type", "const", "impl")
 
-def _nested_block_comment(depth: int = 4) -> str:
+NESTING = 32
+
+
+def _nested_block_comment(depth: int = NESTING) -> str:
     """Rust block comments nest; unrolled to ``depth`` levels, possessive, linear time."""
     inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
     for _ in range(depth - 1):
@@ -45,13 +48,23 @@ def _nested_block_comment(depth: int = 4) -> str:
 
 _NESTED_BLOCK_COMMENT = _nested_block_comment()
 
+
+def _brackets(depth: int = NESTING) -> str:
+    """``[...]`` with strings and nested brackets inside, possessive."""
+    part = r"[^\]\[\"]++|\"(?:[^\"\\]++|\\[\s\S])*+\""
+    inner = r"\[(?:" + part + r")*+\]"
+    for _ in range(depth - 1):
+        inner = r"\[(?:" + part + "|" + inner + r")*+\]"
+    return inner
+
+
 _LEX_PARTS = [
     r"//[^\n]*+",                                           # line comment (doc: ///)
     _NESTED_BLOCK_COMMENT,                                  # block comment (nests)
     r"\b[bc]?r(#*+)\"(?:[^\"]++|\"(?!\2))*+\"\2",           # raw string (group 2: hashes)
     r"b?\"(?:[^\"\\]++|\\[\s\S])*+\"",                      # string / byte string
     r"'(?:[^'\\\n]|\\'|\\[^\n']{1,10}+)'",                  # char literal (not a lifetime)
-    r"#!?\[(?:[^\]\[\"]++|\"(?:[^\"\\]++|\\[\s\S])*+\"|\[[^\]]*+\])*+\]",  # attribute (strings, [..] inside)
+    r"#!?" + _brackets(),                                   # attribute (strings, [..] inside)
     r"\b\w++!\s*+(?:\w++\s*+)?\{",                          # brace macro opener
     r"\bimpl\b(?:[^{;\[]++|\[[^\]]*+\])*+",                 # whole impl header ([T; N] allowed)
     r"\bconst(?=\s++(?:fn|unsafe|async|extern)\b)",         # const as a modifier
@@ -66,10 +79,10 @@ _LEX_PARTS = [
 LEX = "(?Ud)(?s:.)*?(" + "|".join(_LEX_PARTS) + r"|\z)"
 
 
-def _balanced_angle(depth: int = 4) -> str:
-    inner = r"[^<>]*"
+def _balanced_angle(depth: int = NESTING) -> str:
+    inner = r"[^<>]*+"
     for _ in range(depth):
-        inner = r"(?:[^<>]|<" + inner + r">)*"
+        inner = r"(?:[^<>]++|<" + inner + r">)*+"
     return "<" + inner + ">"
 
 

@@ -4,17 +4,16 @@
         path, relative, total_lines, symbols, functions, text, error, from_cache)
 
 Plan shape: one narrow pass computes guards, line counts and regex symbols
-for every file; Rust files additionally go through the token job
-(``codeloom.operators.rust``), whose only shuffle is the repartition of the
-``path, content`` projection of Rust files.  The per-file Rust result is
-joined back on ``path`` (narrow rows only) and unioned with the rest.
+for every file; the token job (``codeloom.operators.rust``) then carries that
+per-file struct through its one shuffle by path, with the content of Rust
+files only, and returns one row per file.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -22,6 +21,7 @@ from codeloom.functions import text as T
 from codeloom.functions.patterns import DEFAULT_REGISTRY, LanguageRegistry, regex_symbols
 from codeloom.operators.filters import long_functions, too_large, too_large_message
 from codeloom.operators.rust import rust_items
+from codeloom.session import materialize
 from codeloom.sources.tables import spread
 
 def empty_symbols():
@@ -128,10 +128,14 @@ def sort_files(files: DataFrame) -> DataFrame:
     """Files in byte order of ``relative`` with their 1-based position.
 
     ``orderBy`` range-partitions the keys (sampled bounds, no single task holds
-    all rows); ``zipWithIndex`` then numbers rows with one extra counting job
-    over the sorted partitions instead of a global window.
+    all rows).  The sorted rows are written once with their place within their
+    partition; a partition's offset is a running sum over one row per partition.
     """
     ordered = files.select("relative").orderBy("relative")
-    spark = files.sparkSession
-    indexed = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
-    return spark.createDataFrame(indexed, "relative string, position bigint")
+    place = F.monotonically_increasing_id()  # partition in the upper 31 bits, row in the lower 33
+    rows = materialize(ordered.withColumn("place", place), "sorted-files").select(
+        "relative", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(offsets, "part").select("relative", (F.col("offset") + F.col("row") + 1).alias("position"))

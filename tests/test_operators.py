@@ -15,6 +15,7 @@ from codeloom.operators import long_report as R
 from codeloom.operators import state as S
 from codeloom.operators import summary as A
 from codeloom.operators import tree as Tr
+from codeloom.operators.rust import rust_items
 from tests.conftest import files_df
 
 RUST_NINE = """
@@ -418,3 +419,18 @@ def test_rust_attribute_strings_and_array_impls(spark):
     r = summary(spark, [("x.rs", src)])["x.rs"]
     assert r.symbols == ["fn a", "impl Trait", "fn m"]
     assert [(f.name, f.lines) for f in r.functions] == [("a", 4), ("m", 1)]
+
+
+def test_rust_deep_nesting(spark):
+    comment = "/* " * 10 + "fn gone() {}" + " */" * 10
+    deep = "A<" * 8 + "u8" + ">" * 8
+    code = f"{comment}\n#[cfg(any(a[b[c]]))]\nfn here() {{\n}}\nimpl Show for {deep} {{\n}}\nimpl<T: {deep}> Z<T> {{\n}}\n"
+    out = rust_items(spark.createDataFrame([("a.rs", code)], "path string, content string")).collect()[0]
+    assert out["symbols"] == ["fn here", "impl Show", "impl Z"]
+
+
+def test_sort_files_positions(spark):
+    names = [f"d{i % 7}/f{i:03d}" for i in range(100)] + ["é", "Z", "a"]
+    df = spark.createDataFrame([(n,) for n in names], "relative string").repartition(5)
+    got = [tuple(r) for r in A.sort_files(df).orderBy("position").collect()]
+    assert got == [(n, i + 1) for i, n in enumerate(sorted(names, key=str.encode))]
