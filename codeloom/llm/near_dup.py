@@ -16,8 +16,10 @@ lower case).  Documents with the same set are one node from the start.
    spanning forest of its links, and the links' components are the result.
 
 Recall: a pair at the threshold shares a root token with probability 0.8 in each of 16
-trees, so one that needs a single branching is missed with probability 0.2 ** 16,
-one that needs three with 0.49 ** 16; sketches below ``LOOSE`` at a similarity of
+trees and keeps a branching with the share of its sketch values that agree (0.8 in the mean).
+``fans`` branches hot paths so often that the pair is missed with at most ``MISS`` at every
+depth, however large the family around it is; with one value a branching it would be 2e-7 at
+one, 3e-5 at two and 1e-2 at five (``missed``).  Sketches below ``LOOSE`` at a similarity of
 0.8 are rarer than 1e-6.  All checked pairs of a cluster count, so chains make up for
 single misses.
 
@@ -35,6 +37,10 @@ text share a component; extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,12 +58,36 @@ TREES = 16
 SKETCH = 128
 LEAF = 48
 DEPTH = 6
+MISS = 1e-6  # of a pair at the threshold, at the deepest branching
 LOOSE = 0.6
 TILE_NODES = 256
 TILE_SHINGLES = 1 << 20
 NULL_ID = (1 << 63) - 1
 
 
+def missed(fan: tuple[int, ...], similarity: float = THRESHOLD / 100) -> float:
+    """Probability that no tree keeps a pair through ``len(fan)`` branchings by ``fan`` values each."""
+    out = 0.0
+    for agree in range(SKETCH + 1):
+        share, kept = agree / SKETCH, 1.0
+        for values in reversed(fan):
+            kept = 1 - (1 - share * kept) ** values
+        out += (math.comb(SKETCH, agree) * similarity ** agree * (1 - similarity) ** (SKETCH - agree)
+                * (1 - similarity * kept) ** TREES)
+    return out
+
+
+@cache
+def fans(similarity: float = THRESHOLD / 100, target: float = MISS) -> tuple[int, ...]:
+    """Values that a hot path is branched by, per level: the fewest that hold ``target`` at every depth."""
+    for most in range(1, 9):
+        fit = [f for f in itertools.product(range(1, most + 1), repeat=DEPTH - 1) if max(f) == most
+               and missed(f, similarity) <= target and all(missed(f[:i], similarity) <= target for i in range(DEPTH - 1))]
+        if fit:
+            return min(fit, key=lambda f: (math.prod(f), sum(math.prod(f[:i]) for i in range(DEPTH))))
+    raise ValueError(f"no branching holds a miss of {target} at similarity {similarity}")
+
+
 def multipliers() -> np.ndarray:
     """One odd multiplier per root token and sketch value."""
     return mix(np.arange(1, TREES + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -184,6 +214,7 @@ def _sized(rows: DataFrame, count: int) -> DataFrame:
 
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """(u, v) ties of nodes (node, roots, sketch) whose components are the candidate clusters."""
+    fan = fans()
     count = TREES * nodes.count()
     roots = nodes.select("node", F.posexplode("roots").alias("tree", "token"))
     paths = _sized(roots.select(F.xxhash64("tree", "token").alias("path"), "node"), count)
@@ -194,9 +225,13 @@ def candidate_ties(nodes: DataFrame) -> DataFrame:
         count = stuck.count()
         if not count:
             break
-        at = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
+        # a path's values are at different places of the sketch
+        count *= fan[level - 1]
+        turn = F.explode(F.array(*[F.lit(43 * i) for i in range(fan[level - 1])]))
+        at = F.pmod(F.xxhash64("path", F.lit(level)) + F.col("turn"), F.lit(SKETCH)).cast("int")
         value = F.expr("substring(sketch, at + 1, 1)")
-        branched = stuck.withColumn("at", at).select(F.xxhash64("path", value).alias("path"), "node", "sketch")
+        branched = stuck.withColumn("turn", turn).withColumn("at", at).select(
+            F.xxhash64("path", "turn", value).alias("path"), "node", "sketch")
         rows = materialize(narrow(_sized(branched, count), count), "near-paths")
         leaves.append(rows.where(F.col("n") <= LEAF))
         stuck = rows.where(F.col("n") > LEAF).select("path", "node", "sketch")

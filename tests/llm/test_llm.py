@@ -66,6 +66,26 @@ def test_near_dup_brute_force(docs):
     assert collect(got) == sorted(brute_near([r[:2] for r in AWKWARD]), key=key)
 
 
+def test_near_dup_finds_the_pairs_of_a_large_family(spark):
+    """Distinct pairs at 0.8 over one small vocabulary: every path is hot, and no third document links a pair."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(4000):
+        order = rng.permutation(200)
+        common, left, right = order[:80], order[80:90], order[90:100]
+        rows += [(2 * i, " ".join(f"v{x}" for x in rng.permutation([*common, *left]))),
+                 (2 * i + 1, " ".join(f"v{x}" for x in rng.permutation([*common, *right])))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1)
+    assert [r["doc_id"] for r in got.where("component_id <> doc_id - doc_id % 2").collect()] == []
+
+
+def test_near_dup_branching_holds_the_stated_miss():
+    fan = near_dup.fans()
+    assert len(fan) == near_dup.DEPTH - 1
+    assert all(near_dup.missed(fan[:i]) <= near_dup.MISS for i in range(near_dup.DEPTH))
+    assert near_dup.missed((1,) * (near_dup.DEPTH - 1)) > 1e-2  # one value a branching
+
+
 def test_near_dup_on_documents(spark):
     t = pq.read_table(f"{SF001}/documents.parquet")
     rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
