@@ -33,6 +33,8 @@ Defined results: null or blank text has an empty set, links with nothing and is
 fewer words than a shingle the whole sequence is the one shingle; a null doc_id counts as
 larger than any and is kept if its component holds null ids only; rows with equal doc_id and
 text share a component; extra columns are ignored; an empty table gives an empty result.
+With ``row`` (a number of each row's own) the rows of a component are told apart by it: one of
+them is kept, and a text is met by its row, so repeated and null ids cost nothing extra.
 """
 
 from __future__ import annotations
@@ -325,12 +327,18 @@ def confirmed_links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, k:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    percent: int = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id, kept, node (the set's fingerprint)."""
-    texts = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-                      F.col(text).cast("string").alias("text"))
+                    percent: int = THRESHOLD, row: str | None = None) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id, kept, node (the set's fingerprint).
+
+    ``row`` names a column of distinct numbers; it is added to the result, and only the component's
+    first row by (doc_id, row) is kept.
+    """
+    own, kind = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "long"
+    if row:
+        own, kind = F.struct(own.alias("id"), F.col(row).cast("long").alias("row")), "struct<id:long,row:long>"
+    texts = df.select(own.alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(
-        _signer(shingle), "doc_id long, n_shingles long, node binary, roots array<long>, sketch binary"), "near-signed")
+        _signer(shingle), f"doc_id {kind}, n_shingles long, node binary, roots array<long>, sketch binary"), "near-signed")
     count = signed.count()
     nodes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"),
@@ -350,22 +358,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     null = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"),
-                      (F.col("doc_id") == component).alias("kept"), "node")
+    id_of = lambda c: null(c["id"] if row else c)
+    number = [F.col("doc_id.row").alias(row)] if row else []
+    return out.select(id_of(F.col("doc_id")).alias("doc_id"), "n_shingles", id_of(component).alias("component_id"),
+                      (F.col("doc_id") == component).alias("kept"), "node", *number)
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each component; of rows with one kept doc_id and set, one stays."""
-    found = materialize(near_duplicates(df, doc_id, text, **options)
-                        .select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), "near-kept")
-    ids = found.groupBy("__id").agg(F.count_if("__kept").alias("n"))
-    unique = ids.where("n > 1 or (n = 1 and __id is null)")
-    # the ids without a kept row are fewer than the others
-    gone = small(materialize(ids.where("n = 0").select("__id"), "near-gone"))
-    rows = df.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
-    if unique.isEmpty():
-        return rows
-    # repeated or missing ids: told apart by their words
-    words = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    key = F.sha2(F.trim(words), 256)
-    return rows.withColumn("__set", key).dropDuplicates([doc_id, "__set"]).drop("__set")
+    """``df`` with one row of each component, whatever the ids; of blank rows with one id, one stays.
+
+    Rows are written once under a number of their own, and go by that number.
+    """
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = materialize(near_duplicates(rows, doc_id, text, row="__row", **options)
+                        .select("doc_id", "kept", "node", "__row"), "near-kept")
+    blank = found.where("node is null and doc_id is not null")
+    first = blank.groupBy("doc_id").agg(F.min("__row").alias("first"))
+    again = blank.join(first, "doc_id").where("__row <> first").select("__row")
+    # the removed rows are fewer than the others
+    gone = small(materialize(found.where("not kept").select("__row").union(again), "near-gone"))
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

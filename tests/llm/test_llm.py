@@ -86,6 +86,21 @@ def test_near_dup_branching_holds_the_stated_miss():
     assert near_dup.missed((1,) * (near_dup.DEPTH - 1)) > 1e-2  # one value a branching
 
 
+def test_drop_near_duplicates_by_row(spark):
+    """One row of each component with repeated and null ids; blank rows stay, once for an id."""
+    text = lambda c, *more: " ".join([*(f"{c}{i}" for i in range(60)), *more])
+    rows = [(3, text("a"), 0), (5, text("a"), 1), (5, text("b"), 2),  # (a) an id with a copy and a text of its own
+            (None, text("c"), 3), (None, text("a", "x"), 4), (None, text("d"), 5), (None, text("d", "y"), 6),  # (b)
+            (8, text("e"), 7), (8, text("e", "z"), 8), (8, text("f"), 9), (8, text("f"), 10),  # (c)
+            (None, text("e", "q"), 11), (9, "", 12), (9, " ", 13), (None, "", 14), (None, None, 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(3)
+    got = near_dup.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    out = {r["at"]: r["doc_id"] for r in got.collect()}
+    one_of = [{0}, {2}, {3}, {5, 6}, {7, 8}, {9, 10}, {12, 13}, {14}, {15}]
+    assert len(out) == len(one_of) and all(len(x & set(out)) == 1 for x in one_of)
+
+
 def test_near_dup_on_documents(spark):
     t = pq.read_table(f"{SF001}/documents.parquet")
     rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
