@@ -1,5 +1,6 @@
 """Operators on awkward small tables, against brute force, round trips and held-out labels."""
 
+import collections
 import re
 import zlib
 
@@ -256,6 +257,45 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def url_ratio(train, url, context, smoothing=url_filter.SMOOTHING):
+    """Mean log-likelihood difference per character of two smoothed Markov chains, by plain counting."""
+    pad = lambda u: "\x02" * context + u
+    logs = []
+    for texts in train:
+        n, of = collections.Counter(), collections.Counter()
+        for t in map(pad, texts):
+            for i in range(context, len(t)):
+                for k in range(context + 1):
+                    n[t[i - k:i + 1]] += 1
+                    of[t[i - k:i]] += 1
+        total, t = 0.0, pad(url)
+        for i in range(context, len(t)):
+            p = 1 / url_filter.BASE
+            for k in range(context + 1):
+                p = (n[t[i - k:i + 1]] + smoothing * p) / (of[t[i - k:i]] + smoothing)
+            total += np.log(p)
+        logs.append(total)
+    return (logs[0] - logs[1]) / len(url)
+
+
+def test_url_scores_brute_force_and_long_evidence(spark):
+    """Scores by plain counting over long contexts; é and ü tell accepted from rejected paths."""
+    rows = []
+    for i in range(60):
+        for rule, word in (("example.net/en", "queryé"), ("z.net/x", "queryü")):
+            rows.append((len(rows), f"http://{rule}/{word}/{i % 7}"))
+    rows += [(1000, "http://q.edu/queryé/3"), (1001, "http://q.edu/queryü/3"), (1002, ""), (1003, None)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    held = {r["page_id"]: r["calibration"] for r in got}
+    train = [[u for i, u in rows[:-4] if not held[i] and i % 2 == side] for side in (0, 1)]
+    for r in got:
+        url = dict(rows)[r["page_id"]]
+        want = 1e6 * url_ratio(train, url, url_filter.CONTEXT) if url else 0
+        assert abs(r["score"] - want) <= 12
+    by_id = {r["page_id"]: r for r in got}
+    assert by_id[1000]["score"] > by_id[1001]["score"]
+
+
 def test_empty_tables(empty, spark):
     assert quality_rules.quality_metrics(empty).count() == 0
     assert mixing.plan_mix(empty)[0].count() == 0
