@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, near_dup, packing, pii, quality_mil, quality_rules, substring_dedup, topk, toxicity, url_filter
+from codeloom.llm import (decontamination, mixing, near_dup, packing, phrases, pii, quality_mil, quality_rules, substring_dedup, topk,
+                          toxicity, url_filter, whitening)
 from codeloom.session import prepare
 from codeloom.sources.tables import read_table
 
@@ -93,3 +94,21 @@ def op10_near_dup(spark, sf_dir):
     """Near-duplicate component of every document, on four-word shingles."""
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    """Whitened components of every vector, with exact deviations."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).drop("deviation_digits")
+
+
+@query("op12_phrases", phrases.oracle_sql())
+def op12_phrases(spark, sf_dir):
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_decontamination", decontamination.oracle_sql())
+def op13_decontamination(spark, sf_dir):
+    """Words of every document inside windows of benchmark items."""
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
