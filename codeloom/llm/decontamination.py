@@ -5,17 +5,17 @@ consecutive words of an item, or all words of a shorter one.
 
 1. Documents are cut into segments of ``STEP`` words that overlap by ``WINDOW - 1``, so every window
    of a document lies in one segment, and a very long text is many rows.
-2. Fingerprints: of every w consecutive hashes of k words, the least.  With k + w - 1 at most the
-   length of the shared span, both sides select the same hash inside it, so no span is missed.  Items of
-   ``GRAM`` words or more share one such selection; shorter ones are their own single k-gram.
-3. Documents' fingerprints meet the benchmark's.  Hits are extended: the windows around them, and
-   only those, are compared as whole texts, so what counts is equal word by word.
+2. Fingerprints: in every run of ``RUN`` words (fewer for items of fewer), the least hash of its runs of
+   ``GRAM`` words.  Equal runs have equal fingerprints, so no shared window is missed.
+3. Documents' fingerprints, each once a segment, meet the benchmark's.  Hits are extended: the windows with
+   a fingerprint hit, and only those, are compared as whole texts, so what counts is equal word by word.
 4. Windows that occur in the same items carry one key, and documents with the same keys share one
    list of items, so a passage held by many documents and items is never expanded into all pairs.
 
-Everything is DataFrame functions.  Scale: one scan writes the segments; fingerprints (about two in
-w + 1 words) meet the benchmark's by broadcast while these are counted few, else by keys salted
-``SALTS`` ways; only matched windows travel after that, and rows are told apart by a number of their own.
+Everything is DataFrame functions.  Scale: rows are written once under a number of their own, and cut and
+fingerprinted in one pass (about two fingerprints for five words); these meet the benchmark's by broadcast while
+it is counted small, else by keys salted ``SALTS`` ways.  Texts are read again only for rows with hits, and
+only matched windows travel after that.
 
 Defined results: null or empty text has no words; an item without words is in no document; rows
 with one doc_id are judged each on its own; items with one item_id count once; an item without
@@ -26,31 +26,33 @@ benchmark no hits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from codeloom.llm.frames import BROADCAST_ROWS, small
 from codeloom.session import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: what is between the words of lower-cased text (a positive class; a negated one of ranges runs five times as long)
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-GRAM = 5
-#: new words of a segment; places in it fit PLACE_BITS bits
+GRAM = 4
+RUN = 7
+#: new words of a segment
 STEP = 2048
-PLACE_BITS = 12
 SALTS = 8
-#: classes of fingerprints: words of a gram, hashes of a selection, lengths of the windows that they find
-Classes = list[tuple[int, int, list[int]]]
+WINDOW_TYPE = "array<struct<first:bigint,size:int,window:string>>"
 
 
 def words_of(text: Column) -> Column:
+    """The words of a text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     # lower() is fast, and right for ASCII alone
     ascii_only = F.octet_length(text) == F.char_length(text)
     low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")  # none before, after or without a word
 
 
 def _once(value: Column) -> Column:
@@ -59,65 +61,68 @@ def _once(value: Column) -> Column:
 
 
 def segments(rows: DataFrame, text: str) -> DataFrame:
-    """rows with text cut into: ..., n_words, begin (place of the first word, from 0) and words (joined by a space)."""
+    """rows with text cut into: ..., n_words, begin (place of the first word, from 0) and list (the segment's words)."""
     others = [F.col(f"`{c}`") for c in rows.columns if c != text]
-    whole = rows.select(*others, _once(words_of(F.col(text))).alias("words"))
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP)), lambda at: F.struct(
-        at.cast("long").alias("begin"), F.array_join(F.slice("words", at + 1, STEP + WINDOW - 1), " ").alias("words"))))
-    return whole.select(*others, F.size("words").cast("long").alias("n_words"), cut.alias("part")).select(
-        *others, "n_words", "part.begin", "part.words")
-
-
-def _split(words: str) -> Column:
-    return F.when(F.col(words) == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
-
-
-def _sequence(first: int, last: Column) -> Column:
-    """first .. last, empty if last is less."""
-    return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
-
-
-def _grams(hashes: str, k: int) -> Column:
-    """Of every ``k`` words, their hash in the upper bits and its place (from 1) in the lower ones."""
-    own = ~((1 << PLACE_BITS) - 1)
-    return F.transform(_sequence(1, F.size(hashes) - (k - 1)), lambda i: F.xxhash64(
-        F.lit(k), *[F.get(hashes, i + (j - 1)) for j in range(k)]).bitwiseAND(F.lit(own)).bitwiseOR(i.cast("long")))
-
-
-def _selected(grams: str, w: int) -> Column:
-    """The least of every ``w`` grams, each once."""
-    if w == 1:
-        return F.col(grams)
-    return F.array_distinct(F.transform(_sequence(1, F.size(grams) - (w - 1)), lambda i: F.least(
-        *[F.get(grams, i + (j - 1)) for j in range(w)])))
-
-
-def fingerprints(rows: DataFrame, classes: Classes, keep: list[str], words: str = "words") -> DataFrame:
-    """One row per fingerprint of the segments: ``keep``, class, hash, place."""
-    hashed = rows.select(*keep, _once(F.transform(_split(words), lambda x: F.xxhash64(x))).alias("hashes"))
-    grams = hashed.select(*keep, _once(F.struct(*[_grams("hashes", k).alias(f"c{c}") for c, (k, _, _) in enumerate(classes)])).alias("grams"))
-
-    def of_class(c: int, w: int) -> Column:
-        return F.transform(_selected(f"grams.c{c}", w), lambda p: F.struct(F.lit(c).alias("class"), p.alias("packed")))
-    made = F.concat(*[of_class(c, w) for c, (_, w, _) in enumerate(classes)])
-    place = F.col("f.packed").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    return grams.select(*keep, F.explode(made).alias("f")).select(
-        *keep, F.col("f.class").alias("class"), F.shiftright("f.packed", PLACE_BITS).alias("hash"), place.alias("place"))
-
-
-def classes_of(lengths: list[int]) -> Classes:
-    """Fingerprint classes that find windows of ``lengths`` words, each at most ``WINDOW``."""
-    long = [n for n in lengths if n >= GRAM]
-    return ([(GRAM, min(long) - GRAM + 1, long)] if long else []) + [(n, 1, [n]) for n in lengths if n < GRAM]
-
-
-def _windows_around(c: int, k: int, m: int) -> Column:
-    """Windows of ``m`` words of ``list`` that hold a hit of class ``c`` (grams of ``k`` words) and start in the segment."""
-    own = F.filter("spots", lambda s: s["class"] == c)
-    starts = F.flatten(F.transform(own, lambda s: F.sequence(s["place"] - (m - k), s["place"])))
-    starts = F.filter(F.array_distinct(starts), lambda s: (s >= 1) & (s <= F.size("list") - (m - 1)) & (s <= STEP))
-    return F.transform(starts, lambda s: F.struct((F.col("begin") + s - 1).alias("first"), F.lit(m).alias("size"),
-                                                  F.array_join(F.slice("list", s, F.lit(m)), " ").alias("window")))
+    whole = rows.select(*others, _once(words_of(F.col(text))).alias("list"))
+    n = F.size("list")
+    many = F.transform(F.sequence(F.lit(0), n - 1, F.lit(STEP)), lambda at: F.struct(
+        at.cast("long").alias("begin"), F.slice("list", at + 1, STEP + WINDOW - 1).alias("list")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("list")))
+    return whole.select(*others, n.cast("long").alias("n_words"), F.explode(F.when(n <= STEP, one).otherwise(many)).alias("part")).select(
+        *others, "n_words", "part.begin", "part.list")
+
+
+def _doubled(rows: DataFrame, column: str, width: int, join) -> DataFrame:
+    """``column`` with ``join`` of every ``width`` neighbours in place of the first: two overlapping halves at
+    a time, so in log2(width) passes.  The last ``width - 1`` entries are of fewer neighbours."""
+    others = [c for c in rows.columns if c != column]
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        both = F.zip_with(column, F.slice(column, F.lit(step + 1), F.size(column)), join)
+        rows = rows.select(*others, _once(both).alias(column))
+        have += step
+    return rows
+
+
+def runs_of(lengths: list[int]) -> list[int]:
+    """Lengths of the runs whose fingerprints find windows of ``lengths`` words."""
+    return sorted({min(RUN, m) for m in lengths})
+
+
+def fingerprints(rows: DataFrame, runs: list[int]) -> DataFrame:
+    """Segments (..., list) with ``f<m>``: the fingerprint of every run of m words, by its start."""
+    for m in runs:
+        k = min(GRAM, m)
+        if k == 1:
+            own = rows.select("*", _once(F.transform("list", lambda x: F.xxhash64(x))).alias("run"))
+        else:
+            own = _doubled(rows.withColumn("run", F.col("list")), "run", k, lambda a, b: F.xxhash64(a, b))
+        own = _doubled(own, "run", m - k + 1, lambda a, b: F.least(a, b))
+        rows = own.withColumn(f"f{m}", F.slice("run", F.lit(1), F.greatest(F.size("run") - (m - 1), F.lit(0)))).drop("run")
+    return rows
+
+
+def _windows(m: int, wanted) -> Column:
+    """(first, size, window) of the runs of ``m`` words of ``list`` that start in the segment and have a wanted fingerprint."""
+    last = F.least(F.size("list") - (m - 1), F.lit(STEP))
+    runs = F.slice(f"f{min(RUN, m)}", F.lit(1), F.greatest(last, F.lit(0)))
+    starts = F.filter(F.transform(runs, lambda h, i: F.when(wanted(h), i + 1)), lambda i: i.isNotNull())
+    return F.transform(starts, lambda i: F.struct(
+        (F.col("begin") + i - 1).alias("first"), F.lit(m).alias("size"), F.array_join(F.slice("list", i, F.lit(m)), " ").alias("window")))
+
+
+def _among(m: int):
+    return lambda h: F.array_contains("hits", F.struct(F.lit(min(RUN, m)).alias("size"), h.alias("hash")))
+
+
+def _of_size(size: Column, lengths: list[int]) -> Column:
+    """The fingerprint column of an item's own length."""
+    out = F.array().cast("array<bigint>")
+    for m in lengths:
+        # as many as the item has windows
+        out = F.when(size == m, F.slice(f"f{min(RUN, m)}", F.lit(1), F.least(F.size("list") - (m - 1), F.lit(STEP)))).otherwise(out)
+    return out
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str, salt: str) -> DataFrame:
@@ -134,48 +139,45 @@ def _set_of(column: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("many"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("mixed")]
 
 
-SET_KEY = F.sha2(F.concat_ws(":", "many", "total", "mixed"), 256)
+def _set_key() -> Column:
+    return F.sha2(F.concat_ws(":", "many", "total", "mixed"), 256)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = materialize(segments(rows, "text"), "winnow-segments")
+    rows = materialize(rows, "winnow-rows")
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     items = materialize(segments(items, "text").where("n_words > 0"), "winnow-items")
-    base = parts.where("begin = 0").select("row", "doc_id", "n_words")
-    lengths = sorted(r["n"] for r in items.select(F.least("n_words", F.lit(WINDOW)).alias("n")).distinct().collect())  # at most WINDOW
-    if not lengths:
-        nothing = F.sha2(F.lit("").cast("binary"), 256)
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-                           nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    classes = classes_of(lengths)
-    n = F.size("list")
-
-    # the benchmark's fingerprints, of items that a class finds, and its windows as texts
-    marks = None
-    for c, (_, _, found) in enumerate(classes):
-        own = fingerprints(items.where(F.least("n_words", F.lit(WINDOW)).isin(found)), classes[c:c + 1], []).select(
-            F.lit(c).alias("class"), "hash")
-        marks = own if marks is None else marks.union(own)
-    marks = materialize(marks.distinct(), "winnow-marks")
-    size = F.least("n_words", F.lit(WINDOW)).cast("int")
-    listed = items.select("item", size.alias("size"), _once(_split("words")).alias("list"))
-    texts = F.transform(_sequence(1, F.least(n - F.col("size") + 1, F.lit(STEP))), lambda i: F.array_join(
-        F.slice("list", i, F.col("size")), " "))
-    windows = materialize(listed.select("item", F.explode(F.array_distinct(texts)).alias("window")).distinct(), "winnow-windows")
-    known = windows.where("item is not null").groupBy("window").agg(*_set_of("item")).select("window", SET_KEY.alias("items"))
+    own = F.least("n_words", F.lit(WINDOW))
+    lengths = sorted(r["n"] for r in items.select(own.alias("n")).distinct().collect())  # at most WINDOW
+    runs = runs_of(lengths)
+
+    # the benchmark's fingerprints, and its windows as texts
+    items = fingerprints(items, runs).withColumn("f", _of_size(own, lengths))
+    marks = materialize(items.select(F.least(own, F.lit(RUN)).cast("int").alias("size"), F.explode(F.array_distinct("f")).alias("hash"))
+                        .distinct(), "winnow-marks")
+    texts = F.transform("f", lambda h, i: F.array_join(F.slice("list", i + 1, own.cast("int")), " "))
+    windows = materialize(items.select("item", F.explode(F.array_distinct(texts)).alias("window")).distinct(), "winnow-windows")
+    known = windows.where("item is not null").groupBy("window").agg(*_set_of("item")).select("window", _set_key().alias("items"))
     known = materialize(windows.select("window").distinct().join(known, "window", "left"), "winnow-known")
 
-    # documents' fingerprints among them
-    hits = _meet(fingerprints(parts, classes, ["row", "begin"]), marks, ["class", "hash"], "left_semi", "row")
-    spots = hits.groupBy("row", "begin").agg(F.collect_set(F.struct("class", "place")).alias("spots"))
-    spots = small(materialize(spots, "winnow-spots"))
-
-    # extension: windows around the hits, each in the segment where it starts
-    around = F.concat(*[_windows_around(c, k, m) for c, (k, _, found) in enumerate(classes) for m in found])
-    near = parts.join(spots, ["row", "begin"]).select("row", "begin", "spots", _once(_split("words")).alias("list"))
+    # documents' fingerprints, each once a segment, among them
+    parts = materialize(fingerprints(segments(rows, "text"), runs).select(
+        "row", "doc_id", "n_words", "begin", *[F.array_distinct(f"f{m}").alias(f"f{m}") for m in runs]), "winnow-parts")
+    base = parts.where("begin = 0").select("row", "doc_id", "n_words")
+    found = [parts.select("row", "begin", F.lit(m).alias("size"), F.explode(f"f{m}").alias("hash")) for m in runs]
+    found = reduce(DataFrame.union, found, base.limit(0).select("row", "n_words", F.lit(0), "n_words").toDF("row", "begin", "size", "hash"))
+    hits = _meet(found, marks, ["size", "hash"], "left_semi", "row").groupBy("row", "begin").agg(
+        F.collect_set(F.struct("size", "hash")).alias("hits"))
+    hits = materialize(hits, "winnow-hits")
+
+    # extension: the windows of those fingerprints, each in the segment where it starts
+    hit_rows = small(materialize(hits.select("row").distinct(), "winnow-hit-rows"))
+    near = segments(rows.join(hit_rows, "row", "left_semi").select("row", "text"), "text").join(small(hits), ["row", "begin"])
+    near = fingerprints(near.select("row", "begin", "hits", "list"), runs)
+    around = F.concat(F.array().cast(WINDOW_TYPE), *[_windows(m, _among(m)) for m in lengths])
     near = near.select("row", F.explode(around).alias("w")).select("row", "w.*")
     matched = materialize(_meet(near, known, ["window"], "inner", "row").select("row", "first", "size", "items"), "winnow-matched")
 
@@ -187,7 +189,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
 
     # documents with the same sets of windows' items share one list
     keys = matched.where("items is not null").select("row", "items").distinct()
-    lists = keys.groupBy("row").agg(*_set_of("items")).select("row", SET_KEY.alias("list"))
+    lists = keys.groupBy("row").agg(*_set_of("items")).select("row", _set_key().alias("list"))
     lists = materialize(lists, "winnow-lists")
     speaker = lists.groupBy("list").agg(F.min("row").alias("row"))
     one = known.where("items is not null").groupBy("items").agg(F.min("window").alias("window"))

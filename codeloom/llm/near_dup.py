@@ -5,43 +5,42 @@ lower case).  Documents with the same set are one node from the start.
 
 1. Every node gets ``TREES`` root tokens (minwise, 64 bits) and ``SKETCH`` one-byte
    minwise values.  In each of the independent trees, nodes are branched by their root
-   token; a tree node with more than ``LEAF`` members is branched again by a sketch
+   token; a tree node with more than ``LEAF`` members is branched again by the sketch
    value chosen by its path, down to ``DEPTH``.
 2. Members of a small tree node are compared exhaustively on their sketches with a
    wide margin (estimate at least ``LOOSE``); members of a node that does not split any
    more agree on all values of its path and are tied together.  The ties' components
    are candidate clusters.
-3. Full sets meet within their cluster, in tiles of bounded size; every pair of a cluster
-   is checked exactly (100 * intersection >= 80 * union).  Each tile pair returns a
-   spanning forest of its links, and the links' components are the result.
-
-Recall: a pair at the threshold shares a root token with probability 0.8 in each of 16
-trees and keeps a branching with the share of its sketch values that agree (0.8 in the mean).
-``fans`` branches hot paths so often that the pair is missed with at most ``MISS`` at every
-depth, however large the family around it is; with one value a branching it would be 2e-7 at
-one, 3e-5 at two and 1e-2 at five (``missed``).  Sketches below ``LOOSE`` at a similarity of
+3. Full sets meet within their cluster and every pair that may join two components is
+   checked exactly (100 * intersection >= 80 * union).  Members of a cluster above one tile
+   meet one pivot first; those linked to it are one component, so only pairs with an
+   open member, in tiles of bounded size, are left.  Each tile returns a spanning forest of
+   its links, and the links' components are the result.
+
+Recall: a pair at the threshold shares a root token with probability 0.8 in each tree and keeps a
+branching with the share of its sketch values that agree (0.8 in the mean).  ``TREES`` is the
+fewest trees, in tens, that miss the pair with at most ``MISS`` at the deepest branching
+(``missed``); at one branching the miss is below 1e-17.  Sketches below ``LOOSE`` at a similarity of
 0.8 are rarer than 1e-6.  All checked pairs of a cluster count, so chains make up for
 single misses.
 
-Scale: documents travel as 300-byte rows; tree rows are 24 bytes (and 170 for the few that
+Scale: nodes travel by number, as rows of 24 bytes a tree (and 150 for the few that
 share a token).  Text is read again only for members of clusters, and shuffled only if those
 are too many to broadcast.  Copies are never expanded into pairs, counts are map-side
-combined, hot tree nodes are branched, and large clusters are cut into tile pairs.  A
-cluster's work grows with the square of its different texts, in parallel tasks.
+combined, hot tree nodes are branched.  A cluster's work is its members times its open blocks.
 
 Defined results: null or blank text has an empty set, links with nothing and is kept; with
 fewer words than a shingle the whole sequence is the one shingle; a null doc_id counts as
 larger than any and is kept if its component holds null ids only; rows with equal doc_id and
-text share a component; extra columns are ignored; an empty table gives an empty result.
-With ``row`` (a number of each row's own) the rows of a component are told apart by it: one of
-them is kept, and a text is met by its row, so repeated and null ids cost nothing extra.
+text share a component; extra columns are ignored; an empty table gives an empty result.  Texts
+are met by id and digest, so null and repeated ids cost nothing extra.
+With ``row`` (a number of each row's own) the rows of a component are told apart by it, and one of
+them is kept.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,40 +55,28 @@ from codeloom.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
-TREES = 16
+TREES = 40
 SKETCH = 128
 LEAF = 48
 DEPTH = 6
-MISS = 1e-6  # of a pair at the threshold, at the deepest branching
+MISS = 1e-4  # of a pair at the threshold, at the deepest branching
 LOOSE = 0.6
 TILE_NODES = 256
 TILE_SHINGLES = 1 << 20
+SALTS = 16
 NULL_ID = (1 << 63) - 1
 
 
-def missed(fan: tuple[int, ...], similarity: float = THRESHOLD / 100) -> float:
-    """Probability that no tree keeps a pair through ``len(fan)`` branchings by ``fan`` values each."""
+def missed(branchings: int, similarity: float = THRESHOLD / 100, trees: int = TREES) -> float:
+    """Probability that no tree keeps a pair through ``branchings`` sketch values after the root."""
     out = 0.0
     for agree in range(SKETCH + 1):
-        share, kept = agree / SKETCH, 1.0
-        for values in reversed(fan):
-            kept = 1 - (1 - share * kept) ** values
+        kept = (agree / SKETCH) ** branchings
         out += (math.comb(SKETCH, agree) * similarity ** agree * (1 - similarity) ** (SKETCH - agree)
-                * (1 - similarity * kept) ** TREES)
+                * (1 - similarity * kept) ** trees)
     return out
 
 
-@cache
-def fans(similarity: float = THRESHOLD / 100, target: float = MISS) -> tuple[int, ...]:
-    """Values that a hot path is branched by, per level: the fewest that hold ``target`` at every depth."""
-    for most in range(1, 9):
-        fit = [f for f in itertools.product(range(1, most + 1), repeat=DEPTH - 1) if max(f) == most
-               and missed(f, similarity) <= target and all(missed(f[:i], similarity) <= target for i in range(DEPTH - 1))]
-        if fit:
-            return min(fit, key=lambda f: (math.prod(f), sum(math.prod(f[:i]) for i in range(DEPTH))))
-    raise ValueError(f"no branching holds a miss of {target} at similarity {similarity}")
-
-
 def multipliers() -> np.ndarray:
     """One odd multiplier per root token and sketch value."""
     return mix(np.arange(1, TREES + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -135,11 +122,11 @@ def _signer(k: int):
                 sets = shingle_sets(part["text"], k)
                 signs = [minwise(s, a) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+                    part["doc_id"], part["digest"], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) for s in sets], pa.binary()),
                     pa.array([None if m is None else m[:TREES].view(np.int64) for m in signs], pa.list_(pa.int64())),
                     pa.array([None if m is None else m[TREES:].astype(np.uint8).tobytes() for m in signs], pa.binary()),
-                ], ["doc_id", "n_shingles", "node", "roots", "sketch"])
+                ], ["doc_id", "digest", "n_shingles", "node", "roots", "sketch"])
     return run
 
 
@@ -188,7 +175,7 @@ def _compare_leaves(batches):
     need = int(np.ceil(LOOSE * SKETCH))
     for table in grouped(batches, "path"):
         run = _runs(table["path"].combine_chunks())
-        nodes = table["node"].to_pylist()
+        nodes = table["node"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
         left, right = [], []
         for step in range(1, LEAF):
@@ -203,8 +190,7 @@ def _compare_leaves(batches):
         b = np.concatenate(right) if right else np.zeros(0, np.int64)
         root = forest(len(nodes), a, b)
         tied = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in tied], pa.binary()),
-                                          pa.array([nodes[root[i]] for i in tied], pa.binary())], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], ["u", "v"])
 
 
 def _sized(rows: DataFrame, count: int) -> DataFrame:
@@ -216,7 +202,6 @@ def _sized(rows: DataFrame, count: int) -> DataFrame:
 
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """(u, v) ties of nodes (node, roots, sketch) whose components are the candidate clusters."""
-    fan = fans()
     count = TREES * nodes.count()
     roots = nodes.select("node", F.posexplode("roots").alias("tree", "token"))
     paths = _sized(roots.select(F.xxhash64("tree", "token").alias("path"), "node"), count)
@@ -227,13 +212,8 @@ def candidate_ties(nodes: DataFrame) -> DataFrame:
         count = stuck.count()
         if not count:
             break
-        # a path's values are at different places of the sketch
-        count *= fan[level - 1]
-        turn = F.explode(F.array(*[F.lit(43 * i) for i in range(fan[level - 1])]))
-        at = F.pmod(F.xxhash64("path", F.lit(level)) + F.col("turn"), F.lit(SKETCH)).cast("int")
-        value = F.expr("substring(sketch, at + 1, 1)")
-        branched = stuck.withColumn("turn", turn).withColumn("at", at).select(
-            F.xxhash64("path", "turn", value).alias("path"), "node", "sketch")
+        at = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
+        branched = stuck.select(F.xxhash64("path", at, F.substring("sketch", at + 1, F.lit(1))).alias("path"), "node", "sketch")
         rows = materialize(narrow(_sized(branched, count), count), "near-paths")
         leaves.append(rows.where(F.col("n") <= LEAF))
         stuck = rows.where(F.col("n") > LEAF).select("path", "node", "sketch")
@@ -241,9 +221,9 @@ def candidate_ties(nodes: DataFrame) -> DataFrame:
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
     leaf = leaf.select("path", "node", "sketch").repartition(partitions(nodes), "path").sortWithinPartitions("path", "node")
-    ties = leaf.mapInArrow(_compare_leaves, "u binary, v binary")
+    ties = leaf.mapInArrow(_compare_leaves, "u long, v long")
     centre = stuck.groupBy("path").agg(F.min("node").alias("v"))
-    tied = stuck.join(centre, "path").select(F.col("node").alias("u"), "v")
+    tied = stuck.join(small(materialize(centre, "near-centres")), "path").select(F.col("node").alias("u"), "v")
     return ties.union(tied.where("u <> v"))
 
 
@@ -251,19 +231,27 @@ def _setter(k: int):
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                nodes = part["node"].to_pylist()
-                keep, sets = [], []
-                for i, s in enumerate(shingle_sets(part["text"], k)):
-                    if node_of(s) == nodes[i]:  # a doc_id may come with other texts
-                        keep.append(i)
-                        sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([nodes[i] for i in keep], pa.binary()), part["cluster"].take(pa.array(keep, pa.int64())),
-                    part["tiles"].take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())],
+                yield pa.RecordBatch.from_arrays(
+                    [part["node"], part["cluster"], part["tiles"],
+                     pa.array([s.tobytes() for s in shingle_sets(part["text"], k)], pa.binary())],
                     ["node", "cluster", "tiles", "shingles"])
     return run
 
 
+def _meets_pivot(percent: int):
+    """Whether each set is linked to its cluster's pivot (both sorted)."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own, pivot in zip(batch["shingles"], batch["pivot"], strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (own, pivot))
+                at = np.searchsorted(b, a)
+                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                out.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["centre"], pa.array(out, pa.bool_())], ["node", "centre", "near"])
+    return run
+
+
 def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs with 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets])
@@ -288,42 +276,75 @@ def _verifier(percent: int):
     def run(batches):
         for table in grouped(batches, "tile"):
             tile = _runs(table["tile"].combine_chunks())
-            nodes, raw = table["node"].to_pylist(), table["shingles"].to_pylist()
+            nodes, raw = table["node"].to_numpy(), table["shingles"].combine_chunks()
+            edges = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             u, v = [], []
-            for a, b in zip(*(lambda x: (x, np.append(x[1:], len(tile))))(np.unique(tile, return_index=True)[1]), strict=True):
-                first = {}
-                for i in range(a, b):
-                    first.setdefault(nodes[i], i)
-                rows = sorted(first.values(), key=lambda i: nodes[i])
+            for a, b in zip(edges, np.append(edges[1:], len(tile)), strict=True):
+                _, first = np.unique(nodes[a:b], return_index=True)
+                rows = a + first
                 if len(rows) < 2:
                     continue
-                x, y = linked([np.frombuffer(raw[i], dtype=np.uint64) for i in rows], percent)
+                x, y = linked([np.frombuffer(raw[int(i)].as_buffer(), dtype=np.uint64) for i in rows], percent)
                 root = forest(len(rows), x, y)
-                for i in np.flatnonzero(root != np.arange(len(rows))):
-                    u.append(nodes[rows[i]])
-                    v.append(nodes[rows[root[i]]])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+                tied = np.flatnonzero(root != np.arange(len(rows)))
+                u.append(nodes[rows[tied]])
+                v.append(nodes[rows[root[tied]]])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u or none)), pa.array(np.concatenate(v or none))], ["u", "v"])
     return run
 
 
+def pivot_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, centre, near) for the members of clusters above one tile: whether each is linked to its centre.
+
+    The centre is the least node.  Centres are copied to ``SALTS`` keys, so a cluster's
+    members are spread.
+    """
+    centres = sets.groupBy("cluster").agg(F.min("node").alias("node"))
+    centres = materialize(sets.join(small(materialize(centres, "near-centres")), ["cluster", "node"]).select(
+        "cluster", F.col("node").alias("centre"), F.col("shingles").alias("pivot")), "near-pivots")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    met = salted.hint("merge").join(centres.select("*", salts), ["cluster", "salt"])
+    return met.select("node", "shingles", "centre", "pivot").mapInArrow(_meets_pivot(percent), "node long, centre long, near boolean")
+
+
 def confirmed_links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): spanning links of every cluster, checked on full sets."""
     count = clusters.count()
-    members = nodes.select("node", "doc_id", "n_shingles").join(small(clusters), "node")
+    members = nodes.select("node", "doc_id", "digest", "n_shingles").join(small(clusters), "node")
     members = materialize(narrow(members, count), "near-members")
     sizes = members.groupBy(F.col("root").alias("cluster")).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
     sizes = small(materialize(narrow(sizes, count), "near-sizes"))
-    wanted = members.withColumnRenamed("root", "cluster").join(sizes, "cluster").select("doc_id", "node", "cluster", "tiles")
+    wanted = members.withColumnRenamed("root", "cluster").join(sizes, "cluster").select("doc_id", "digest", "node", "cluster", "tiles")
     wanted = materialize(narrow(wanted, count), "near-wanted")
-    sets = (texts.join(small(wanted), "doc_id").select("text", "node", "cluster", "tiles")
-            .mapInArrow(_setter(k), "node binary, cluster binary, tiles int, shingles binary"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tile = F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(tile.alias("tile"), "node", "shingles")
-    dealt = dealt.repartition(partitions(texts), "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_verifier(percent), "u binary, v binary")
+    # rows that repeat id and text are the node's text again
+    once = texts.join(small(wanted), ["doc_id", "digest"]).groupBy("node").agg(*[F.first(c).alias(c) for c in ("cluster", "tiles", "text")])
+    sets = materialize(once.select("node", "cluster", "tiles", "text").mapInArrow(
+        _setter(k), "node long, cluster long, tiles int, shingles binary"), "near-sets")
+    many = sets.where("tiles > 1")
+    met = materialize(pivot_links(many, percent), "near-met")
+    n = partitions(texts)
+    # a cluster of one tile; the open members' blocks, each with every other block of its cluster
+    tiles = sets.where("tiles = 1").select(F.xxhash64("cluster").alias("tile"), "node", "shingles")
+    far = met.where("not near")
+    blocks = many.join(far.select("node", "centre"), "node").groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum(F.length("shingles") / 8) / TILE_SHINGLES)).cast("int").alias("blocks"))
+    blocks = small(materialize(blocks, "near-blocks"))
+    dealt = many.join(blocks, "cluster").join(met.select("node", "near"), "node")
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("tiles")).otherwise(F.col("blocks"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    opens = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
+    pair = lambda o, kind, b: F.xxhash64("cluster", o, F.lit(kind), b)
+    with_open = F.transform(opens("blocks"), lambda o: pair(F.least(o, F.col("block")), "open", F.greatest(o, F.col("block"))))
+    with_near = F.transform(opens("tiles"), lambda b: pair(F.col("block"), "near", b))
+    keys = F.when(F.col("near"), F.transform(opens("blocks"), lambda o: pair(o, "near", F.col("block")))).otherwise(
+        F.concat(with_open, with_near))
+    tiles = tiles.union(dealt.select(F.explode(keys).alias("tile"), "node", "shingles"))
+    tiles = tiles.repartition(n, "tile").sortWithinPartitions("tile")
+    checked = tiles.mapInArrow(_verifier(percent), "u long, v long")
+    return checked.union(met.where("near and node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -336,25 +357,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     own, kind = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "long"
     if row:
         own, kind = F.struct(own.alias("id"), F.col(row).cast("long").alias("row")), "struct<id:long,row:long>"
-    texts = df.select(own.alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = df.select(own.alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     signed = materialize(texts.mapInArrow(
-        _signer(shingle), f"doc_id {kind}, n_shingles long, node binary, roots array<long>, sketch binary"), "near-signed")
+        _signer(shingle), f"doc_id {kind}, digest long, n_shingles long, node binary, roots array<long>, sketch binary"), "near-signed")
     count = signed.count()
-    nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"),
-        F.first("sketch").alias("sketch"))
-    nodes = materialize(narrow(nodes, count), "near-nodes")
+    nodes = signed.where("node is not null").groupBy(F.col("node").alias("mark")).agg(
+        F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n_shingles").alias("n_shingles"),
+        F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
+    nodes = materialize(narrow(nodes, count).select(
+        F.monotonically_increasing_id().alias("node"), "mark", "first.*", "n_shingles", "roots", "sketch"), "near-nodes")
     clusters = materialize(components(candidate_ties(nodes)), "near-clusters")
     links = confirmed_links(texts, nodes, clusters, shingle, percent)
     roots = small(materialize(components(links), "near-roots"))
-    found = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = nodes.select("node", "mark", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = materialize(narrow(found, count), "near-found")
     least = found.where("root <> node").select("root").distinct()
     # one row per component of several sets
     least = found.join(least, "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least = materialize(narrow(least, count), "near-least")
     of_node = found.join(small(least), "root", "left").select(
-        "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        F.col("mark").alias("node"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     null = lambda c: F.when(c != NULL_ID, c)

@@ -230,7 +230,8 @@ def _digits(s: str) -> str:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(int(p[:5]) <= 255 and len(p.lstrip("0")) <= 3 for p in s.split("."))
+        parts = [p.lstrip("0") for p in s.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     if kind == "card":
         d = _digits(s)
         return 14 <= len(d) <= 19 and luhn(d)

@@ -188,7 +188,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id",
     rows = df.where(clean).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("vector"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # bounded by SAMPLE
     width = max([len(r["vector"]) for r in sample], default=0)
-    centres = centres_of(np.array([[*r["vector"], *[0] * (width - len(r["vector"]))] for r in sample], dtype=float).reshape(-1, width))
+    centres = centres_of(np.array([[*r["vector"], *[0] * (width - len(r["vector"]))] for r in sample], dtype=float).reshape(len(sample), width))
     placed = materialize(rows.mapInArrow(_placer(centres), "vec_id long, centre int, vector array<long>"), "topk-placed")
     schema = "block long, n int, width int, ids binary, vectors binary"
     n = partitions(df)

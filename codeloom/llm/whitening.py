@@ -179,12 +179,14 @@ def _fitter(width: int, n: int, components: int):
                     sums[j] = value
                 else:
                     scatter[i][j] = value
-        model = fit(sums, scatter, n, components)
-        digits = np.array([str(s) for s in sums])
-        yield pa.RecordBatch.from_arrays([pa.array([packed(model | {"sums": digits})], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([_model(sums, scatter, n, components)], pa.binary())], ["model"])
     return run
 
 
+def _model(sums: list[int], scatter: list[list[int]], n: int, components: int) -> bytes:
+    return packed(fit(sums, scatter, n, components) | {"sums": np.array([str(s) for s in sums])})
+
+
 class Whitener:
     """Centred, projected and scaled rows of a fitted model, and their exact deviations."""
 
@@ -275,10 +277,13 @@ def whiten(df: DataFrame, components: int = COMPONENTS, vec_id: str = "vec_id",
     rows = rows.where(F.size("vector") == width)
     sent = rows.select("vector").mapInArrow(_scatterer(low, np.array([s.bit_length() for s in spans])),
                                             "i int, j int, limbs array<long>")
-    sums = sent.select("i", "j", F.posexplode_outer("limbs").alias("k", "limb")).groupBy("i", "j", "k").agg(F.sum("limb").alias("limb"))
+    # sums of 0 have no limbs, and no row
+    sums = sent.select("i", "j", F.posexplode("limbs").alias("k", "limb")).groupBy("i", "j", "k").agg(F.sum("limb").alias("limb"))
     limbs = (sums.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("k", "limb"))).alias("l"))
-             .select("i", "j", F.transform("l", lambda s: F.coalesce(s["limb"], F.lit(0))).alias("limbs")))
-    model = bytes(limbs.repartition(1).mapInArrow(_fitter(width, n, components), "model binary").first()["model"])
+             .select("i", "j", F.transform("l", lambda s: s["limb"]).alias("limbs")))
+    made = limbs.repartition(1).mapInArrow(_fitter(width, n, components), "model binary").first()
+    # without limbs every vector is the same, and no task runs
+    model = bytes(made["model"]) if made else _model([0] * width, [[0] * width for _ in range(width)], n, components)
     whitener = Whitener(model, low, max(spans), n)
     parts = rows.select("vector").mapInArrow(_covariance(whitener), "i int, j int, part double")
     error = 0.0
