@@ -20,13 +20,14 @@ TRUNCATED_FILE_MARK = "\n\n[...file truncated...]"
 NO_SYMBOLS = "no symbols"
 ELLIPSIS = "…"
 ERROR_TEXT = "[ERROR]"
-PROMPT_TEMPLATE = "Describe the purpose of this {relative} file in one line (max 20 words) {suffix}:\n\n{content}"
+PROMPT_HEAD, PROMPT_TAIL = "Describe the purpose of this ", " file in one line (max 20 words) "
 PROMPT_SUFFIX = {"en": "in English", "ru": "по-русски"}
 LANGUAGE_ALIASES = {"en": "en", "english": "en", "ru": "ru", "russian": "ru"}
 LLM_CONTENT_CAP_BYTES = 8000
 SYMBOLS_SHOWN = 10
 LONG_THRESHOLD = 20
-DEFAULT_MAX_FILE_SIZE = 10 * 1024 * 1024
+MAX_FILE_SIZE = 10 * 1024 * 1024
+BINARY_PREFIX = 1024
 # markdown fence language by path extension
 FENCE_LANGUAGE = {
     "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go",
@@ -164,7 +165,7 @@ def describe_text(symbols, no_truncate: bool = False) -> Column:
     return F.when(F.size(s) == 0, F.lit(NO_SYMBOLS)).otherwise(F.array_join(shown, ", "))
 
 
-def is_binary(content_bin, prefix: int | None = 1024) -> Column:
+def is_binary(content_bin, prefix: int | None = None) -> Column:
     """A NUL byte within the first ``prefix`` bytes (None: anywhere); empty content is not binary."""
     b = col(content_bin)
     part = b if prefix is None else F.substring(b, 1, prefix)
@@ -201,10 +202,11 @@ def normalize_language(lang: str) -> str:
     return LANGUAGE_ALIASES[key]
 
 
-def build_prompt(relative, content, language: str = "ru") -> Column:
+def build_prompt(relative, content, language: str = "ru", cap: int | None = None) -> Column:
+    """The prompt on a file's whole text, or on its first ``cap`` bytes (see ``byte_truncate``)."""
     suffix = PROMPT_SUFFIX[normalize_language(language)]
-    return F.concat(F.lit("Describe the purpose of this "), col(relative),
-                    F.lit(f" file in one line (max 20 words) {suffix}:\n\n"), byte_truncate(content))
+    body = col(content) if cap is None else byte_truncate(content, cap)
+    return F.concat(F.lit(PROMPT_HEAD), col(relative), F.lit(f"{PROMPT_TAIL}{suffix}:\n\n"), body)
 
 
 def unicode_trim(s) -> Column:

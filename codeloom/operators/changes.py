@@ -32,22 +32,26 @@ NO_FINAL_NEWLINE = "\\ No newline at end of file"
 
 
 def _lines(content: str):
-    """Lines between ``\n``, carriage returns kept; a missing final newline is a line of its own."""
+    """(mark, line) between ``\n``, carriage returns kept; a missing final newline is a marked line of its own."""
     c = F.col(content)
     parts = F.split(c, "\n", -1)
-    body = F.when(F.endswith(c, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(
-        F.concat(parts, F.array(F.lit(NO_FINAL_NEWLINE))))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(body)
+    plain = F.transform(F.when(F.endswith(c, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+                        lambda x: F.struct(F.lit(False).alias("mark"), x.alias("line")))
+    mark = F.array(F.struct(F.lit(True).alias("mark"), F.lit(NO_FINAL_NEWLINE).alias("line")))
+    none = F.slice(mark, 1, 0)
+    return F.when(c == "", none).otherwise(F.concat(plain, F.when(F.endswith(c, F.lit("\n")), none).otherwise(mark)))
 
 
 def _line_counts(files: DataFrame, alias: str) -> DataFrame:
-    return (files.select("relative", F.explode(_lines("content")).alias("line"))
-            .groupBy("relative", "line").agg(F.count("*").alias(alias)))
+    return (files.select("relative", F.explode(_lines("content")).alias("l")).select("relative", "l.*")
+            .groupBy("relative", "mark", "line").agg(F.count("*").alias(alias)))
 
 
 def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per modified file, lines added ('+') and removed ('-') with multiplicity.
 
+    ``mark`` tells the note on a missing final newline from a line of the same text.
+
     The modified-path set (paths only) is written once to the checkpoint
     folder, so each snapshot is read exactly twice: hashes, then the lines of
     modified files."""
@@ -55,8 +59,8 @@ def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
                            "modified-paths")
     o = _line_counts(old.join(modified, "relative", "left_semi"), "n_old")
     n = _line_counts(new.join(modified, "relative", "left_semi"), "n_new")
-    d = o.join(n, ["relative", "line"], "full_outer").select(
-        "relative", "line", (F.coalesce("n_new", F.lit(0)) - F.coalesce("n_old", F.lit(0))).alias("delta"))
+    d = o.join(n, ["relative", "mark", "line"], "full_outer").select(
+        "relative", "mark", "line", (F.coalesce("n_new", F.lit(0)) - F.coalesce("n_old", F.lit(0))).alias("delta"))
     return d.filter(F.col("delta") != 0).select(
         "relative", F.when(F.col("delta") > 0, F.lit("+")).otherwise(F.lit("-")).alias("change"),
-        "line", F.abs("delta").cast("bigint").alias("n"))
+        "line", "mark", F.abs("delta").cast("bigint").alias("n"))

@@ -124,9 +124,10 @@ def _call_all(backends: list[Backend]):
 
 
 def describe_llm(files: DataFrame, backends: list[Backend], language: str = "ru",
-                 max_file_size: int | None = T.DEFAULT_MAX_FILE_SIZE,
-                 max_concurrency: int | None = None) -> DataFrame:
-    """(path, relative, text, error, backend) per file.  Raises before any job when
+                 max_file_size: int | None = None,
+                 max_concurrency: int | None = None, prompt_cap: int | None = None) -> DataFrame:
+    """(path, relative, text, error, backend) per file; prompts hold whole texts, or their first
+    ``prompt_cap`` bytes.  Raises before any job when
     no backend is configured."""
     if not backends:
         raise ValueError(NO_BACKENDS)
@@ -134,7 +135,7 @@ def describe_llm(files: DataFrame, backends: list[Backend], language: str = "ru"
     err = (F.when(too_large("size", max_file_size), too_large_message("size", max_file_size or 0))
            .when(F.col("_text").isNull(), F.lit("cannot read: stream did not contain valid UTF-8")))
     # one pass: rows with an error carry it through the same mapInPandas (no call, no second scan)
-    prompt = T.build_prompt("relative", "_text", language)
+    prompt = T.build_prompt("relative", "_text", language, prompt_cap)
     todo = base.select(
         "path", "relative", err.alias("_err"),
         *[F.when(err.isNull(), request_body(prompt, b.model, b.options)).alias(f"body_{j}")

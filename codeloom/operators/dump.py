@@ -53,8 +53,8 @@ def dump_status(files: DataFrame, opts: DumpOptions = DumpOptions()) -> DataFram
                                             F.lit(" > limit "), T.human_size(F.lit(int(opts.max_size))),
                                             F.lit("]")))
     if not opts.include_binary:
-        status = status.when(T.is_binary(raw), F.lit("binary"))
-        reason = reason.when(T.is_binary(raw), F.lit("[BINARY FILE SKIPPED]"))
+        status = status.when(T.is_binary(raw, T.BINARY_PREFIX), F.lit("binary"))
+        reason = reason.when(T.is_binary(raw, T.BINARY_PREFIX), F.lit("[BINARY FILE SKIPPED]"))
     status = status.when(text.isNull(), F.lit("unreadable")).otherwise(F.lit("content"))
     reason = reason.when(text.isNull(), F.lit("[ERROR: unreadable] stream did not contain valid UTF-8"))
     body = text if opts.max_lines is None else T.head_lines(text, opts.max_lines)

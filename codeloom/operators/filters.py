@@ -23,9 +23,8 @@ DEFAULT_EXCLUDE_PATTERN = r"(target|\.git|node_modules|dist|build|\.vscode|\.ide
 # ---------------------------------------------------------------------------
 
 
-def path_regex(pattern: str) -> str:
-    """Reference-dialect path regex -> java.util.regex: Unicode classes, and '$'
-    only at the very end (java's '$' would also match before a final newline)."""
+def end_anchored(pattern: str, end: str) -> str:
+    """``pattern`` with every '$' that is an anchor written as ``end``; not those escaped or in a class."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
         ch = pattern[i]
@@ -38,11 +37,17 @@ def path_regex(pattern: str) -> str:
         elif ch == "]" and in_class:
             in_class = False
         if ch == "$" and not in_class:
-            out.append(r"\z")
+            out.append(end)
         else:
             out.append(ch)
         i += 1
-    return "(?U)" + "".join(out)
+    return "".join(out)
+
+
+def path_regex(pattern: str) -> str:
+    """Reference-dialect path regex -> java.util.regex: Unicode classes, and '$'
+    only at the very end (java's '$' would also match before a final newline)."""
+    return "(?U)" + end_anchored(pattern, r"\z")
 
 
 def include_matches(relative, pattern: str) -> Column:

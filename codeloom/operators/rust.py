@@ -1,13 +1,12 @@
 """Rust items and function spans as a windowed token job.
 
 Rust is analysed structurally in the reference (an AST visitor).  Here the same
-facts come from a token stream and window functions, with no UDF:
+facts come from a token stream and window functions:
 
-1. ``regexp_extract_all`` cuts comments, strings, chars, attributes, macro
-   openers, impl headers, item keywords and ``{ } ; [ ]``; every match also
-   holds the text skipped before its token, so line numbers come from newline
-   counts without newline tokens; ``posexplode`` gives (path, pos, tok) rows
-   and ``content`` is dropped;
+1. ``codeloom.operators.rust_scan`` gives the text without comments and literals,
+   in chunks; one ``regexp_replace`` puts marks around doc comments, attributes, macro
+   openers, impl headers, item keywords and ``{ } ; [ ]``, and a split turns it into
+   tokens, each with the newlines up to the next, before the one shuffle by path;
 2. running windows over (path, pos): line number, brace depth, bracket depth,
    the last delimiter before each token (its *segment*) and whether a token is
    the first item keyword of its segment (the item *head*);
@@ -17,13 +16,12 @@ facts come from a token stream and window functions, with no UDF:
    ``}`` that closes each ``{``;
 5. a running window marks tokens inside macro bodies, which are opaque.
 
-Rows are hash-partitioned by path once (one shuffle of the narrow
-``path, content`` projection of Rust files); every later window is keyed by
-path (plus a sub-key) and reuses that partitioning.  Work per window
-partition is bounded by one file, and files are bounded by the size guard.
+Rows are hash-partitioned by path once (one shuffle of tokens); every later
+window is keyed by path (plus a sub-key) and reuses that partitioning.  Cutting,
+cleaning and tokens of one file run in many tasks; its windows in one, over
+sorted rows that spill.
 
-Accepted divergences from a real parser: block comments, attribute brackets or generics
-nested deeper than ``NESTING`` levels, parenthesised macros holding items, ``{`` inside
+Accepted divergences from a real parser: parenthesised macros holding items, ``{`` inside
 ``impl`` headers, files that balance yet do not parse.
 """
 
@@ -32,106 +30,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.rust_scan import clean_chunks
+
 ITEM_KEYWORDS = ("fn", "struct", "enum", "trait", "type", "const", "mod", "static", "union")
 SYMBOL_KINDS = ("fn", "struct", "enum", "trait", "type", "const", "impl")
 
-NESTING = 32
-
-
-def _nested_block_comment(depth: int = NESTING) -> str:
-    """Rust block comments nest; unrolled to ``depth`` levels, possessive, linear time."""
-    inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
-    for _ in range(depth - 1):
-        inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|" + inner + r")*+\*/"
-    return inner
-
-
-_NESTED_BLOCK_COMMENT = _nested_block_comment()
-
-
-def _brackets(depth: int = NESTING) -> str:
-    """``[...]`` with strings and nested brackets inside, possessive."""
-    part = r"[^\]\[\"]++|\"(?:[^\"\\]++|\\[\s\S])*+\""
-    inner = r"\[(?:" + part + r")*+\]"
-    for _ in range(depth - 1):
-        inner = r"\[(?:" + part + "|" + inner + r")*+\]"
-    return inner
-
-
-_LEX_PARTS = [
-    r"//[^\n]*+",                                           # line comment (doc: ///)
-    _NESTED_BLOCK_COMMENT,                                  # block comment (nests)
-    r"\b[bc]?r(#*+)\"(?:[^\"]++|\"(?!\2))*+\"\2",           # raw string (group 2: hashes)
-    r"b?\"(?:[^\"\\]++|\\[\s\S])*+\"",                      # string / byte string
-    r"'(?:[^'\\\n]|\\'|\\[^\n']{1,10}+)'",                  # char literal (not a lifetime)
-    r"#!?" + _brackets(),                                   # attribute (strings, [..] inside)
+# tokens of cleaned text
+TOKEN = "(?U)(" + "|".join([
+    r"///",                                                 # outer doc comment
+    r"\"",                                                  # string or character literal
+    r"#!?\[\]",                                             # attribute
     r"\b\w++!\s*+(?:\w++\s*+)?\{",                          # brace macro opener
-    r"\bimpl\b(?:[^{;\[]++|\[[^\]]*+\])*+",                 # whole impl header ([T; N] allowed)
+    r"\bimpl\b[^{;]*+",                                     # whole impl header
     r"\bconst(?=\s++(?:fn|unsafe|async|extern)\b)",         # const as a modifier
     r"\b(?:" + "|".join(ITEM_KEYWORDS) + r")\s++(?:r#)?\w++",  # item keyword + name
     r"\b(?:pub|async|unsafe|extern)\b",                     # modifiers
     r"[{};\[\]]",
-]
-# Each match is <gap><token>: the lazily skipped text before a token is part of
-# the match, so newlines are counted from the matches themselves and need no
-# tokens of their own.  Group 1 is the token; the end of the text is an empty
-# one, so that a tail without tokens is one match and not retried from every start.
-LEX = "(?Ud)(?s:.)*?(" + "|".join(_LEX_PARTS) + r"|\z)"
-
+]) + ")"
+BEGIN, END = "\x01", "\x02"
 
-def _balanced_angle(depth: int = NESTING) -> str:
-    inner = r"[^<>]*+"
-    for _ in range(depth):
-        inner = r"(?:[^<>]++|<" + inner + r">)*+"
-    return "<" + inner + ">"
 
+def _outside_angles(header: Column) -> Column:
+    """The header with every ``<...>`` as a space, whatever its depth."""
+    pieces = F.regexp_extract_all(header, F.lit("->|[<>]|[^<>-]++|-"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
 
-_GENERICS = _balanced_angle()
+    def step(state: Column, piece: Column) -> Column:
+        depth = (F.when(piece == "<", state["depth"] + 1).when(piece == ">", F.greatest(state["depth"] - 1, F.lit(0)))
+                 .otherwise(state["depth"]))
+        kept = (F.when((state["depth"] > 0) | (piece == ">"), state["kept"]).when(piece == "<", F.concat(state["kept"], F.lit(" ")))
+                .otherwise(F.concat(state["kept"], piece)))
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+    return F.aggregate(pieces, start, step, lambda state: state["kept"])
 
 
 def impl_name(header: Column) -> Column:
     """'impl<T> a::Trait<T> for X<T> where ...' -> 'Trait'; inherent impls -> the type."""
-    h = F.regexp_replace(header, r"(?s)^impl\s*", "")
-    h = F.regexp_replace(h, r"^" + _GENERICS + r"\s*", "")
+    h = F.regexp_replace(_outside_angles(header), r"(?s)^impl\s*", "")
     h = F.regexp_replace(h, r"(?s)\s+where\b.*$", "")
-    trait = F.regexp_extract(h, r"(?s)^(.*?)\s+for\s+", 1)
-    h = F.when(trait != "", trait).otherwise(h)
-    h = F.regexp_replace(h, r"^!\s*", "")
-    h = F.regexp_replace(h, r"(?U)\s+$", "")
-    h = F.regexp_replace(h, _GENERICS + r"$", "")
-    h = F.substring_index(h, "::", -1)
-    return F.regexp_replace(h, r"(?U)^\s+|\s+$", "")
+    h = F.regexp_replace(h, r"(?s)\s+for\b.*$", "")
+    h = F.regexp_replace(h, r"(?U)^[!\s]+|\s+$", "")
+    return F.regexp_replace(F.substring_index(h, "::", -1), r"(?U)^\s+|\s+$", "")
 
 
-def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
-    t = F.col("t")
-    full = F.regexp_extract_all(F.col("content"), F.lit(LEX), F.lit(0))
-    tok = F.regexp_extract_all(F.col("content"), F.lit(LEX), F.lit(1))
+def _tokens(files: DataFrame, n: int, carry: str | None = None) -> DataFrame:
     extra = [carry] if carry else []
-    toks = files.select("path", *extra,
-                        F.posexplode_outer(F.arrays_zip(full.alias("m"), tok.alias("t"))).alias("pos", "z"))
-    first_row = F.col("pos").isNull() | (F.col("pos") == 0)
-    toks = toks.select("path", F.coalesce("pos", F.lit(0)).alias("pos"),
+    chunks = clean_chunks(files.select("path", "content", *extra), extra, n)
+    marked = F.regexp_replace("text", TOKEN, f"{BEGIN}$1{END}")
+
+    def newlines(c: Column) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    # the first element is the text before the first token
+    parts = F.transform(F.split(marked, BEGIN), lambda x, i: F.struct(
+        F.when(i > 0, F.substring_index(x, END, 1)).alias("t"), newlines(x).alias("nl")))
+    # An explicit partition count: AQE would otherwise coalesce this shuffle by
+    # its (small) byte size, although every byte expands into many token rows.
+    sent = chunks.select("path", *extra, "chunk", parts.alias("parts")).repartition(n, "path")
+    toks = sent.select("path", *extra, "chunk", F.posexplode_outer("parts").alias("i", "z"))
+    t = F.col("t")
+    first_row = F.coalesce("i", F.lit(0)) == 0
+    toks = toks.select("path", (F.shiftleft(F.col("chunk").cast("long"), 32) + F.coalesce("i", F.lit(0))).alias("pos"),
                        *([F.when(first_row, F.col(carry)).alias("_carry")] if carry else []),
-                       F.col("z.m").alias("m"), F.col("z.t").alias("t"))
-    # outer doc comments: '///' but not '////', '/**' but not '/***' or '/**/'
-    is_doc = ((t.startswith("///") & ~t.startswith("////"))
-              | (t.startswith("/**") & ~t.startswith("/***") & ~t.startswith("/**/")))
+                       F.col("z.t").alias("t"), F.coalesce("z.nl", F.lit(0)).alias("nl"))
     c1 = F.substring(t, 1, 1)
-    # Constant checks only (no regex) except for comments: strings end in '"' or '#',
-    # macro openers in '{', modifiers are a fixed word set, everything else is an item head.
-    cls = (F.when(t.isNull() | (t == ""), F.lit("none"))
-           .when(c1 == "/", F.when(is_doc, F.lit("doc")).otherwise(F.lit("cmt")))
+    # constant checks only: literals are one mark, macro openers end in '{', modifiers are a
+    # fixed word set, everything else is an item head
+    cls = (F.when(t.isNull(), F.lit("none"))
+           .when(t == "///", F.lit("doc"))
            .when(t == "{", F.lit("open"))
            .when(t == "}", F.lit("close"))
            .when(t == ";", F.lit("semi"))
            .when(t == "[", F.lit("lb"))
            .when(t == "]", F.lit("rb"))
-           .when(t.startswith("#!["), F.lit("iattr"))
-           .when(t.startswith("#["), F.lit("attr"))
-           .when(c1 == "'", F.lit("chr"))
+           .when(t == "#![]", F.lit("iattr"))
+           .when(c1 == "#", F.lit("attr"))
+           .when(t == '"', F.lit("str"))
            .when(t.endswith("{"), F.lit("macro"))
-           .when(t.endswith('"') | t.endswith("#"), F.lit("str"))
            .when(t.isin("pub", "async", "unsafe", "extern", "const"), F.lit("mod"))
            .when(t.startswith("impl"), F.lit("impl"))
            .otherwise(F.lit("item")))
@@ -139,13 +113,8 @@ def _tokens(files: DataFrame, carry: str | None = None) -> DataFrame:
             .when(cls == "item", F.regexp_extract(t, r"^(\w+)", 1)))
     name = (F.when(cls == "impl", impl_name(t))
             .when(cls == "item", F.regexp_extract(t, r"^\w+\s+((?:r#)?\w+)$", 1)))
-    def newlines(c):
-        return F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))), F.lit(0))
-    m = F.col("m")
-    # nl: newlines in gap + token (advances the next token's line); gap_nl: before this token
-    return toks.select("path", "pos", *(["_carry"] if carry else []), "t", cls.alias("cls"),
-                       kind.alias("kind"), name.alias("name"), (t == "extern").alias("is_extern"),
-                       newlines(m).alias("nl"), (newlines(m) - newlines(t)).alias("gap_nl"))
+    return toks.select("path", "pos", *(["_carry"] if carry else []), cls.alias("cls"), kind.alias("kind"), name.alias("name"),
+                       (t == "extern").alias("is_extern"), "nl")
 
 
 def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str | None = None) -> DataFrame:
@@ -155,13 +124,10 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
     Rows whose content is null pass through as a single row.  ``carry`` names a
     column kept (once per file) and returned, so callers need no join back.
     """
-    src = files.select("path", "content", *([carry] if carry else []))
-    # An explicit partition count: AQE would otherwise coalesce this shuffle by
-    # its (small) byte size, although every byte expands into many token rows.
     spark = files.sparkSession
     n = num_partitions or max(spark.sparkContext.defaultParallelism,
                               int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tk = _tokens(src.repartition(n, "path"), carry).drop("t")
+    tk = _tokens(files, n, carry)
     keep_carry = F.col("_carry").isNotNull() if carry else F.lit(False)
 
     cls = F.col("cls")
@@ -175,7 +141,7 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
     tk = tk.select(
         "*",
         delta.alias("delta"),
-        (F.lit(1) + F.coalesce(F.sum("nl").over(prev), F.lit(0)) + F.col("gap_nl")).alias("line"),
+        (F.lit(1) + F.coalesce(F.sum("nl").over(prev), F.lit(0))).alias("line"),
         F.coalesce(F.sum(delta).over(prev), F.lit(0)).alias("before"),
         F.coalesce(F.sum(bdelta).over(prev), F.lit(0)).alias("bdepth"),
     )
@@ -195,7 +161,7 @@ def rust_items(files: DataFrame, num_partitions: int | None = None, carry: str |
                        | (F.min(F.col("before") + F.col("delta")).over(whole) < 0))
 
     # pass 2 (delimiters and significant tokens): what each segment's head is and where it starts/ends
-    significant = cls.isin("doc", "attr", "mod", "str", "chr", "item", "impl")
+    significant = cls.isin("doc", "attr", "mod", "str", "item", "impl")
     tk = tk.filter(F.col("is_delim") | significant | keep_carry)
     by_seg = Window.partitionBy("path", "seg")
     tk = tk.select(

@@ -116,7 +116,7 @@ def write_results(results: DataFrame, spark: SparkSession, name: str = "results"
 
 
 def incremental_describe(files: DataFrame, results: DataFrame, backends: list, language: str = "ru",
-                         max_file_size: int | None = T.DEFAULT_MAX_FILE_SIZE,
+                         max_file_size: int | None = None,
                          max_concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
     """C4 (llm mode): the cache is consulted *before* the size guard; only
     successful descriptions are stored.  Fresh answers are checkpointed so the

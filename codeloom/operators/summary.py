@@ -3,10 +3,9 @@
     files(path, relative, size, content) -> descriptions(
         path, relative, total_lines, symbols, functions, text, error, from_cache)
 
-Plan shape: one narrow pass computes guards, line counts and regex symbols
-for every file; the token job (``codeloom.operators.rust``) then carries that
-per-file struct through its one shuffle by path, with the content of Rust
-files only, and returns one row per file.
+Plan shape: one narrow pass finishes every file that is not Rust; Rust files go
+through the token job (``codeloom.operators.rust``), which carries their guards
+and line counts through its shuffle by path and returns one row per file.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ DESCRIPTION_COLUMNS = ["path", "relative", "total_lines", "symbols", "functions"
 
 @dataclass(frozen=True)
 class PatternConfig:
-    max_file_size: int | None = T.DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = None
     no_truncate: bool = False
     long_threshold: int = T.LONG_THRESHOLD
     registry: LanguageRegistry = field(default_factory=lambda: DEFAULT_REGISTRY)
@@ -51,38 +50,28 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def file_summary(files: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
-    """One scan, one shuffle.  A single projection computes guards, line counts
-    and regex symbols for every file; the shuffle by path then carries that
-    small per-file struct for all files plus the content of Rust files only,
-    which the token job turns into items inside the same partitions."""
+    """Files of every language but Rust are finished in one projection of the scan: guards,
+    line counts and regex symbols, no shuffle.  Rust files alone go through the token job,
+    which shuffles tokens by path once and carries the guards along."""
     base = with_text(spread(files))
     big = too_large("size", cfg.max_file_size)
     err = (F.when(big, too_large_message("size", cfg.max_file_size or 0))
            .when(F.col("_text").isNull(), F.lit("unreadable")))
-    ext = T.file_ext("relative")
     ok = err.isNull()
-    is_rs = ok & (ext == "rs")
-    carry = F.struct(
-        F.col("relative").alias("relative"),
-        err.alias("error"),
-        is_rs.alias("is_rs"),
-        F.when(ok, T.line_count("_text")).alias("total_lines"),
-        F.when(ok & ~is_rs, regex_symbols("relative", "_text", cfg.registry))
-        .otherwise(empty_symbols()).alias("symbols"))
-    rows = base.select("path", carry.alias("c"), F.when(is_rs, F.col("_text")).alias("content"))
-    items = rust_items(rows, cfg.rust_partitions, carry="c")
-    return _finish(items, cfg)
-
-
-def _finish(items: DataFrame, cfg: PatternConfig) -> DataFrame:
-    c = F.col("c")
-    has_err = c["error"].isNotNull()
-    symbols = (F.when(has_err, empty_symbols())
-               .when(c["is_rs"], F.coalesce("symbols", empty_symbols())).otherwise(c["symbols"]))
-    functions = F.when(c["is_rs"] & ~has_err, F.coalesce("functions", empty_functions())).otherwise(empty_functions())
-    out = items.select("path", c["relative"].alias("relative"), c["total_lines"].cast("bigint").alias("total_lines"),
-                       symbols.alias("symbols"), functions.alias("functions"), c["error"].alias("error"))
-    return out.select(
+    lines = F.when(ok, T.line_count("_text")).cast("bigint")
+    is_rs = T.file_ext("relative").eqNullSafe(F.lit("rs"))
+    plain = base.where(~is_rs).select(
+        "path", "relative", lines.alias("total_lines"),
+        F.when(ok, regex_symbols("relative", "_text", cfg.registry)).otherwise(empty_symbols()).alias("symbols"),
+        empty_functions().alias("functions"), err.alias("error"))
+    carry = F.struct(F.col("relative").alias("relative"), lines.alias("total_lines"), err.alias("error"))
+    rust = rust_items(base.where(is_rs).select("path", carry.alias("c"), F.when(ok, F.col("_text")).alias("content")),
+                      cfg.rust_partitions, carry="c")
+    rust = rust.select(
+        "path", F.col("c.relative").alias("relative"), F.col("c.total_lines").alias("total_lines"),
+        F.coalesce("symbols", empty_symbols()).alias("symbols"), F.coalesce("functions", empty_functions()).alias("functions"),
+        F.col("c.error").alias("error"))
+    return plain.unionByName(rust).select(
         "path", "relative", "total_lines", "symbols", "functions",
         F.when(F.col("error").isNotNull(), F.lit(T.ERROR_TEXT))
         .otherwise(T.describe_text("symbols", cfg.no_truncate)).alias("text"),

@@ -1,12 +1,12 @@
 """Directory tree views of descriptions.
 
-Nodes come from exploding each relative path into its prefixes and one
-``groupBy(node)``; partial aggregation keeps hot directories (a top-level
-folder that prefixes a third of all files) to one row per map task.  Sibling
-order needs only "am I the last child": ``max(name)`` per parent joined back
-on the parent key, so no window has to hold a whole directory.  The ancestor
-bars of the plain view come from one join of every node with its ancestors'
-flags (rows = nodes x depth).  Skewed join keys are left to AQE's skew-join
+A file is its own node: descriptions are neither aggregated nor exploded.
+Directories are the distinct parents of files and the prefixes of these, so
+only directory paths are multiplied by their depth.  Sibling order needs only
+"am I the last child": ``max(name)`` per parent, map-side combined, so no
+window has to hold a whole directory.  The bars in front of a node are those
+of its directory, computed once per directory and passed to all its children
+by the same join on the parent.  Skewed join keys are left to AQE's skew-join
 splitting; the per-parent side holds one row per key.
 
 Renderers emit ``(node, phase, entry)`` rows: phase 0 before a node's
@@ -45,27 +45,52 @@ def tree_nodes(desc: DataFrame, long_threshold: int = T.LONG_THRESHOLD) -> DataF
         F.col("error").alias("error"),
         F.col("symbols").alias("symbols"),
         F.size(long_functions("functions", long_threshold)).cast("bigint").alias("n_long"))
-    files = desc.select(F.split("relative", "/").alias("parts"), d.alias("d"))
-    rows = files.select("parts", "d", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k")).select(
-        F.slice("parts", 1, F.col("k")).alias("nparts"), "k",
-        (F.col("k") < F.size("parts")).alias("inner"),
-        F.when(F.col("k") == F.size("parts"), F.col("d")).alias("d"))
-    nodes = rows.groupBy(F.array_join("nparts", "/").alias("node")).agg(
-        F.first("nparts").alias("parts"),
-        F.first("k").cast("int").alias("depth"),
-        F.bool_or("inner").alias("has_children"),
-        F.max_by("d", F.col("d").isNotNull()).alias("d"))
-    return nodes.select(
-        "node",
-        F.array_join(F.slice("parts", 1, F.col("depth") - 1), "/").alias("parent"),
-        F.element_at("parts", -1).alias("name"),
-        "depth", "parts", "has_children", "d")
+    # read several times (files, directories): written once, descriptions computed once
+    files = materialize(desc.select(F.col("relative").alias("node"), d.alias("d")), "tree-files")
+    parents = files.select(_parent("node").alias("node")).where(F.col("node") != "").distinct()
+    dirs = materialize(parents.select(F.explode(_prefixes(F.split("node", "/"))).alias("node")).distinct(), "tree-dirs")
+    # a path that is a file and also the directory of others (not in a real tree) stays one node
+    both = files.select("node").join(dirs, "node", "left_semi").distinct()
+    files = files.join(both.withColumn("inner", F.lit(True)), "node", "left")
+    none = F.lit(None).cast(files.schema["d"].dataType).alias("d")
+    rows = files.select("node", "d", F.coalesce("inner", F.lit(False)).alias("has_children")).unionByName(
+        dirs.join(both, "node", "left_anti").select("node", none, F.lit(True).alias("has_children")))
+    parts = F.split("node", "/")
+    return rows.select("node", _parent("node").alias("parent"), F.substring_index("node", "/", -1).alias("name"),
+                       F.size(parts).alias("depth"), parts.alias("parts"), "has_children", "d")
+
+
+def _parent(node: str) -> Column:
+    """The directory of a path; '' at the top."""
+    return F.regexp_extract(node, r"(?s)^(.*)/", 1)
+
+
+def _prefixes(parts: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
 def sibling_order(nodes: DataFrame) -> DataFrame:
     """Adds ``is_last`` (last child of its parent in byte order of names)."""
-    last = nodes.groupBy("parent").agg(F.max("name").alias("_last_name"))
-    return nodes.join(last, "parent").withColumn("is_last", F.col("name") == F.col("_last_name")).drop("_last_name")
+    return _with_last(nodes, _last_names(nodes))
+
+
+def _last_names(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("parent").agg(F.max("name").alias("_last_name"))
+
+
+def _with_last(nodes: DataFrame, per_parent: DataFrame) -> DataFrame:
+    return nodes.join(per_parent, "parent").withColumn("is_last", F.col("name") == F.col("_last_name")).drop("_last_name")
+
+
+def _with_bars(nodes: DataFrame) -> DataFrame:
+    """Adds ``is_last`` and ``prefix``, the bars and blanks of a node's ancestors."""
+    last = _last_names(nodes)
+    dirs = _with_last(nodes.filter("has_children").select("node", "parent", "name", "parts"), last)
+    above = dirs.select("node", F.posexplode(_prefixes(F.col("parts"))).alias("i", "above"))
+    own = dirs.select(F.col("node").alias("above"), F.when(F.col("is_last"), F.lit(BLANK)).otherwise(F.lit(BAR)).alias("bar"))
+    bars = above.join(own, "above").groupBy(F.col("node").alias("parent")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "bar"))), lambda x: x["bar"]), "").alias("prefix"))
+    return _with_last(nodes, last.join(bars, "parent", "left")).withColumn("prefix", F.coalesce("prefix", F.lit("")))
 
 
 def _root(nodes: DataFrame) -> DataFrame:
@@ -100,10 +125,9 @@ def _extras(no_long_indicator: bool) -> Column:
 
 
 def materialized_nodes(desc: DataFrame) -> DataFrame:
-    """The node table, written once to the shared checkpoint folder: every
-    renderer reads it several times (siblings, ancestors, root, emptiness) and
-    must not recompute the descriptions behind it."""
-    return materialize(tree_nodes(desc), "tree-nodes")
+    """The node table: every renderer reads it several times (siblings, ancestors, root,
+    emptiness), from the files and directories that ``tree_nodes`` writes once."""
+    return tree_nodes(desc)
 
 
 def _paint(style: str, c: Column) -> Column:
@@ -113,17 +137,10 @@ def _paint(style: str, c: Column) -> Column:
 def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator: bool = False,
                color: bool = False) -> DataFrame:
     """D4 (+W4: levels <= max_depth + 1 are printed); ``color`` adds the terminal styles."""
-    nodes = sibling_order(materialized_nodes(desc))
+    nodes = _with_bars(materialized_nodes(desc))
     if max_depth is not None:
         nodes = nodes.filter(F.col("depth") <= max_depth + 1)
-    ups = F.when(F.col("depth") > 1, F.sequence(F.lit(1), F.col("depth") - 1)).otherwise(F.array().cast("array<int>"))
-    anc = nodes.select("node", F.explode(ups).alias("i"), "parts") \
-        .select("node", "i", F.array_join(F.slice("parts", 1, F.col("i")), "/").alias("anc"))
-    flags = nodes.select(F.col("node").alias("anc"), F.col("is_last").alias("anc_last"))
-    bars = anc.join(flags, "anc").groupBy("node").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "anc_last"))),
-        lambda x: F.when(x["anc_last"], F.lit(BLANK)).otherwise(F.lit(BAR))), "").alias("prefix"))
-    prefix = F.coalesce("prefix", F.lit(""))
+    prefix = F.col("prefix")
     connector = F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
     name = F.col("name")
     if color:
@@ -132,7 +149,7 @@ def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator:
         dir_name = _paint(ANSI_DIR, name)
     else:
         file_name = dir_name = name
-    out = nodes.join(bars, "node", "left").select(
+    out = nodes.select(
         "node",
         F.lit(0).alias("phase"),
         F.concat(prefix, connector,

@@ -37,7 +37,7 @@ class AnalyzeOptions:
     long: int | None = None                  # long-function report threshold instead of a tree
     no_truncate: bool = False
     no_long_indicator: bool = False
-    max_file_size: int | None = T.DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = None
     include: str = Fl.DEFAULT_INCLUDE_PATTERN
     exclude: str = Fl.DEFAULT_EXCLUDE_PATTERN
     respect_gitignore: bool = True

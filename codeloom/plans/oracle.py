@@ -373,8 +373,7 @@ PROMPT_SUFFIX_SQL = {"en": "in English", "ru": "по-русски"}
 
 
 def prompt_sql(lang: str) -> str:
-    return (f"md5('Describe the purpose of this ' || relative || ' file in one line (max 20 words) "
-            f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || {byte_truncate_sql('content')})")
+    return f"md5({_prompt_expr(lang)})"
 
 
 COMPLETION_BODY_SQL = ("'{\"choices\":[{\"message\":{\"content\":' || CASE event_id % 3"
@@ -614,12 +613,11 @@ ev AS (
          {q(C.PATTERN_PARAMS)} AS params, epoch_us(ts) // 1000 AS mtime_ms, props AS text, event_id
   FROM events
 ),
-first_half AS (SELECT * FROM ev WHERE event_id < (SELECT count(*) FROM events) / 2),
 stored AS (
   SELECT path, mode, params, arg_max(mtime_ms, event_id) AS mtime_ms, arg_max(text, event_id) AS text
-  FROM first_half GROUP BY path, mode, params
+  FROM ev WHERE event_id % 3 <> 0 GROUP BY path, mode, params
 ),
-now AS (SELECT path, max(mtime_ms) AS mtime_ms FROM first_half GROUP BY path),
+now AS (SELECT path, max(mtime_ms) AS mtime_ms FROM ev GROUP BY path),
 hits AS (
   SELECT s.* FROM stored s JOIN now n ON n.path = s.path AND n.mtime_ms = s.mtime_ms
   WHERE s.mode = 'click' AND s.params = {q(C.PATTERN_PARAMS)}
@@ -683,7 +681,7 @@ d AS (
          coalesce(nl.n, 0) - coalesce(ol.n, 0) AS delta
   FROM ol FULL OUTER JOIN nl ON ol.relative = nl.relative AND ol.line = nl.line
 )""") + """
-SELECT relative, CASE WHEN delta > 0 THEN '+' ELSE '-' END AS change, line, CAST(abs(delta) AS BIGINT) AS n
+SELECT relative, CASE WHEN delta > 0 THEN '+' ELSE '-' END AS change, line, false AS mark, CAST(abs(delta) AS BIGINT) AS n
 FROM d WHERE delta <> 0"""
 
 
@@ -691,7 +689,7 @@ FROM d WHERE delta <> 0"""
 
 def _prompt_expr(lang: str) -> str:
     return (f"'Describe the purpose of this ' || relative || ' file in one line (max 20 words) "
-            f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || {byte_truncate_sql('content')}")
+            f"{PROMPT_SUFFIX_SQL[lang]}:' || chr(10) || chr(10) || content")
 
 
 def describe_llm_sql(cap: int | None) -> str:
@@ -764,9 +762,14 @@ SELECT relative, CAST(row_number() OVER (ORDER BY relative) AS BIGINT) AS positi
 
 
 def sym_none_sql() -> str:
-    return _with(doc_files_cte()) + """
-SELECT relative, 'no symbols' AS text, CAST(0 AS BIGINT) AS n_symbols FROM doc_files
-WHERE regexp_extract(relative, '[^.]*$', 0) IN ('txt', 'log')"""
+    """Markdown documents have headings; the other extensions have no patterns."""
+    return _with(doc_files_cte(), f"""
+heads AS (SELECT relative, list_distinct(regexp_extract_all(content, '(?m)^#+\\s+(.+)', 1)) AS names,
+          regexp_extract_all(content, '(?m)^#+\\s+(.+)', 1) AS every FROM doc_files WHERE suffix(relative, '.md')),
+first_seen AS (SELECT relative, list_transform(list_sort(list_transform(names, lambda x: [lpad(list_position(every, x)::VARCHAR, 12, '0'), x])),
+          lambda p: 'heading ' || p[2]) AS syms FROM heads)""") + f"""
+SELECT relative, CASE WHEN suffix(relative, '.md') THEN {describe_text_sql('syms')} ELSE 'no symbols' END AS text,
+       CAST(coalesce(len(syms), 0) AS BIGINT) AS n_symbols FROM doc_files LEFT JOIN first_seen USING (relative)"""
 
 
 def incremental_describe_sql(cap: int | None) -> str:

@@ -317,35 +317,37 @@ def tree_json_depth(spark, sf_dir):
 V6_COLUMNS = ["path", "mode", "params", "mtime_ms", "text"]
 
 
+V6_SCHEMA = "path string, mode string, params string, mtime_ms bigint, text string"
+
+
 def _v6(spark, sf_dir):
-    """(stored results after the first half of the versions, current file mtimes, all versions)."""
+    """(results stored while every third version went by unanalysed, the current mtimes over all versions)."""
     ev = C.event_versions(spark, sf_dir)
-    half = ev.select((F.count("*") / 2).alias("h")).scalar()
-    first = materialize(ev.filter(F.col("event_id") < half), "v6-first-half")
-    empty = spark.createDataFrame([], "path string, mode string, params string, mtime_ms bigint, text string")
-    stored = S.cache_upsert(empty, first, "event_id")
-    now = first.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
-    return stored, now, ev, half
+    stored = S.cache_upsert(spark.createDataFrame([], V6_SCHEMA), ev.filter(F.col("event_id") % 3 != 0), "event_id")
+    return stored, ev.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
 
 
 @query("cache_hits", O.cache_hits_sql())
 def cache_hits(spark, sf_dir):
     """Stored 'click' results that are still valid for the current file version."""
-    stored, now, _, _ = _v6(spark, sf_dir)
+    stored, now = _v6(spark, sf_dir)
     return S.cache_hits(stored, now, "click", C.PATTERN_PARAMS).select("path", "mode", "mtime_ms", "text")
 
 
 @query("cache_misses", O.cache_misses_sql())
 def cache_misses(spark, sf_dir):
     """Files that need work for mode 'click' (absent or stale)."""
-    stored, now, _, _ = _v6(spark, sf_dir)
+    stored, now = _v6(spark, sf_dir)
     return S.cache_misses(now, stored, "click", C.PATTERN_PARAMS).select("path", "mtime_ms")
 
 
 @query("cache_upsert", O.cache_upsert_sql())
 def cache_upsert(spark, sf_dir):
     """Stored results upserted with the second half of the versions."""
-    stored, _, ev, half = _v6(spark, sf_dir)
+    ev = C.event_versions(spark, sf_dir)
+    half = ev.select((F.count("*") / 2).alias("h")).scalar()
+    first = materialize(ev.filter(F.col("event_id") < half), "v6-first-half")
+    stored = S.cache_upsert(spark.createDataFrame([], V6_SCHEMA), first, "event_id")
     second = ev.filter(F.col("event_id") >= half)
     return S.cache_upsert(stored, second, "event_id").select(*V6_COLUMNS)
 
@@ -457,11 +459,10 @@ REGISTERED = ("log", "lead", r"(?m)^([A-Za-z]+)")
 
 @query("register_language", O.register_language_sql(*REGISTERED))
 def register_language(spark, sf_dir):
-    """A language added at run time ('.log' files: the leading word of each line)."""
+    """A language added at run time ('.log' files: the leading word of each line), over all documents."""
     from codeloom.functions.patterns import DEFAULT_REGISTRY
     reg = DEFAULT_REGISTRY.register(REGISTERED[0], [(REGISTERED[1], REGISTERED[2])])
-    docs = _docs(spark, sf_dir).filter(T.file_ext("relative") == REGISTERED[0])
-    return A.symbol_rows(A.file_summary(docs, A.PatternConfig(registry=reg)))
+    return A.symbol_rows(A.file_summary(_docs(spark, sf_dir), A.PatternConfig(registry=reg)))
 
 
 # ---------------------------------------------------------------- S1-S6 (directory source), F4
@@ -506,10 +507,8 @@ def sort_files(spark, sf_dir):
 
 @query("sym_none", O.sym_none_sql())
 def sym_none(spark, sf_dir):
-    """Extensions without patterns describe as 'no symbols'."""
-    docs = _docs(spark, sf_dir).filter(T.file_ext("relative").isin("txt", "log"))
-    return A.summary_report(A.file_summary(docs)).select(
-        "relative", "text", "n_symbols")
+    """Of all documents, extensions without patterns describe as 'no symbols'."""
+    return A.summary_report(A.file_summary(_docs(spark, sf_dir))).select("relative", "text", "n_symbols")
 
 
 @query("long_report", O.long_files_sql(20))

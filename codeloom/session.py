@@ -2,7 +2,8 @@
 
 The library never hard-codes a scratch location: lineage cuts and staging
 tables go under ``spark.checkpoint.dir`` as configured by the cluster.  Only
-when that setting is absent (local tests) do we fill in a private temp dir.
+when that setting is absent and the master is local (tests) do we fill in a
+private temp dir; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ARROW_BATCH_BYTES = 8 << 20
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -21,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows sent to a Python worker at once, by bytes: texts differ by orders of magnitude
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BATCH_BYTES),
     # Python data sources need this for filter pushdown into the reader.
     "spark.sql.python.filterPushdown.enabled": "true",
 }
@@ -68,15 +72,18 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on; safe to call on a session we did not build."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared lineage-cut folder: ``spark.checkpoint.dir`` if the cluster set one."""
+    """The shared lineage-cut folder, ``spark.checkpoint.dir``; a temp dir where a local master left it unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="codeloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

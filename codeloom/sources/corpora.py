@@ -32,6 +32,11 @@ def _body(indent: str, cmt: str) -> str:
     return f"repeat('{indent}{cmt} ' || p_name || {NL}, p_size)"
 
 
+def _deep(block: str) -> str:
+    """``block`` in some of the blocks only: one part key of fifty."""
+    return f"CASE WHEN p_partkey % 50 IN (1, 2) THEN {block} ELSE '' END"
+
+
 K = _s("p_partkey")
 S = _s("p_size")
 
@@ -39,9 +44,11 @@ S = _s("p_size")
 CODE_TEMPLATES: dict[str, str] = {
     "rs": f"""CASE p_partkey % 4
       WHEN 0 THEN 'fn f_' || {K} || '() {{' || {NL} || {_body('    ', '//')} || '}}' || {NL}
-      WHEN 1 THEN 'struct S' || {K} || ';' || {NL} || 'impl S' || {K} || ' {{' || {NL}
+      WHEN 1 THEN 'struct S' || {K} || ';' || {NL} || 'impl' || {_deep("'<T: ' || repeat('A<[u8; 2], ', 100) || 'u8' || repeat('>', 100) || '>'")}
+               || ' S' || {K} || ' {{' || {NL}
                || '    pub fn m_' || {K} || '(&self) {{' || {NL} || {_body('        ', '//')} || '    }}' || {NL} || '}}' || {NL}
-      WHEN 2 THEN 'enum E' || {K} || ' {{ A, B }}' || {NL} || 'trait T' || {K} || ' {{' || {NL}
+      WHEN 2 THEN {_deep("repeat('/* enum N { ', 100) || repeat('*/ ', 100)")} || 'enum E' || {K} || ' {{ A, B }}' || {NL}
+               || {_deep("'#[a' || repeat('[b', 100) || repeat(']', 100) || '] '")} || 'trait T' || {K} || ' {{' || {NL}
                || '    fn t_' || {K} || '(&self);' || {NL} || '}}' || {NL}
       ELSE 'const C_' || {K} || ': u32 = ' || {S} || ';' || {NL} || 'type A' || {K} || ' = u32;' || {NL}
                || '/// doc ' || p_name || {NL} || '#[inline]' || {NL} || 'fn g_' || {K} || '() {{' || {NL}

@@ -33,19 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, relative string, size bigint, mtime timestamp, content binary, error string"
-
+from codeloom.operators.filters import end_anchored
 
-def _rust_like(pattern: str) -> str:
-    # '$' means end of text in the reference's dialect; Python's '$' also matches before a final '\n'
-    return pattern.replace("$", r"\Z") if pattern else pattern
+SCHEMA = "path string, relative string, size bigint, mtime timestamp, content binary, error string"
 
 
 def list_tree(root: str, include: str | None = None, exclude: str | None = None):
     """(absolute, relative, size, mtime_seconds) of regular files under ``root``, sorted by relative."""
     root = os.path.realpath(root)
-    inc = re.compile(_rust_like(include)) if include else None
-    exc = re.compile(_rust_like(exclude)) if exclude else None
+    inc = re.compile(end_anchored(include, r"\Z")) if include else None
+    exc = re.compile(end_anchored(exclude, r"\Z")) if exclude else None
     out = []
     for d, dirs, files in os.walk(root, followlinks=False):
         for name in files:

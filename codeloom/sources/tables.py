@@ -23,14 +23,18 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Repartition to the cluster's parallelism only when ``df`` has fewer partitions.
+    """Repartition to the cluster's parallelism only when ``df`` is too small to have that many splits.
 
     Inputs with a single row group come in as one partition; per-row CPU work
-    (regex scans, rendering) would then run in one task.  At scale the input
-    already has far more partitions than cores and this is a no-op.  The
-    explicit count also keeps AQE from coalescing the shuffle by byte size.
+    (regex scans, rendering) would then run in one task.  The size is the
+    optimizer's estimate, so no job runs; an input of a full split per core or
+    more (any large one) is left as it is.  The explicit count also keeps AQE
+    from coalescing the shuffle by byte size.
     """
-    n = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= n:
+    spark = df.sparkSession
+    n = parallelism(spark)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= n * split:
         return df
     return df.repartition(n, key) if key else df.repartition(n)

@@ -33,7 +33,7 @@ def test_line_count(spark):
 def test_is_binary(spark):
     data = [(b"hello world",), (bytes([0, 1, 2, 3]),), (bytes([0x68, 0, 0x65, 0]),), (b"",),
             (b"a" * 1024 + b"\x00",)]
-    assert one(spark, T.is_binary("b"), data, "b binary") == [False, True, True, False, False]
+    assert one(spark, T.is_binary("b", 1024), data, "b binary") == [False, True, True, False, False]
 
 
 def test_lang_tag_and_ext(spark):
