@@ -48,8 +48,10 @@ LONGEST = 3
 SAMPLE = 4
 SAMPLE_LEAST = 2
 MAX_BITS = 1 << 27
-BITS_A_PHRASE = 32
+BITS_A_PHRASE = 12
 SALTS = 8
+#: bytes of text counted at once: index arrays take some forty times as much
+CHUNK = 1 << 20
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 BETWEEN = BREAK.copy()
@@ -77,8 +79,11 @@ def _texts_of(words: Words, first: np.ndarray, k: int) -> pa.Array:
         odd |= words.start[first + j] - words.end[first + j - 1] != 1
     length = end - begin
     stop = np.cumsum(length)
-    data = words.raw[np.repeat(begin - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
-    data = np.where(data == 9, 32, data).astype(np.uint8)
+    # places within a chunk fit 32 bits
+    place = np.repeat((begin - stop + length).astype(np.int32), length)
+    place += np.arange(len(place), dtype=np.int32)
+    data = words.raw[place]
+    data[data == 9] = 32
     plain = pa.Array.from_buffers(pa.large_binary(), len(first), [
         None, pa.py_buffer(np.concatenate(([0], stop)).astype(np.int64)), pa.py_buffer(data)])
     if odd.any():  # several spaces or tabs between two words
@@ -118,7 +123,7 @@ def _counter(levels: tuple[int, ...], proposal=None, before=None):
     """Counts phrases of ``levels``: all, or those whose parts are in ``proposal`` and were not in ``before``."""
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=CHUNK):
                 words, of, names, hashes, whole = _phrases(part)
                 total = np.bincount(of, minlength=len(names))
                 out = [[], [], [], []]
@@ -162,17 +167,18 @@ def _marker(bits: int):
         step = min(1 << 13, len(bitmap))
         chunk = bitmap.reshape(-1, step)
         held = np.flatnonzero(chunk.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([chunk[i].tobytes() for i in held], pa.binary())],
-                                         ["chunk", "bits"])
+        for some in np.array_split(held, len(held) // 128 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk[i].tobytes() for i in some], pa.binary())],
+                                             ["chunk", "bits"])
     return run
 
 
 def _bitmap(phrases: DataFrame, bits: int, base: np.ndarray | None = None) -> np.ndarray:
     """Bitmap of ``phrases`` (lang, phrase) on top of ``base``: ``bits`` bits, whatever the input."""
     out = np.zeros(bits // 8, np.uint8) if base is None else base.copy()
-    # at most 16 tasks, so the parts are at most 16 times the bitmap
-    parts = phrases.select("lang", "phrase").coalesce(16).mapInArrow(_marker(bits), "chunk long, bits binary")
-    for r in parts.toLocalIterator():
+    # at most 2 tasks, so the parts are at most twice the bitmap
+    parts = phrases.select("lang", "phrase").coalesce(2).mapInArrow(_marker(bits), "chunk long, bits binary")
+    for r in parts.collect():
         step = len(r["bits"])
         out[r["chunk"] * step:(r["chunk"] + 1) * step] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return out

@@ -51,14 +51,14 @@ NULL_ID = (1 << 63) - 1
 CHUNK = 4 << 20
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text"):
-    """Slices of a batch with at most about ``CHUNK`` bytes of text (one row at least)."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK):
+    """Slices of a batch with at most about ``limit`` bytes of text (one row at least)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
 
