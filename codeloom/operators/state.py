@@ -32,6 +32,11 @@ def pattern_params(include: str, exclude: str, version: int = PATTERN_CACHE_VERS
                       sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def pattern_params_of(include, exclude, version: int = PATTERN_CACHE_VERSION):
+    """P14 (pattern mode) of columns: the same canonical JSON, one key a row."""
+    return F.to_json(F.struct(T.col(exclude).alias("exclude"), T.col(include).alias("include"), F.lit(version).alias("version")))
+
+
 def llm_params(language: str, backends: list[dict]) -> str:
     """P14 (llm mode): language plus model and temperature of the *first* backend."""
     first = backends[0] if backends else {}

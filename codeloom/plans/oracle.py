@@ -775,3 +775,49 @@ SELECT relative, CASE WHEN suffix(relative, '.md') THEN {describe_text_sql('syms
 def incremental_describe_sql(cap: int | None) -> str:
     return (f"SELECT relative, text, error, CASE WHEN length(relative) % 4 = 0 AND error IS NULL THEN NULL ELSE backend END"
             f" AS backend, length(relative) % 4 = 0 AND error IS NULL AS from_cache FROM ({describe_llm_sql(cap)})")
+
+
+# ------------------------------------------------------------------ chunked files (S3-S5, P3), P9, P14, D7
+
+def _spliced_cte() -> str:
+    """What the spliced documents decode to: one U+FFFD per maximal invalid part."""
+    return f"""
+sp AS (SELECT {C.DOC_RELATIVE_SQL} AS relative, doc_id % 6 AS kind, coalesce(text, '') AS t FROM documents),
+lossy AS (SELECT relative, kind, t,
+    t[1:length(t) // 2] || CASE WHEN kind IN (1, 2, 3) THEN chr(65533) WHEN kind = 4 THEN chr(65533) || chr(65533) ELSE '' END
+    || t[length(t) // 2 + 1:length(t)] || CASE WHEN kind = 5 THEN chr(0) ELSE '' END AS content,
+    strlen(t) + CASE kind WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS size FROM sp)"""
+
+
+def read_strict_sql() -> str:
+    return _with(_spliced_cte()) + """
+SELECT relative, CASE WHEN kind IN (0, 5) THEN md5(content) END AS text_md5,
+       CASE WHEN kind NOT IN (0, 5) THEN 'stream did not contain valid UTF-8' END AS error FROM lossy"""
+
+
+def read_lossy_sql() -> str:
+    return _with(_spliced_cte()) + """
+SELECT relative, CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS text_md5 FROM lossy"""
+
+
+def is_binary_sql(prefix: int) -> str:
+    return _with(_spliced_cte()) + f"""
+SELECT relative, CAST(size AS BIGINT) AS size, kind = 5 AS is_binary, kind = 5 AND size <= {prefix} AS early_nul,
+       kind IN (0, 5) AS valid, CAST({LINE_COUNT_SQL} AS BIGINT) AS total_lines FROM lossy"""
+
+
+def display_path_sql() -> str:
+    return _with(doc_files_cte()) + """
+SELECT relative, relative AS display, '/corpus/' || relative AS absolute_display FROM doc_files"""
+
+
+def cache_key_sql() -> str:
+    return """
+SELECT DISTINCT source, lang, CAST(json_object('exclude', 'tmp|' || lang, 'include', source || '/.*"\\.(md|txt)$', 'version', 1) AS VARCHAR)
+       AS params FROM documents"""
+
+
+def empty_tree_sql() -> str:
+    return _with(doc_files_cte()) + """
+SELECT view, '' AS node, entry FROM (VALUES ('plain', 'No matching files found.'), ('json', '[]'), ('xml', '<files />')) v(view, entry)
+WHERE NOT EXISTS (SELECT 1 FROM doc_files WHERE suffix(relative, '.nothing'))"""

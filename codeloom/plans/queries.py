@@ -18,6 +18,7 @@ from codeloom.operators import tree as Tr
 from codeloom.plans import oracle as O
 from codeloom.plans.registry import query
 from codeloom.session import materialize
+from codeloom.sources import chunks as CH
 from codeloom.sources import corpora as C
 from codeloom.sources import filetree as FT
 from codeloom.streaming import arrivals as ST
@@ -535,3 +536,76 @@ def incremental_describe(spark, sf_dir):
     stored = spark.read.parquet(S.write_results(prior, spark, "prior-llm-results"))
     desc, _ = S.incremental_describe(docs, stored, backends, "en", None)
     return desc.select("relative", "text", "error", "backend", "from_cache")
+
+
+# ---------------------------------------------------------------- S3-S5, P3 (chunked files), P9, P14, D7
+
+CHUNK = 997  # odd and small: characters and spliced bytes lie across many chunk edges
+
+
+def _chunks(spark, sf_dir):
+    return CH.chunk_table(C.spliced_files(spark, sf_dir), CHUNK)
+
+
+def _whole(chunks):
+    """Texts of small files put together again, null if any chunk is."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")
+    return chunks.groupBy("relative").agg(F.when(F.bool_and(F.col("text").isNotNull()), text).alias("text"), F.max("error").alias("error"))
+
+
+@query("read_strict", O.read_strict_sql())
+def read_strict(spark, sf_dir):
+    """S3: every spliced document decoded strictly, chunk by chunk."""
+    return _whole(CH.read_strict(_chunks(spark, sf_dir))).select("relative", F.md5("text").alias("text_md5"), "error")
+
+
+@query("read_lossy", O.read_lossy_sql())
+def read_lossy(spark, sf_dir):
+    """Every spliced document decoded with replacement characters, chunk by chunk."""
+    return _whole(CH.read_lossy(_chunks(spark, sf_dir))).select(
+        "relative", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("is_binary", O.is_binary_sql(T.BINARY_PREFIX))
+def is_binary(spark, sf_dir):
+    """NULs in the first 1024 bytes and anywhere, validity and lines of spliced documents, from chunk facts."""
+    chunks = _chunks(spark, sf_dir)
+    early = CH.file_facts(chunks, T.BINARY_PREFIX, CHUNK).select("relative", F.col("is_binary").alias("early_nul"))
+    return CH.file_facts(chunks, size=CHUNK).join(early, "relative").select("relative", "size", "is_binary", "early_nul", "valid", "total_lines")
+
+
+@query("chunk_scan", O.is_binary_sql(T.BINARY_PREFIX))
+def chunk_scan(spark, sf_dir):
+    """S1 by ranges: the spliced documents written as a tree, scanned as chunks."""
+    from codeloom.session import scratch_path
+    root = scratch_path(spark, "spliced-tree")
+    FT.export_tree(C.spliced_files(spark, sf_dir), root)
+    chunks = materialize(CH.scan_chunks(spark, root, size=CHUNK), "spliced-chunks")
+    early = CH.file_facts(chunks, T.BINARY_PREFIX, CHUNK).select("relative", F.col("is_binary").alias("early_nul"))
+    return CH.file_facts(chunks, size=CHUNK).join(early, "relative").select("relative", "size", "is_binary", "early_nul", "valid", "total_lines")
+
+
+@query("display_path", O.display_path_sql())
+def display_path(spark, sf_dir):
+    """The path shown in exports, relative or absolute."""
+    files = _docs(spark, sf_dir)
+    absolute = D.dump_status(files, D.DumpOptions(absolute_paths=True)).select("relative", F.col("display").alias("absolute_display"))
+    return D.dump_status(files).select("relative", "display").join(absolute, "relative")
+
+
+@query("cache_key", O.cache_key_sql())
+def cache_key(spark, sf_dir):
+    """Canonical parameters of an analysis of each source and language."""
+    docs = C.read_table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    include = F.concat("source", F.lit('/.*"\\.(md|txt)$'))
+    return docs.select("source", "lang", S.pattern_params_of(include, F.concat(F.lit("tmp|"), "lang")).alias("params"))
+
+
+@query("empty_tree", O.empty_tree_sql())
+def empty_tree(spark, sf_dir):
+    """What the tree views print when no file matches, and that they print it only then."""
+    files = Fl.select_paths(_docs(spark, sf_dir), r"\.nothing$", "")
+    desc = materialize(A.file_summary(files), "no-files")
+    views = [("plain", Tr.tree_plain(desc)), ("json", Tr.tree_json(desc)), ("xml", Tr.tree_xml(desc))]
+    out = [v.select(F.lit(name).alias("view"), "node", "entry") for name, v in views]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -163,6 +163,27 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(EPOCH_2024) + F.col("doc_id"))
 
 
+# V8: documents with bytes spliced into the middle (or a NUL at the end), by doc_id % 6
+SPLICES = {1: "C3", 2: "80", 3: "E282", 4: "C0AF"}
+LATE_NUL = 5
+
+
+def spliced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document files as bytes: plain, with invalid sequences of several kinds, or with a late NUL."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    kind = F.col("doc_id") % 6
+    splice = F.when(kind == LATE_NUL, F.lit(""))
+    for k, bytes_ in SPLICES.items():
+        splice = splice.when(kind == k, F.lit(bytes_))
+    content = F.concat(F.encode(F.substring(text, F.lit(1), half), "UTF-8"), F.unhex(F.coalesce(splice, F.lit(""))),
+                       F.encode(F.substring(text, half + 1, F.char_length(text)), "UTF-8"),
+                       F.when(kind == LATE_NUL, F.lit(b"\x00")).otherwise(F.lit(b"")))
+    return docs.select(F.expr(DOC_RELATIVE_SQL).alias("relative"), content.alias("content")).select(
+        F.concat(F.lit("/corpus/"), "relative").alias("path"), "relative", "content")
+
+
 def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: one markdown file per conversation, a heading per turn."""
     conv = read_table(spark, sf_dir, "conversations")
