@@ -81,8 +81,10 @@ class Inputs:
     def __init__(self, p, words: Words, hashes: np.ndarray):
         distinct, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(p["vocabulary"], distinct)
-        place[place == len(p["vocabulary"])] = 0
-        self.word = np.where(p["vocabulary"][place] == distinct, place + 1, 0) if len(distinct) else place
+        inside = np.flatnonzero(place < len(p["vocabulary"]))
+        held = inside[p["vocabulary"][place[inside]] == distinct[inside]]
+        self.word = np.zeros(len(distinct), np.int64)
+        self.word[held] = place[held] + 1
         self.pad = len(distinct)
         self.x = np.zeros((len(distinct) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if len(distinct):
