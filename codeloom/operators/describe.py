@@ -147,7 +147,8 @@ def describe_llm(files: DataFrame, backends: list[Backend], language: str = "ru"
 
 
 def llm_descriptions(described: DataFrame) -> DataFrame:
-    """Description-shaped rows (for trees and caches) from describe_llm output."""
+    """Description-shaped rows (for trees and caches) from describe_llm or incremental_describe output."""
+    cached = F.col("from_cache") if "from_cache" in described.columns else F.lit(False).alias("from_cache")
     return described.select("path", "relative", F.lit(None).cast("bigint").alias("total_lines"),
                             empty_symbols().alias("symbols"), empty_functions().alias("functions"),
-                            "text", "error", F.lit(False).alias("from_cache"))
+                            "text", "error", cached)

@@ -158,6 +158,12 @@ def tree_plain(desc: DataFrame, max_depth: int | None = None, no_long_indicator:
     return _with_empty(out, nodes, EMPTY_PLAIN)
 
 
+def _description(d: Column) -> Column:
+    """All symbols; without any, the description's own text (a model's answer), but for errors."""
+    text = F.when(d["error"].isNull(), F.coalesce(d["text"], F.lit(T.NO_SYMBOLS))).otherwise(F.lit(T.NO_SYMBOLS))
+    return F.when(F.size(d["symbols"]) == 0, text).otherwise(F.array_join(d["symbols"], ", "))
+
+
 # ------------------------------------------------------------------ D6 xml
 
 def tree_xml(desc: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -168,7 +174,7 @@ def tree_xml(desc: DataFrame, max_depth: int | None = None) -> DataFrame:
         allnodes = allnodes.filter(F.col("depth") <= max_depth + 1)
     name = T.xml_attr_escape("name")
     d = F.col("d")
-    full = F.when(F.size(d["symbols"]) == 0, F.lit(T.NO_SYMBOLS)).otherwise(F.array_join(d["symbols"], ", "))
+    full = _description(d)
     file_el = F.concat(F.lit('<file name="'), name, F.lit('" description="'), T.xml_attr_escape(full),
                        F.lit('" long_functions="'), d["n_long"].cast("string"), F.lit('" total_lines="'),
                        F.coalesce(d["total_lines"], F.lit(0)).cast("string"), F.lit('" />'))
@@ -209,7 +215,7 @@ def tree_json(desc: DataFrame, max_depth: int | None = None) -> DataFrame:
     name = T.json_string("name")
     stub = F.concat(i0, F.lit("{\n"), i1, F.lit('"name": '), name, F.lit(",\n"), i1,
                     F.lit('"truncated": true\n'), i0, F.lit("}"), comma)
-    full = F.when(F.size(d["symbols"]) == 0, F.lit(T.NO_SYMBOLS)).otherwise(F.array_join(d["symbols"], ", "))
+    full = _description(d)
     symbols = F.when(F.size(d["symbols"]) == 0, F.concat(i1, F.lit('"symbols": []'))).otherwise(
         F.concat(i1, F.lit('"symbols": [\n'),
                  F.array_join(F.transform(d["symbols"], lambda s: F.concat(i2, T.json_string(s))), ",\n"),

@@ -4,11 +4,12 @@
 
     path string, relative string, size bigint, mtime timestamp, content binary, error string
 
-Planning (driver) only lists metadata: regular files, hidden ones included,
+Planning opens at most ``listTasks`` directories from the top down; the subtrees below are
+listed and read by tasks of their own: regular files, hidden ones included,
 symbolic links and directories skipped, relative paths with '/' separators.
-Include / exclude patterns and the size cap are applied while listing, so
-excluded or oversized files are never opened.  Files are packed into input
-partitions of about ``partitionBytes`` bytes, and executors read the content.
+Include / exclude patterns, the size cap and Spark's filters on path, relative and size
+(``pushFilters``) are applied while listing, so files they reject are never opened, and
+directories that cannot hold a pushed prefix are not entered.
 Spark's ``binaryFile`` source is not used because it silently skips names
 starting with '.' or '_' (``__init__.py``, ``.env``).
 
@@ -28,84 +29,155 @@ import datetime
 import itertools
 import os
 import re
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
+                                    InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains,
+                                    StringEndsWith, StringStartsWith)
 
 from codeloom.operators.filters import end_anchored
 
 SCHEMA = "path string, relative string, size bigint, mtime timestamp, content binary, error string"
 
 
-def list_tree(root: str, include: str | None = None, exclude: str | None = None):
-    """(absolute, relative, size, mtime_seconds) of regular files under ``root``, sorted by relative."""
-    root = os.path.realpath(root)
-    inc = re.compile(end_anchored(include, r"\Z")) if include else None
-    exc = re.compile(end_anchored(exclude, r"\Z")) if exclude else None
-    out = []
-    for d, dirs, files in os.walk(root, followlinks=False):
-        for name in files:
-            p = os.path.join(d, name)
-            if os.path.islink(p) or not os.path.isfile(p):
-                continue
-            rel = os.path.relpath(p, root).replace("\\", "/")
-            if exc is not None and exc.search(rel):
-                continue
-            if inc is not None and not inc.search(rel):
-                continue
+class Selection:
+    """Which files of a tree are wanted, told from metadata: include / exclude patterns and pushed filters."""
+
+    def __init__(self, include: str | None = None, exclude: str | None = None):
+        self.include, self.exclude = include, exclude
+        self.filters: list[Filter] = []
+
+    def push(self, f: Filter) -> bool:
+        """Takes a filter on path, relative or size; False if it is of another kind."""
+        inner = f.child if isinstance(f, Not) else f
+        known = isinstance(inner, (EqualTo, EqualNullSafe, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual,
+                                   StringStartsWith, StringEndsWith, StringContains, IsNull, IsNotNull))
+        if not known or inner.attribute not in (("path",), ("relative",), ("size",)):
+            return False
+        self.filters.append(f)
+        return True
+
+    def wants(self, path: str, relative: str, size: int | None) -> bool:
+        if self.exclude and re.search(end_anchored(self.exclude, r"\Z"), relative):
+            return False
+        if self.include and not re.search(end_anchored(self.include, r"\Z"), relative):
+            return False
+        row = {"path": path, "relative": relative, "size": size}
+        return all(_holds(f, row) is True for f in self.filters)
+
+    def may_hold(self, relative_dir: str) -> bool:
+        """Whether wanted files can lie under a directory (False by their common start only)."""
+        under = f"{relative_dir}/" if relative_dir else ""
+        starts = [f.value for f in self.filters if isinstance(f, StringStartsWith) and f.attribute == ("relative",)]
+        starts += [f.value for f in self.filters if isinstance(f, (EqualTo, EqualNullSafe)) and f.attribute == ("relative",)]
+        return all(v.startswith(under) or under.startswith(v) for v in starts)
+
+
+def _holds(f: Filter, row: dict) -> bool | None:
+    """SQL truth of a pushed filter (None: unknown)."""
+    if isinstance(f, Not):
+        inner = _holds(f.child, row)
+        return None if inner is None else not inner
+    have = row[f.attribute[0]]
+    if isinstance(f, IsNull):
+        return have is None
+    if isinstance(f, IsNotNull):
+        return have is not None
+    if isinstance(f, EqualNullSafe):
+        return have == f.value
+    if have is None:
+        return None
+    if isinstance(f, In):
+        return True if have in f.value else None if None in f.value else False
+    if f.value is None:
+        return None
+    return {EqualTo: lambda: have == f.value, GreaterThan: lambda: have > f.value, GreaterThanOrEqual: lambda: have >= f.value,
+            LessThan: lambda: have < f.value, LessThanOrEqual: lambda: have <= f.value,
+            StringStartsWith: lambda: have.startswith(f.value), StringEndsWith: lambda: have.endswith(f.value),
+            StringContains: lambda: f.value in have}[type(f)]()
+
+
+def list_directory(root: str, relative: str):
+    """(files, subdirectories) of one directory: (path, relative, size, mtime, error) rows and relative paths.
+
+    Regular files, hidden ones included; links are skipped.
+    """
+    files, dirs = [], []
+    try:
+        entries = os.scandir(os.path.join(root, relative) if relative else root)
+    except OSError as e:
+        return [(os.path.join(root, relative), relative, None, None, str(e))], []
+    with entries:
+        for e in entries:
+            rel = f"{relative}/{e.name}" if relative else e.name
             try:
-                st = os.stat(p)
-                out.append((p, rel, st.st_size, st.st_mtime, None))
-            except OSError as e:
-                out.append((p, rel, None, None, str(e)))
-    out.sort(key=lambda r: r[1].encode("utf-8", "surrogateescape"))
-    return out
+                if e.is_symlink():
+                    continue
+                if e.is_dir(follow_symlinks=False):
+                    dirs.append(rel)
+                elif e.is_file(follow_symlinks=False):
+                    st = e.stat(follow_symlinks=False)
+                    files.append((e.path, rel, st.st_size, st.st_mtime, None))
+            except OSError as err:
+                files.append((e.path, rel, None, None, str(err)))
+    return files, dirs
+
 
+class _Subtrees(InputPartition):
+    """Directories to walk, and files already listed."""
 
-class _Files(InputPartition):
-    def __init__(self, rows):
-        self.rows = rows
+    def __init__(self, dirs, files):
+        self.dirs, self.files = dirs, files
 
 
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["root"]
-        self.include = options.get("include")
-        self.exclude = options.get("exclude")
+        self.root = os.path.realpath(options["root"])
+        self.selection = Selection(options.get("include"), options.get("exclude"))
         self.max_size = int(options["maxSize"]) if options.get("maxSize") else None
-        self.part_bytes = int(options.get("partitionBytes", 64 * 1024 * 1024))
+        self.tasks = int(options.get("listTasks", 64))
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.selection.push(f):
+                yield f
 
     def partitions(self):
-        rows = list_tree(self.root, self.include, self.exclude)
-        parts, cur, acc = [], [], 0
-        for r in rows:
-            cur.append(r)
-            acc += (r[2] or 0) + 4096  # per-file open cost
-            if acc >= self.part_bytes:
-                parts.append(_Files(cur))
-                cur, acc = [], 0
-        if cur or not parts:
-            parts.append(_Files(cur))
-        return parts
+        """Subtrees for the tasks to list: at most ``listTasks`` directories are opened here, from the top down."""
+        todo, files, opened = deque([""]), [], 0
+        while todo and len(todo) < self.tasks and opened < self.tasks:
+            found, dirs = list_directory(self.root, todo.popleft())
+            opened += 1
+            files += [r for r in found if r[4] or self.selection.wants(*r[:3])]
+            todo += [d for d in dirs if self.selection.may_hold(d)]
+        return [_Subtrees([d], []) for d in todo] + [_Subtrees([], files[i::8]) for i in range(min(8, len(files)))] or [_Subtrees([], [])]
 
     def read(self, partition):
-        for path, rel, size, mtime, err in partition.rows:
-            ts = (datetime.datetime.fromtimestamp(mtime, tz=datetime.timezone.utc)
-                  if mtime is not None else None)
-            content = None
-            if err is None and (self.max_size is None or size <= self.max_size):
-                try:
-                    with open(path, "rb") as fh:
-                        content = fh.read()
-                except OSError as e:
-                    err = str(e)
-            yield (path, rel, size, ts, content, err)
+        yield from map(self._row, partition.files)
+        todo = deque(partition.dirs)
+        while todo:
+            found, dirs = list_directory(self.root, todo.popleft())
+            todo += [d for d in dirs if self.selection.may_hold(d)]
+            yield from (self._row(r) for r in found if r[4] or self.selection.wants(*r[:3]))
+
+    def _row(self, r):
+        path, rel, size, mtime, err = r
+        ts = datetime.datetime.fromtimestamp(mtime, tz=datetime.timezone.utc) if mtime is not None else None
+        content = None
+        if err is None and (self.max_size is None or size <= self.max_size):
+            try:
+                with open(path, "rb") as fh:
+                    content = fh.read()
+            except OSError as e:
+                err = str(e)
+        return path, rel, size, ts, content, err
 
 
 class FileTreeSource(DataSource):
-    """Options: root (required), include, exclude, maxSize (content not read above it),
-    partitionBytes (target bytes per input partition)."""
+    """Options: root (required), include, exclude, maxSize (content not read above it), listTasks (subtrees
+    that are listed and read as tasks).  Filters on path, relative and size are pushed into the listing."""
 
     @classmethod
     def name(cls):
@@ -123,7 +195,7 @@ def register(spark: SparkSession) -> None:
 
 
 def scan(spark: SparkSession, root: str, include: str | None = None, exclude: str | None = None,
-         max_size: int | None = None, partition_bytes: int | None = None) -> DataFrame:
+         max_size: int | None = None, list_tasks: int | None = None) -> DataFrame:
     """The file table of a directory tree."""
     register(spark)
     r = spark.read.format("filetree").option("root", root)
@@ -133,8 +205,8 @@ def scan(spark: SparkSession, root: str, include: str | None = None, exclude: st
         r = r.option("exclude", exclude)
     if max_size is not None:
         r = r.option("maxSize", str(max_size))
-    if partition_bytes:
-        r = r.option("partitionBytes", str(partition_bytes))
+    if list_tasks:
+        r = r.option("listTasks", str(list_tasks))
     return r.load()
 
 

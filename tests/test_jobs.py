@@ -66,3 +66,8 @@ def test_analyze_llm_mode_with_cache(spark, tmp_path):
     assert saved.filter("mode = 'llm'").count() == 3
     again, _ = jobs.analyze(files, jobs.AnalyzeOptions(mode="llm", format="plain", backends=[answer], results=saved))
     assert sorted(r.entry for r in again.collect()) == lines
+    for fmt, have in (("json", '"description": "ok"'), ("xml", 'description="ok"')):  # the model's text, not 'no symbols'
+        rows, _ = jobs.analyze(files, jobs.AnalyzeOptions(mode="llm", format=fmt, backends=[answer], results=saved))
+        assert sum(have in r.entry for r in rows.collect()) == 3
+    desc, _ = S.incremental_describe(files, saved, [answer])
+    assert {r["from_cache"] for r in U.llm_descriptions(desc).collect()} == {False, True}  # '.gitignore' is not in the results

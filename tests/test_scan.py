@@ -110,14 +110,59 @@ def test_missing_newline_is_not_a_line(spark):
     assert got == [("a", "+", note, False, 1), ("a", "-", note, True, 1), ("b", "-", note, True, 1), ("c", "+", note, True, 1)]
 
 
-def test_path_patterns_keep_escaped_dollars(tmp_path):
+def test_path_patterns_keep_escaped_dollars(spark, tmp_path):
     for name in ("a$b.txt", "c.txt", "d.txt\n"):
         (tmp_path / name).write_text("x")
-    names = lambda **kw: [r[1] for r in filetree.list_tree(str(tmp_path), **kw)]
+    names = lambda **kw: sorted(r["relative"] for r in filetree.scan(spark, str(tmp_path), **kw).collect())
     assert names(include=r"\$b") == ["a$b.txt"] and names(include=r"[$]") == ["a$b.txt"]
     assert names(include=r"\.txt$") == ["a$b.txt", "c.txt"]
 
 
+def _wide_tree(root):
+    for d in range(12):
+        for e in range(3):
+            (root / f"d{d}" / f"e{e}").mkdir(parents=True)
+            for f in ("a.rs", "b.md", ".hidden"):
+                (root / f"d{d}" / f"e{e}" / f).write_text("x" * (10 * d + e))
+    (root / "top.rs").write_text("top")
+
+
+def test_source_pushes_filters_into_the_listing(spark, tmp_path):
+    _wide_tree(tmp_path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = filetree.scan(spark, str(tmp_path), list_tasks=4)
+    everything = {r["relative"]: r["size"] for r in df.collect()}
+    assert len(everything) == 12 * 3 * 3 + 1
+    wanted = df.where("relative like 'd1%' and relative like '%.rs' and size > 100 and content is not null")
+    # what the source took is not filtered again
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    left = [line for line in plan.splitlines() if "Filter " in line]
+    assert len(left) == 1 and "isnotnull(content" in left[0] and "size" not in left[0] and "relative" not in left[0].split("BatchScan")[0]
+    got = sorted(r["relative"] for r in wanted.collect())
+    assert got == sorted(r for r, n in everything.items() if r.startswith("d1") and r.endswith(".rs") and n > 100)
+    missing = df.where("not (relative = 'top.rs') and size in (0, 3)")
+    assert sorted(r["relative"] for r in missing.collect()) == [f"d0/e0/{f}" for f in (".hidden", "a.rs", "b.md")]
+
+
+def test_source_opens_only_the_files_that_filters_keep(tmp_path, monkeypatch):
+    import builtins
+    import os
+    from pyspark.sql.datasource import GreaterThan, StringEndsWith, StringStartsWith
+    _wide_tree(tmp_path)
+    opened, entered = [], []
+    real_open, real_scan = builtins.open, os.scandir
+    monkeypatch.setattr(builtins, "open", lambda p, *a, **k: (opened.append(str(p)), real_open(p, *a, **k))[1])
+    monkeypatch.setattr(os, "scandir", lambda p: (entered.append(str(p)), real_scan(p))[1])
+    reader = filetree.FileTreeReader({"root": str(tmp_path), "listTasks": "4"})
+    other = GreaterThan(("mtime",), 0)
+    assert list(reader.pushFilters([StringStartsWith(("relative",), "d3/"), StringEndsWith(("relative",), ".rs"), other])) == [other]
+    parts = reader.partitions()
+    assert not opened and len(entered) <= 4
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[1] for r in rows) == ["d3/e0/a.rs", "d3/e1/a.rs", "d3/e2/a.rs"] and len(opened) == 3
+    assert all("/d3" in p or p == os.path.realpath(tmp_path) for p in entered)
+
+
 def test_limits_are_arguments(spark):
     long = "é" * 9000
     df = spark.createDataFrame([("a.md", long)], "relative string, content string")
