@@ -18,6 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +32,84 @@ END_ID = 2
 OPEN_BINS = 512
 #: pieces that a task gathers and places longest first
 WINDOW = 1024
-#: texts checked by every worker: the fast encoder must give the tokenizer's own ids
-CHECKED_TEXTS = 4
 SCHEMA = ("doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    import base64
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else 256 and up in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
+def same_ids(tokenizer_path: str, ranks_path: str, pattern: str) -> bool:
+    """Whether tiktoken over ``ranks_path`` gives the ids of ``tokenizer_path`` for every text without special tokens.
+
+    Both split by ``pattern`` and merge the pair of least rank, but tiktoken merges any pair whose
+    concatenation is in the vocabulary, the tokenizer only the listed one.  They agree if the vocabulary is
+    the same, merges are listed in the order of their tokens' ids, and each merged token's bytes, merged as tiktoken does
+    by lower ranks alone, end as its listed pair: by induction over ranks no other pair ever meets.  The split engines'
+    character classes are compared on every code point that may hold a character.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = (spec["normalizer"] is None and model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex")
+             and not split.get("add_prefix_space") and not any(model.get(k) for k in (
+                 "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")))
+    if not plain:
+        return False
+    ranks, alphabet = read_ranks(ranks_path), byte_alphabet()
+    special = {t["content"] for t in spec["added_tokens"]}
+    raw = lambda token: bytes(alphabet[c] for c in token)
+    if {raw(t): i for t, i in model["vocab"].items() if t not in special} != ranks:
+        return False
+    last = -1
+    for x, y in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+        x, y = raw(x), raw(y)
+        rank = ranks.get(x + y, -1)
+        if rank <= last or merged(x + y, ranks, rank) != [x, y]:
+            return False
+        last = rank
+    if len(ranks) != 256 + len(model["merges"]) or any(bytes([b]) not in ranks for b in range(256)):
+        return False
+    fast, slow = _tiktoken(ranks_path, pattern), _tokenizer(tokenizer_path)
+    # planes 4 to 13 hold no characters in any version of Unicode, and 15 and 16 only private ones
+    for begin in [*range(0, 0x40000, 1 << 13), 0xE0000]:
+        text = "".join(f"a{chr(c)}1 {chr(c)}" for c in range(begin, begin + (1 << 13)) if not 0xD800 <= c < 0xE000)
+        if fast.encode_ordinary(text) != slow.encode(text, add_special_tokens=False).ids:
+            return False
+    return True
+
+
+def merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """``token`` merged from bytes by the pairs of rank less than ``below``, least first."""
+    parts = [token[i:i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+        if rank >= below:
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def _tiktoken(ranks_path: str, pattern: str):
+    import tiktoken
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None) -> Encoder:
     """One per Python worker, which serves many tasks."""
@@ -43,40 +117,30 @@ def encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None) ->
 
 
 class Encoder:
-    """Ids of ``tokenizer_path`` (tokenizers); plain texts go through ``ranks_path``, the same
-    vocabulary as tiktoken ranks, about six times as fast.  Texts holding a special token, or that
-    the fast path can't take, are encoded by the tokenizer itself; so is everything if they differ."""
+    """Ids of ``tokenizer_path`` (tokenizers); plain texts go through ``ranks_path`` (tiktoken, about six times as
+    fast), which ``same_ids`` has proved equal.  Texts holding a special token, or that the fast path
+    can't take, are encoded by the tokenizer itself, which is only then loaded."""
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-        self.slow = Tokenizer.from_file(tokenizer_path)
-        self.specials = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks_path:
-            import base64
-
-            import tiktoken
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.to_check = CHECKED_TEXTS
-
-    def _slow(self, text: str) -> np.ndarray:
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        self.path = tokenizer_path
+        self.tokenizer = None
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.fast = _tiktoken(ranks_path, pattern) if ranks_path else None
+
+    @property
+    def slow(self):
+        if self.tokenizer is None:
+            self.tokenizer = _tokenizer(self.path)
+        return self.tokenizer
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.specials):
-            return self._slow(text)
-        try:
-            ids = np.array(self.fast.encode_ordinary(text), dtype="<u4")
-        except (ValueError, RuntimeError, UnicodeError):
-            return self._slow(text)
-        if self.to_check:
-            self.to_check -= 1
-            if not np.array_equal(ids, own := self._slow(text)):
-                self.fast = None
-                return own
-        return ids
+        if self.fast is not None and not any(s in text for s in self.specials):
+            try:
+                return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+            except (ValueError, RuntimeError, UnicodeError):
+                pass
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 class BestFit:
@@ -174,6 +238,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_pa
         import public_tokenizers as P
         tokenizer_path, ranks_path = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
         pattern = P.PATTERN
+    if ranks_path and not same_ids(str(tokenizer_path), str(ranks_path), pattern):
+        ranks_path = None
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return texts.mapInArrow(_packer(str(tokenizer_path), ranks_path and str(ranks_path), pattern, size, end_id, open_bins),
                             SCHEMA)

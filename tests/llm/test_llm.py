@@ -172,6 +172,18 @@ def test_packer_encoder_equals_tokenizer_on_odd_texts():
         assert enc(text).tolist() == enc.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_packer_proves_the_fast_vocabulary(tmp_path):
+    import json
+    import public_tokenizers as P
+    files = [str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken"))]
+    assert packing.same_ids(*files, P.PATTERN)
+    assert not packing.same_ids(files[0], str(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    spec = json.loads(open(files[0], encoding="utf-8").read())
+    spec["model"]["merges"][100:102] = spec["model"]["merges"][101:99:-1]
+    (tmp_path / "swapped.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert not packing.same_ids(str(tmp_path / "swapped.json"), files[1], P.PATTERN)
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 5, 4, 9, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 5)]
