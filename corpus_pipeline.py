@@ -11,8 +11,9 @@ columns of ``documents``; a stage judges every row that its predecessor kept.
 5. packing: pieces of the tokenised documents in sequences of 1024 tokens.
 
 SQL can express neither the learned spans of stage 3 nor the tokenizer of stage 5, so
-``ORACLE_SQL`` is None.  The tests hold near-duplicates against a brute-force version; quality
-against the operator, personal data, mixing and packing by properties only, and not ``run``.
+``ORACLE_SQL`` is None.  The tests run ``run`` and hold every written stage against a plain version:
+DuckDB's verdicts and copies for quality and mixing, brute force for near-duplicates, plain patterns for
+personal data, the tokenizer for packing.
 Nulls, empty texts, repeated rows and empty tables: see the stages' operators.  ``n_chars``
 is kept up to date where a text changes.
 """
