@@ -19,7 +19,6 @@ from codeloom.functions.text import col, file_ext
 # Extension groups and their ordered (kind, pattern) lists.
 # These must equal the reference's tables for identical symbol lists.
 # ---------------------------------------------------------------------------
-_VIS = r"(?:public|private|internal)?\s*"
 LANGUAGE_PATTERNS: list[tuple[tuple[str, ...], list[tuple[str, str]]]] = [
     (("py",), [
         ("class", r"(?m)^\s*class\s+(\w+)"),
@@ -51,11 +50,11 @@ LANGUAGE_PATTERNS: list[tuple[tuple[str, ...], list[tuple[str, str]]]] = [
         ("function", r"(?m)^\s*\w+\s+(\w+)\s*\([^)]*\)\s*\{"),
     ]),
     (("cs",), [
-        ("class", r"(?m)^\s*" + _VIS + r"class\s+(\w+)"),
-        ("interface", r"(?m)^\s*" + _VIS + r"interface\s+(\w+)"),
-        ("enum", r"(?m)^\s*" + _VIS + r"enum\s+(\w+)"),
-        ("struct", r"(?m)^\s*" + _VIS + r"struct\s+(\w+)"),
-        ("method", r"(?m)^\s*" + _VIS + r"(?:async\s+)?(?:\w+\s+)*(\w+)\s*\([^)]*\)\s*\{"),
+        ("class", r"(?m)^\s*(?:public|private|internal)?\s*class\s+(\w+)"),
+        ("interface", r"(?m)^\s*(?:public|private|internal)?\s*interface\s+(\w+)"),
+        ("enum", r"(?m)^\s*(?:public|private|internal)?\s*enum\s+(\w+)"),
+        ("struct", r"(?m)^\s*(?:public|private|internal)?\s*struct\s+(\w+)"),
+        ("method", r"(?m)^\s*(?:public|private|internal)?\s*(?:async\s+)?(?:\w+\s+)*(\w+)\s*\([^)]*\)\s*\{"),
     ]),
     (("rb",), [
         ("class", r"(?m)^\s*class\s+(\w+)"),
@@ -63,18 +62,18 @@ LANGUAGE_PATTERNS: list[tuple[tuple[str, ...], list[tuple[str, str]]]] = [
         ("def", r"(?m)^\s*def\s+(\w+)\s*\("),
     ]),
     (("swift",), [
-        ("class", r"(?m)^\s*" + _VIS + r"class\s+(\w+)"),
-        ("struct", r"(?m)^\s*" + _VIS + r"struct\s+(\w+)"),
-        ("enum", r"(?m)^\s*" + _VIS + r"enum\s+(\w+)"),
-        ("protocol", r"(?m)^\s*" + _VIS + r"protocol\s+(\w+)"),
-        ("func", r"(?m)^\s*" + _VIS + r"func\s+(\w+)\s*\("),
+        ("class", r"(?m)^\s*(?:public|private|internal)?\s*class\s+(\w+)"),
+        ("struct", r"(?m)^\s*(?:public|private|internal)?\s*struct\s+(\w+)"),
+        ("enum", r"(?m)^\s*(?:public|private|internal)?\s*enum\s+(\w+)"),
+        ("protocol", r"(?m)^\s*(?:public|private|internal)?\s*protocol\s+(\w+)"),
+        ("func", r"(?m)^\s*(?:public|private|internal)?\s*func\s+(\w+)\s*\("),
     ]),
     (("kt",), [
-        ("class", r"(?m)^\s*" + _VIS + r"class\s+(\w+)"),
-        ("interface", r"(?m)^\s*" + _VIS + r"interface\s+(\w+)"),
-        ("enum", r"(?m)^\s*" + _VIS + r"enum\s+(\w+)"),
-        ("object", r"(?m)^\s*" + _VIS + r"object\s+(\w+)"),
-        ("fun", r"(?m)^\s*" + _VIS + r"fun\s+(\w+)\s*\("),
+        ("class", r"(?m)^\s*(?:public|private|internal)?\s*class\s+(\w+)"),
+        ("interface", r"(?m)^\s*(?:public|private|internal)?\s*interface\s+(\w+)"),
+        ("enum", r"(?m)^\s*(?:public|private|internal)?\s*enum\s+(\w+)"),
+        ("object", r"(?m)^\s*(?:public|private|internal)?\s*object\s+(\w+)"),
+        ("fun", r"(?m)^\s*(?:public|private|internal)?\s*fun\s+(\w+)\s*\("),
     ]),
     (("toml",), [
         ("table", r"(?m)^\s*\[([a-zA-Z_][a-zA-Z0-9_.-]*)\]"),

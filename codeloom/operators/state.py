@@ -74,15 +74,16 @@ def cache_upsert(results: DataFrame, new: DataFrame, order_col: str | None = Non
     """New rows replace the stored row of the same key; other keys of a path stay.
 
     Among several new rows of one key the one with the largest ``order_col``
-    (insertion order) wins.
+    (insertion order) wins; without it, or on a tie, the one with the newest ``mtime_ms``, then
+    the largest by its other columns.
     """
     cols = [c for c in results.columns if c != "_v"]
     old = results.select(*cols, F.lit(0).cast("bigint").alias("_v"))
     order = (F.col(order_col).cast("bigint") + 1) if order_col else F.lit(1).cast("bigint")
     fresh = new.select(*cols, order.alias("_v"))
     rest = [c for c in cols if c not in KEY]
-    merged = old.unionByName(fresh).groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest), F.col("_v")).alias("_r"))
+    ranked = ["_v", *sorted(rest, key=lambda c: c != "mtime_ms")]
+    merged = old.unionByName(fresh).groupBy(*KEY).agg(F.max(F.struct(*ranked)).alias("_r"))
     return merged.select(*KEY, *[F.col("_r." + c).alias(c) for c in rest])
 
 

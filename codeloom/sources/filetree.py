@@ -30,6 +30,7 @@ import itertools
 import os
 import re
 from collections import deque
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ from codeloom.operators.filters import end_anchored
 SCHEMA = "path string, relative string, size bigint, mtime timestamp, content binary, error string"
 
 
+def posix_path(root) -> str:
+    """The file system path of a folder given as a path or ``file:`` URI; other stores can't hold directory trees."""
+    uri = urlparse(os.fspath(root))
+    if uri.scheme == "file":
+        return unquote(uri.path)
+    if "://" in os.fspath(root):
+        raise ValueError(f"a directory tree needs a file system path, not {root}")
+    return os.fspath(root)
+
+
 class Selection:
     """Which files of a tree are wanted, told from metadata: include / exclude patterns and pushed filters."""
 
@@ -134,7 +145,7 @@ class _Subtrees(InputPartition):
 
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = os.path.realpath(options["root"])
+        self.root = os.path.realpath(posix_path(options["root"]))
         self.selection = Selection(options.get("include"), options.get("exclude"))
         self.max_size = int(options["maxSize"]) if options.get("maxSize") else None
         self.tasks = int(options.get("listTasks", 64))
@@ -228,7 +239,7 @@ def _writer(root: str):
 
 def export_tree(files: DataFrame, root: str) -> int:
     """Writes each row's content to ``root/relative`` on the executors; returns the file count."""
-    out = files.select("relative", "content").mapInPandas(_writer(root), "written bigint")
+    out = files.select("relative", "content").mapInPandas(_writer(posix_path(root)), "written bigint")
     return out.agg(F.sum("written")).first()[0] or 0
 
 
@@ -286,7 +297,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """
     from codeloom.session import scratch_path
     from codeloom.sources.tables import parallelism
-    root = os.path.realpath(root)
+    root = os.path.realpath(posix_path(root))
     out = scratch_path(spark, "listing")
     frontier = spark.createDataFrame([("",)], "relative string")
     n = parallelism(spark)

@@ -163,6 +163,25 @@ def test_source_opens_only_the_files_that_filters_keep(tmp_path, monkeypatch):
     assert all("/d3" in p or p == os.path.realpath(tmp_path) for p in entered)
 
 
+def test_trees_at_file_uris(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.txt").write_text("x")
+    uri = (tmp_path / "a b").as_uri()
+    assert [r["relative"] for r in filetree.scan(spark, uri).collect()] == ["x.txt"]
+    assert [r["relative"] for r in filetree.scan_tree(spark, uri).collect()] == ["x.txt"]
+    with pytest.raises(ValueError):
+        filetree.scan_tree(spark, "hdfs://host/x")
+
+
+def test_upsert_of_tied_rows_takes_the_newest(spark):
+    from codeloom.operators.state import cache_upsert
+    schema = "path string, mode string, params string, mtime_ms bigint, text string"
+    old = spark.createDataFrame([("p", "m", "{}", 9, "old")], schema)
+    for order in (1, -1):
+        new = spark.createDataFrame([("p", "m", "{}", 5, "a"), ("p", "m", "{}", 5, "b"), ("p", "m", "{}", 4, "c")][::order], schema)
+        assert [tuple(r)[3:] for r in cache_upsert(old, new.repartition(3)).collect()] == [(5, "b")]
+
+
 def test_limits_are_arguments(spark):
     long = "é" * 9000
     df = spark.createDataFrame([("a.md", long)], "relative string, content string")
