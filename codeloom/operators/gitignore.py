@@ -4,15 +4,16 @@
 rows ``(dir, ord, negated, dir_only, regex)``; the per-line glob translation
 is a small Arrow-batched helper.  ``ignored(files, rules)`` decides every path:
 
-* each file is exploded into its path prefixes (directories and itself) and
-  each prefix into the ancestor directories whose rules can apply to it;
-* one equi-join on the rule's directory finds candidate rules (the rules side
-  is small and AQE turns the join into a broadcast after measuring it);
-* the last matching rule wins (deeper directory first, then later line) with
-  ``max_by``; a negated winner re-includes;
-* a file is ignored when it or any ancestor directory is ignored, so a file
-  under an ignored directory cannot be re-included; directory-only rules never
-  match files.
+* the rules that hold in a directory are those of its nearest ``.gitignore`` and of the ones
+  above, so each ``.gitignore`` has one list; a list is folded into one pattern that matches exactly
+  the paths whose last matching rule (deeper directory first, then later line) ignores them: a positive rule
+  is one more alternative, a negated one a lookahead in front of all before it;
+* directories are the distinct parents of files and their prefixes, one row each; a directory is ignored
+  if its own path matches the list of its parent or a directory above it is ignored;
+* a file takes its directory's verdict and list by one join on its parent and is matched once, so it can't be
+  re-included under an ignored directory; directory-only rules never match files.
+
+Rows are sorted by pattern before they are matched, so a pattern is compiled once a task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -112,23 +113,64 @@ def gitignore_rules(files: DataFrame) -> DataFrame:
         F.col("r.regex").alias("regex"))
 
 
+def _ancestors(path: str) -> Column:
+    """'' and every prefix of a directory, itself included."""
+    parts = F.split(path, "/")
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    top = F.array(F.lit(""))
+    return F.when(F.col(path) == "", top).otherwise(F.concat(top, below))
+
+
+def _depth(path: str) -> Column:
+    return F.when(F.col(path) == "", 0).otherwise(F.size(F.split(path, "/")))
+
+
+def _parent(path: str) -> Column:
+    return F.regexp_extract(path, r"(?s)^(.*)/", 1)
+
+
+def _folded(rules: Column) -> Column:
+    """One pattern for the paths that ``rules`` (in order) ignore; null if none can be."""
+    def step(body: Column, rule: Column) -> Column:
+        more = F.when(body == "", rule["regex"]).otherwise(F.concat(body, F.lit("|"), rule["regex"]))
+        less = F.when(body == "", body).otherwise(F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), body, F.lit(")")))
+        return F.when(rule["negated"], less).otherwise(more)
+    body = F.aggregate(rules, F.lit(""), step)
+    return F.when(body != "", F.concat(F.lit("^(?:"), body, F.lit(")")))
+
+
+def rule_lists(rules: DataFrame) -> DataFrame:
+    """(list, for_dirs, for_files): the patterns of each directory that has rules, on whole relative paths."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("dir"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("/\\E"))
+    whole = F.concat(F.when(F.col("dir") == "", F.lit("")).otherwise(quoted), F.expr("substring(regex, 2)"))
+    placed = rules.select("dir", F.struct(_depth("dir").alias("depth"), "ord", "negated", "dir_only", whole.alias("regex")).alias("rule"))
+    own = rules.select(F.col("dir").alias("list")).distinct()
+    chain = own.select("list", F.explode(_ancestors("list")).alias("dir")).join(placed, "dir")
+    lists = chain.groupBy("list").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+    return lists.select("list", _folded(F.col("rules")).alias("for_dirs"),
+                        _folded(F.filter("rules", lambda r: ~r["dir_only"])).alias("for_files"))
+
+
+def directory_verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(dir, out, for_files): per directory of ``files`` whether it is ignored, and the pattern for its files."""
+    lists = materialize(rule_lists(rules), "ignore-lists")
+    parents = files.select(_parent("relative").alias("dir")).distinct()
+    dirs = materialize(parents.select(F.explode(_ancestors("dir")).alias("dir")).distinct(), "ignore-dirs")
+    above = dirs.select("dir", F.explode(_ancestors("dir")).alias("list"))
+    nearest = above.join(lists.select("list"), "list").groupBy("dir").agg(F.max_by("list", _depth("list")).alias("list"))
+    ruled = materialize(nearest.join(lists, "list").select("dir", "for_dirs", "for_files"), "ignore-ruled")
+    hit = (dirs.where("dir <> ''").select("dir", _parent("dir").alias("up"))
+           .join(ruled.select(F.col("dir").alias("up"), "for_dirs"), "up").sortWithinPartitions("for_dirs")
+           .where(F.expr("dir rlike for_dirs")).select(F.col("dir").alias("list")))
+    out = above.join(hit, "list").select("dir").distinct().withColumn("out", F.lit(True))
+    return dirs.join(ruled, "dir", "left").join(out, "dir", "left").select("dir", F.coalesce("out", F.lit(False)).alias("out"), "for_files")
+
+
 def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Relative paths of files that the rules ignore."""
-    parts = files.select("relative", F.split("relative", "/").alias("parts"))
-    pre = parts.select("relative", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k")).select(
-        "relative", "k", F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("prefix"),
-        (F.col("k") < F.size("parts")).alias("is_dir"), "parts")
-    # ancestor directories of the prefix: j = 0 (root) .. k-1
-    cand = pre.select("relative", "k", "prefix", "is_dir", "parts",
-                      F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select(
-        "relative", "k", "is_dir", "j",
-        F.array_join(F.slice("parts", 1, F.col("j")), "/").alias("adir"),
-        F.array_join(F.slice("parts", F.col("j") + 1, F.col("k") - F.col("j")), "/").alias("sub"))
-    m = cand.join(rules.withColumnRenamed("dir", "adir"), "adir").filter(
-        F.expr("sub rlike regex") & (~F.col("dir_only") | F.col("is_dir")))
-    decided = m.groupBy("relative", "k").agg(
-        F.max_by("negated", F.struct(F.col("j"), F.col("ord"))).alias("negated"))
-    return decided.filter(~F.col("negated")).select("relative").distinct()
+    verdicts = materialize(directory_verdicts(files, rules).where("out or for_files is not null"), "ignore-verdicts")
+    met = files.select("relative", _parent("relative").alias("dir")).join(verdicts, "dir").sortWithinPartitions("for_files")
+    return met.where(F.expr("out or coalesce(relative rlike for_files, false)")).select("relative").distinct()
 
 
 def ignored_paths(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on literal file tables (the reference's unit cases, re-expressed as rows)."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +254,38 @@ def test_tree(spark):
     assert [r.entry for r in Tr.tree_plain(empty).collect()] == ["No matching files found."]
 
 
+def _ignored_by_plain_rules(paths, rules):
+    """Every prefix against every rule above it; the last match decides."""
+    out = set()
+    for path in paths:
+        parts = path.split("/")
+        for k in range(1, len(parts) + 1):
+            verdict = False
+            for j in range(k):
+                for rule in rules.get("/".join(parts[:j]), []):
+                    negated, dir_only, regex = G.glob_to_regex(rule)
+                    if (k < len(parts) or not dir_only) and re.search(regex.replace(r"\z", r"\Z"), "/".join(parts[j:k])):
+                        verdict = not negated
+            if verdict:
+                out.add(path)
+    return out
+
+
+def test_ignore_patterns_equal_rule_by_rule_matching(spark):
+    import random
+    rng = random.Random(3)
+    names, globs = ["a", "b", "x.log", "y.txt", "q+.(1)"], ["a", "*.log", "b/", "/a", "a/b", "**/x.log", "a/**", "?.txt", "q+*", "[ab]"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(160)})
+    paths = [p for p in paths if not any(q.startswith(p + "/") for q in paths)]
+    dirs = sorted({"/".join(p.split("/")[:k]) for p in paths for k in range(len(p.split("/")))})
+    rules = {d: [rng.choice(["", "", "!"]) + rng.choice(globs) for _ in range(rng.randint(1, 5))] for d in rng.sample(dirs, len(dirs) // 2) + [""]}
+    rows = [(p, "") for p in paths] + [((d + "/" if d else "") + ".gitignore", "\n".join(r)) for d, r in rules.items()]
+    want = _ignored_by_plain_rules([p for p, _ in rows], rules)
+    kept = {r.relative for r in G.gitignore_filter(files_df(spark, rows)).collect()}
+    assert kept == {p for p, _ in rows} - want and want
+    assert G.directory_verdicts(files_df(spark, rows), G.gitignore_rules(files_df(spark, rows))).count() == len(set(dirs) | {""})
+
+
 def test_gitignore(spark):
     rows = [(".gitignore", "target/\n*.log\n!keep.log\n# c\nbuild/\n!build/x.rs\n"),
             ("src/a.rs", ""), ("src/b.log", ""), ("keep.log", ""), ("target/t.rs", ""),
