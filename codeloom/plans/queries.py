@@ -344,13 +344,24 @@ def cache_misses(spark, sf_dir):
 
 @query("cache_upsert", O.cache_upsert_sql())
 def cache_upsert(spark, sf_dir):
-    """Stored results upserted with the second half of the versions."""
+    """Results of the first half of the versions, upserted with the second half."""
     ev = C.event_versions(spark, sf_dir)
     half = ev.select((F.count("*") / 2).alias("h")).scalar()
-    first = materialize(ev.filter(F.col("event_id") < half), "v6-first-half")
-    stored = S.cache_upsert(spark.createDataFrame([], V6_SCHEMA), first, "event_id")
-    second = ev.filter(F.col("event_id") >= half)
-    return S.cache_upsert(stored, second, "event_id").select(*V6_COLUMNS)
+    stored = S.cache_upsert(spark.createDataFrame([], V6_SCHEMA), ev.filter(F.col("event_id") < half), "event_id")
+    return S.cache_upsert(stored, ev.filter(F.col("event_id") >= half), "event_id").select(*V6_COLUMNS)
+
+
+@query("results_store", O.cache_upsert_sql())
+def results_store(spark, sf_dir):
+    """C3 on buckets: the versions arrive in two upserts of a copy-on-write store; its newest snapshot."""
+    from codeloom.operators.results_store import ResultsStore
+    from codeloom.session import scratch_path
+    ev = C.event_versions(spark, sf_dir)
+    half = ev.select((F.count("*") / 2).alias("h")).scalar()
+    store = ResultsStore(spark, scratch_path(spark, "results-store"), 16, V6_SCHEMA)
+    store.upsert(ev.filter(F.col("event_id") < half), "event_id")
+    store.upsert(ev.filter(F.col("event_id") >= half), "event_id")
+    return store.read().select(*V6_COLUMNS)
 
 
 INCR_LANGS = C.CODE_LANGUAGES
