@@ -10,8 +10,10 @@ streaming plans do not support:
   a replayed batch idempotent).
 * T2 ``stream_latest``: a stateful streaming aggregation keeps the newest
   version per key in the state store; update mode emits only changed keys,
-  written per batch id, so a replayed batch is idempotent and per-batch work
-  does not grow with the state.
+  written per batch id as a run of level 0.  Every ``FANOUT`` runs of a level are
+  merged into one of the next (newest wins), so reading the latest rows opens at most
+  ``FANOUT - 1`` runs a level however many batches came.  Which runs hold follows from the number of
+  batches alone, so a replayed batch writes the same runs again.
 
 Checkpoints and outputs live under ``spark.checkpoint.dir``.
 """
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from codeloom.operators.summary import PatternConfig, file_summary
 from codeloom.session import scratch_path
 
+#: runs of a level that are merged into one of the next
+FANOUT = 4
+
 
 def stage_drops(df: DataFrame, drop_col: str, name: str = "drops") -> str:
     """Writes ``df`` partitioned by ``drop_col``: one directory (and one file) per arrival."""
@@ -61,10 +66,10 @@ def stream_latest(spark: SparkSession, drops: str, schema, key: list[str], versi
 
     ``groupBy(key).agg(max_by(row, version))`` keeps one state row per key in
     the state store (checkpointed with the query); in update mode each
-    micro-batch emits only the keys it changed, which ``foreachBatch`` writes
-    to ``deltas/batch_id=<n>`` (a replayed batch overwrites its own directory).
-    Work per batch is proportional to the batch, not to the whole state.
-    Returns the delta base; ``read_latest`` folds the deltas.
+    micro-batch emits only the keys it changed, which ``foreachBatch`` writes as a
+    run of level 0 and merges upwards every ``FANOUT`` runs (a replayed batch overwrites
+    its own runs).  A row is rewritten once a level.  Returns the base of the runs;
+    ``read_latest`` folds the live ones.
     """
     base = scratch_path(spark, "stream-latest")
     ckpt = scratch_path(spark, "stream-latest-ckpt")
@@ -75,7 +80,15 @@ def stream_latest(spark: SparkSession, drops: str, schema, key: list[str], versi
         .select(*key, *[F.col("_r." + c).alias(c) for c in rest])
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(_run(base, 0, batch_id))
+        level, n = 0, batch_id + 1
+        while n % FANOUT == 0:
+            # the last FANOUT runs of this level are whole: one run of the next holds their newest rows
+            n //= FANOUT
+            runs = [_run(base, level, r) for r in range(FANOUT * (n - 1), FANOUT * n)]
+            level += 1
+            newest(batch.sparkSession.read.schema(batch.schema).parquet(*runs), key, version).write.mode("overwrite").parquet(
+                _run(base, level, n - 1))
 
     q = (latest.writeStream.outputMode("update").foreachBatch(per_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -83,9 +96,42 @@ def stream_latest(spark: SparkSession, drops: str, schema, key: list[str], versi
     return base
 
 
-def read_latest(spark: SparkSession, base: str, key: list[str], version: str) -> DataFrame:
-    """Fold the emitted deltas: the newest row per key over all batches."""
-    deltas = spark.read.parquet(base).drop("batch_id")
-    rest = [c for c in deltas.columns if c not in key]
-    return deltas.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")) \
+def _run(base: str, level: int, run: int) -> str:
+    return f"{base}/level{level}/run{run}"
+
+
+def newest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
+    """The row of largest ``version`` per key."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")) \
         .select(*key, *[F.col("_r." + c).alias(c) for c in rest])
+
+
+def _whole_runs(spark: SparkSession, base: str, level: int) -> set[int]:
+    """Runs of a level that were written completely; numbers only, at most one per batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/level{level}")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return set()
+    dirs = [s.getPath() for s in fs.listStatus(path)]
+    done = [d.getName() for d in dirs if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
+    return {int(name[3:]) for name in done if name.startswith("run")}
+
+
+def live_runs(spark: SparkSession, base: str) -> list[str]:
+    """The runs that hold the latest rows: of each level those that no whole run of a higher level covers."""
+    levels = []
+    while runs := _whole_runs(spark, base, len(levels)):
+        levels.append(runs)
+    out, covered = [], 0  # batches before `covered` are in a chosen run
+    for level in range(len(levels) - 1, -1, -1):
+        width = FANOUT ** level
+        while covered % width == 0 and covered // width in levels[level]:
+            out.append(_run(base, level, covered // width))
+            covered += width
+    return out
+
+
+def read_latest(spark: SparkSession, base: str, key: list[str], version: str) -> DataFrame:
+    """The newest row per key over the live runs."""
+    return newest(spark.read.parquet(*live_runs(spark, base)), key, version)

@@ -27,3 +27,17 @@ def test_stream_latest_keeps_newest_version(spark):
     base = ST.stream_latest(spark, drops, spark.read.parquet(drops).schema, ["path", "mode", "params"], "v")
     got = {(r.path, r.mode): r.text for r in ST.read_latest(spark, base, ["path", "mode", "params"], "v").collect()}
     assert got == {("a", "m"): "new", ("b", "m"): "only", ("a", "x"): "other mode"}
+
+
+def test_stream_latest_merges_runs_by_levels(spark):
+    """Eleven batches read as two merged runs and three single ones, and hold the newest version of every key."""
+    rows = [(f"k{(7 * v) % 5}", "m", "{}", v, f"t{v}", (v * 13) % 44) for v in range(44)]
+    df = spark.createDataFrame(rows, "path string, mode string, params string, mtime_ms bigint, text string, v bigint")
+    drops = ST.stage_drops(df.withColumn("drop", (F.col("mtime_ms") % 11).cast("int")), "drop", "t-levels")
+    key = ["path", "mode", "params"]
+    base = ST.stream_latest(spark, drops, spark.read.parquet(drops).schema, key, "v")
+    live = [r.removeprefix(base) for r in ST.live_runs(spark, base)]
+    assert live == ["/level1/run0", "/level1/run1", "/level0/run8", "/level0/run9", "/level0/run10"]
+    want = {p: max((v, t) for q, _, _, _, t, v in rows if q == p)[1] for p in {r[0] for r in rows}}
+    assert {r.path: r.text for r in ST.read_latest(spark, base, key, "v").collect()} == want
+    assert spark.read.parquet(base + "/level1/run0").count() <= len(want)
