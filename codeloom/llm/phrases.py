@@ -21,7 +21,7 @@ with map-side combine, so a frequent word or phrase is one row a task.  Tables o
 phrases meet by broadcast while their counted rows are few, else by keys salted ``SALTS`` ways.
 The first phrases of a language are cut by a limit in each task before they meet.
 
-Defined results: null or empty text has no words; null lang is ``und``; null or repeated
+Defined results: a long text is cut behind breaks and counted in parts; null or empty text has no words; null lang is ``und``; null or repeated
 doc_ids and repeated rows count as often as they occur; ties go by phrase in byte order; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -100,7 +100,7 @@ def _phrases(part: pa.RecordBatch):
     names, code = np.unique(np.array(part["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
     of = np.repeat(code, words.counts)
     salt = np.array([_lang_hash(x) for x in names], np.uint64)
-    piece = np.cumsum(BREAK[words.raw])[words.start] if len(words.start) else np.zeros(0, np.int64)
+    piece = np.cumsum(BREAK[words.raw], dtype=np.int32)[words.start] if len(words.start) else np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     h = words.hashes()
     hashes, whole = {}, {}
@@ -234,10 +234,16 @@ def _part(k: int, at: int) -> tuple[Column, Column]:
     return (F.array_join(F.slice(words, 1, at), " "), F.array_join(F.slice(words, at + 1, k - at), " "))
 
 
+def _parts_of(text: Column) -> Column:
+    """A text, or if it is long its parts of about ``CHUNK`` characters, cut behind breaks: no phrase runs over these."""
+    cut = r"(?s).{1," + str(CHUNK) + r"}[^.,;:!?\x0A-\x0D]*+(?:[.,;:!?\x0A-\x0D]|\z)"
+    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
+
+
 def collocations(df: DataFrame, top: int = TOP, least: int = LEAST, lang: str = "lang", text: str = "text", **sampling) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
-                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.explode(_parts_of(whole)).alias("text"))
     found = frequent_phrases(docs, least, **sampling)
     rows = found.count()
     parts = found.where("k in (1, 2)").select("lang", F.col("phrase").alias("part"), F.col("f").alias("of"))

@@ -130,10 +130,11 @@ def test_phrases_on_documents(spark):
     assert collect(queries.QUERIES["op12_phrases"](spark, SF001)) == sorted(brute_phrases(rows, 10), key=key)
 
 
-def test_phrases_of_a_long_text_and_empty_table(spark):
-    text = "the same three " * 20000
-    got = phrases.collocations(spark.createDataFrame([("en", text)] * 2, "lang string, text string"))
-    assert collect(got) == sorted(brute_phrases([("en", text)] * 2, 10), key=key)
+def test_phrases_of_long_texts_and_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 5000)
+    rows = [("en", "the same three " * 20000), ("en", "a b, c d! e\nf g h. " * 3000 + "tail words"), ("fr", "x.y " * 4000)]
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"))
+    assert collect(got) == sorted(brute_phrases(rows, 10), key=key)
     assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
