@@ -159,7 +159,8 @@ def _marker(bits: int):
         for batch in batches:
             words = Words(batch["phrase"], separator=BETWEEN)
             h, counts = words.hashes(), words.counts
-            salt = np.array([_lang_hash(x) for x in batch["lang"].to_pylist()], np.uint64)
+            names, code = np.unique(np.array(batch["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
+            salt = np.array([_lang_hash(x) for x in names], np.uint64)[code]
             for k in np.unique(counts).tolist():
                 of = np.flatnonzero(counts == k)
                 slots = _slots(window_hash(h, k)[words.first[of]] ^ salt[of], bits)
