@@ -5,19 +5,23 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and th
 
 1. A quarter of the texts (by hash) is mined at ``SAMPLE_LEAST``: its words and pairs that are
    frequent there are the proposal.
-2. One pass over all texts counts the proposal and its negative border exactly: every word, every
+2. One pass over all texts counts the proposal and its negative border: every word, every
    pair of proposed words, every triple of proposed pairs.
 3. A border phrase that reaches ``LEAST`` was missed by the sample.  It joins the proposal, and a
    further pass counts the phrases that only now have all their parts in it.  Passes repeat until
-   no border phrase fails, so the frequent phrases and their counts are exact (at most three full
-   passes, as words are all counted in the first).
-
-The proposal travels as a bitmap of hashed phrases: at most ``MAX_BITS`` bits whatever the input.  A
-hash collision proposes a phrase too many, which is then counted and dropped; it never loses one.
-Bits are only ever added, so a phrase is counted in exactly one pass.
-
-Scale: a task sends each phrase of a chunk once with its count, and Spark adds counts by phrase text
-with map-side combine, so a frequent word or phrase is one row a task.  Tables of frequent
+   no border phrase fails (at most three full passes, as words are all counted in the first).
+4. The passes so far count keys of ``KEY_BITS`` bits.  Phrases that share a key only add up, so the keys
+   that reach ``LEAST`` hold every frequent phrase.  A last pass counts the phrases of these keys by
+   their text: the frequent phrases and their counts are exact.
+
+Proposal and reached keys travel as bitmaps of hashed phrases: at most ``MAX_BITS`` bits whatever the input.
+A hash collision proposes a phrase too many, which is then counted and dropped; it never loses one.
+Bits are only ever added, so a key is counted in exactly one pass.
+
+Scale: most phrases are rare, and these never leave a task as text.  A task sends its keys with their
+counts in sorted blocks, one for each of ``BUCKETS`` ranges of keys, about five bytes a key; Spark groups
+the blocks by range, and a group is summed by one sort.  In the last pass a task sends each phrase of
+``HELD`` counted ones once, and Spark adds counts by phrase text with map-side combine.  Tables of frequent
 phrases meet by broadcast while their counted rows are few, else by keys salted ``SALTS`` ways.
 The first phrases of a language are cut by a limit in each task before they meet.
 
@@ -52,11 +56,19 @@ BITS_A_PHRASE = 12
 SALTS = 8
 #: bytes of text counted at once: index arrays take some forty times as much
 CHUNK = 1 << 20
+#: counted phrases that a task holds before it merges and sends them, and chunks of text
+HELD = 1 << 22
+HELD_CHUNKS = 16
+#: a key is the bucket and 32 bits within it
+BUCKETS = 1 << 9
+KEY_BITS = 41
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 BETWEEN = BREAK.copy()
 BETWEEN[[9, 32]] = True
 COUNTS = "lang string, k int, phrase string, f long"
+BLOCKS = "k int, bucket int, keys binary, counts binary"
+REACHED = "k int, bucket int, keys binary, n long"
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -119,51 +131,135 @@ def _proposed(hashes, bitmap: np.ndarray, k: int) -> np.ndarray:
     return inside[:-1] & inside[1:]
 
 
-def _counter(levels: tuple[int, ...], proposal=None, before=None):
-    """Counts phrases of ``levels``: all, or those whose parts are in ``proposal`` and were not in ``before``."""
+def _wanted(hashes, whole, k: int, proposal=None, before=None) -> np.ndarray:
+    """Where the phrases of ``k`` words start: all, or those whose parts are in ``proposal`` and were not in ``before``."""
+    at = whole[k]
+    if k > 1 and proposal is not None:
+        at = at & _proposed(hashes, proposal.value, k)
+        if before is not None:
+            at &= ~_proposed(hashes, before.value, k)
+    return np.flatnonzero(at)
+
+
+def _merged(packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts up to 255) of keys packed with their counts in the lowest byte."""
+    both = np.sort(np.concatenate(packed)) if packed else np.zeros(0, np.uint64)
+    keys = both >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(both & np.uint64(255), first) if len(keys) else both
+    return keys[first], np.minimum(counts, np.uint64(255)).astype(np.uint8)
+
+
+def _blocks(k: int, packed: list[np.ndarray]) -> pa.RecordBatch:
+    keys, counts = _merged(packed)
+    cuts = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+    binary = lambda values, size: pa.Array.from_buffers(pa.binary(), BUCKETS, [
+        None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(values)])
+    block = pa.RecordBatch.from_arrays([pa.array(np.full(BUCKETS, k), pa.int32()), pa.array(np.arange(BUCKETS), pa.int32()),
+                                        binary(keys.astype(np.uint32), 4), binary(counts, 1)], ["k", "bucket", "keys", "counts"])
+    return block.filter(pa.array(np.diff(cuts) > 0))
+
+
+def _key_counter(levels: tuple[int, ...], proposal=None, before=None):
+    """Counts the keys of the phrases of ``levels`` (see ``_wanted``)."""
     def run(batches):
+        held, n = {k: [] for k in levels}, 0
         for batch in batches:
             for part in chunks(batch, limit=CHUNK):
-                words, of, names, hashes, whole = _phrases(part)
-                total = np.bincount(of, minlength=len(names))
-                out = [[], [], [], []]
-
-                def emit(lang, k, phrase, f, out=out):
-                    for column, values in zip(out, (lang, pa.array(np.full(len(f), k), pa.int32()), phrase, pa.array(f, pa.int64())), strict=True):
-                        column.append(values)
-                if 1 in levels:  # with the number of words under k = 0
-                    emit(pa.array(names.tolist(), pa.string()), 0, pa.array([""] * len(names), pa.string()), total)
+                _, _, _, hashes, whole = _phrases(part)
                 for k in levels:
-                    at = whole[k]
-                    if k > 1 and proposal is not None:
-                        at = at & _proposed(hashes, proposal.value, k)
-                        if before is not None:
-                            at &= ~_proposed(hashes, before.value, k)
-                    at = np.flatnonzero(at)
-                    _, first, f = np.unique(hashes[k][at], return_index=True, return_counts=True)
-                    first = at[first]
-                    emit(pa.array(names[of[first]].tolist(), pa.string()), k, _texts_of(words, first, k), f)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.chunked_array(c).combine_chunks() for c in out], ["lang", "k", "phrase", "f"])
+                    keys = mix(hashes[k][_wanted(hashes, whole, k, proposal, before)]) & np.uint64((1 << KEY_BITS) - 1)
+                    keys, f = np.unique(keys, return_counts=True)
+                    held[k].append(keys << np.uint64(8) | np.minimum(f, 255).astype(np.uint64))
+                    n += len(keys)
+                if n >= HELD:
+                    yield from (_blocks(k, packed) for k, packed in held.items())
+                    held, n = {k: [] for k in levels}, 0
+        yield from (_blocks(k, packed) for k, packed in held.items())
+    return run
+
+
+def _reaching(least: int):
+    """The keys of a bucket whose counts add up to ``least``: more, never fewer, beyond 255."""
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).astype(np.uint64)
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+        keys, counts = _merged([keys << np.uint64(8) | counts])
+        keys = keys[counts >= min(least, 255)].astype(np.uint32)
+        return pa.table({"k": table["k"][:1], "bucket": table["bucket"][:1], "keys": pa.array([keys.tobytes()], pa.binary()),
+                         "n": pa.array([len(keys)], pa.int64())})
+    return run
+
+
+def _count_keys(texts: DataFrame, least: int, levels, proposal=None, before=None) -> DataFrame:
+    """The keys that reach ``least``, by level and bucket."""
+    blocks = texts.mapInArrow(_key_counter(levels, proposal, before), BLOCKS)
+    return blocks.groupBy("k", "bucket").applyInArrow(_reaching(least), REACHED).where("n > 0")
+
+
+def _unproposed(proposal):
+    """Reached keys of words and pairs that are not in ``proposal``."""
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()]
+            found = [x[~_held(proposal.value, x.astype(np.int64) & (len(proposal.value) * 8 - 1))] for x in found]
+            missed = pa.RecordBatch.from_arrays([batch["k"], batch["bucket"], pa.array([x.tobytes() for x in found], pa.binary()),
+                                                 pa.array([len(x) for x in found], pa.int64())], ["k", "bucket", "keys", "n"])
+            yield missed.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
     return run
 
 
-def _count(texts: DataFrame, levels, proposal=None, before=None) -> DataFrame:
-    return texts.mapInArrow(_counter(levels, proposal, before), COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+def _counter(reached):
+    """Counts the phrases whose keys and parts are in the bitmap ``reached``, and all words under k = 0."""
+    def send(held):
+        parts, langs = [x[0] for x in held], [x[1] for x in held]
+        for k in range(1, LONGEST + 1):
+            h, f, first = (np.concatenate([x[2][k][i] for x in held]) for i in range(3))
+            of = np.repeat(np.arange(len(held)), [len(x[2][k][0]) for x in held])
+            _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+            f = np.bincount(inverse, f, len(one)).astype(np.int64)
+            for i in range(len(held)):
+                mine = np.flatnonzero(of[one] == i)
+                at = first[one[mine]]
+                names, code = langs[i]
+                yield _counts(pa.array(names, pa.string()).take(pa.array(code[at])), k, _texts_of(parts[i], at, k), f[mine])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for part in chunks(batch, limit=CHUNK):
+                words, of, names, hashes, whole = _phrases(part)
+                names = names.tolist()
+                # with the number of words under k = 0
+                yield _counts(pa.array(names, pa.string()), 0, pa.array([""] * len(names), pa.string()), np.bincount(of, minlength=len(names)))
+                counted = {}
+                for k in range(1, LONGEST + 1):
+                    at = _wanted(hashes, whole, k, reached)
+                    at = at[_held(reached.value, _slots(hashes[k][at], len(reached.value) * 8))]
+                    h, first, f = np.unique(hashes[k][at], return_index=True, return_counts=True)
+                    counted[k] = h, f, at[first]
+                    n += len(h)
+                held.append((words, (names, of), counted))
+                if n >= HELD or len(held) >= HELD_CHUNKS:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
+    return run
+
+
+def _counts(lang: pa.Array, k: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(f), k), pa.int32()), phrase, pa.array(f, pa.int64())],
+                                      ["lang", "k", "phrase", "f"])
 
 
 def _marker(bits: int):
-    """Bitmap parts (chunk of 2^16 bits, bytes) of the phrases' hashes."""
+    """Bitmap parts (chunk of 2^16 bits, bytes) of keys."""
     def run(batches):
         bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            words = Words(batch["phrase"], separator=BETWEEN)
-            h, counts = words.hashes(), words.counts
-            names, code = np.unique(np.array(batch["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
-            salt = np.array([_lang_hash(x) for x in names], np.uint64)[code]
-            for k in np.unique(counts).tolist():
-                of = np.flatnonzero(counts == k)
-                slots = _slots(window_hash(h, k)[words.first[of]] ^ salt[of], bits)
+            for keys in batch["keys"].to_pylist():
+                slots = np.frombuffer(keys, np.uint32).astype(np.int64) & (bits - 1)
                 np.bitwise_or.at(bitmap, slots >> 3, (np.uint8(1) << (slots & 7).astype(np.uint8)))
         step = min(1 << 13, len(bitmap))
         chunk = bitmap.reshape(-1, step)
@@ -174,11 +270,18 @@ def _marker(bits: int):
     return run
 
 
-def _bitmap(phrases: DataFrame, bits: int, base: np.ndarray | None = None) -> np.ndarray:
-    """Bitmap of ``phrases`` (lang, phrase) on top of ``base``: ``bits`` bits, whatever the input."""
+def _bits(keys: DataFrame) -> int:
+    bits, n = 1 << 16, keys.agg(F.sum("n")).first()[0] or 0
+    while bits < min(MAX_BITS, BITS_A_PHRASE * n):
+        bits *= 2
+    return bits
+
+
+def _bitmap(keys: DataFrame, bits: int, base: np.ndarray | None = None) -> np.ndarray:
+    """Bitmap of ``keys`` on top of ``base``: ``bits`` bits, whatever the input."""
     out = np.zeros(bits // 8, np.uint8) if base is None else base.copy()
     # at most 2 tasks, so the parts are at most twice the bitmap
-    parts = phrases.select("lang", "phrase").coalesce(2).mapInArrow(_marker(bits), "chunk long, bits binary")
+    parts = keys.select("keys").coalesce(2).mapInArrow(_marker(bits), "chunk long, bits binary")
     for r in parts.collect():
         step = len(r["bits"])
         out[r["chunk"] * step:(r["chunk"] + 1) * step] |= np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -192,32 +295,22 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
     """
     spark = docs.sparkSession
     part = docs.where(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    proposal = materialize(_count(part, (1, 2)).where((F.col("k") > 0) & (F.col("f") >= sample_least)), "phrase-proposal")
-    bits = 1 << 16
-    while bits < min(MAX_BITS, BITS_A_PHRASE * proposal.count()):
-        bits *= 2
+    proposal = materialize(_count_keys(part, sample_least, (1, 2)), "phrase-proposal")
+    bits = _bits(proposal)
     bitmap = _bitmap(proposal, bits)
-    shipped = spark.sparkContext.broadcast(bitmap)
-    counted = _count(docs, (1, 2, 3), shipped).where((F.col("f") >= least) | (F.col("k") == 0))
-    found = [materialize(counted, "phrase-counts")]
-    known = [proposal.select("lang", "k", "phrase")]
+    before, levels, reached = None, (1, 2, 3), None
     while True:
-        # the border phrases of the last pass that are frequent after all; triples have no extension
-        failed = found[-1].where("k in (1, 2)")
-        for table in known:
-            failed = failed.join(table, ["lang", "k", "phrase"], "left_anti")
-        failed = materialize(failed.select("lang", "k", "phrase"), "phrase-failures")
+        shipped = spark.sparkContext.broadcast(bitmap)
+        more = materialize(_count_keys(docs, least, levels, shipped, before), "phrase-keys")
+        reached = more if reached is None else reached.unionByName(more)
+        # the border phrases of this pass that are frequent after all; triples have no extension
+        failed = materialize(more.where("k < 3").mapInArrow(_unproposed(shipped), REACHED), "phrase-failures")
         if failed.isEmpty():
             break
-        before, bitmap = shipped, _bitmap(failed, bits, bitmap)
-        shipped = spark.sparkContext.broadcast(bitmap)
-        known.append(failed)
-        more = _count(docs, (2, 3), shipped, before).where(F.col("f") >= least)
-        found.append(materialize(more, "phrase-counts"))
-    out = found[0]
-    for table in found[1:]:
-        out = out.unionByName(table)
-    return out
+        before, levels, bitmap = shipped, (2, 3), _bitmap(failed, bits, bitmap)
+    shipped = spark.sparkContext.broadcast(_bitmap(reached, _bits(reached)))
+    counted = docs.mapInArrow(_counter(shipped), COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return materialize(counted.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
 
 
 def _salted(left: DataFrame, right: DataFrame, rows: int, keys: list[str], how: str) -> DataFrame:

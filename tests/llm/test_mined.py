@@ -6,6 +6,8 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from check_oracles import rows_of
@@ -138,6 +140,38 @@ def test_phrases_of_long_texts_and_empty_table(spark, monkeypatch):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
+class Shipped:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_rare_phrases_leave_no_task_as_text(monkeypatch):
+    """Keys are counted in blocks that add up over tasks; only phrases that reach the bound are sent as text."""
+    monkeypatch.setattr(phrases, "CHUNK", 2000)
+    monkeypatch.setattr(phrases, "HELD", 500)
+    texts = [" ".join(f"r{i}x{j}" for j in range(100)) + ". often seen here" for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 400, "text": texts})
+    blocks = [b for half in (batch[:150], batch[150:]) for b in phrases._key_counter((1, 2, 3))([half])]
+    assert all(b.num_rows <= phrases.BUCKETS for b in blocks)
+    table = pa.Table.from_batches(blocks)
+    bitmap, reached = np.zeros(1 << 13, np.uint8), 0
+    for k in (1, 2, 3):
+        for bucket in set(table.filter(pc.field("k") == k)["bucket"].to_pylist()):
+            got = phrases._reaching(300)(table.filter((pc.field("k") == k) & (pc.field("bucket") == bucket)))
+            slots = np.frombuffer(got["keys"][0].as_py(), np.uint32).astype(np.int64) & (len(bitmap) * 8 - 1)
+            bitmap[slots >> 3] |= (1 << (slots & 7)).astype(np.uint8)
+            reached += got["n"][0].as_py()
+    assert reached == 6
+    f = collections.Counter()
+    for sent in phrases._counter(Shipped(bitmap))([batch]):
+        for r in sent.to_pylist():
+            f[r["k"], r["phrase"]] += r["f"]
+    # a few of 119,600 rare phrases share a bit
+    assert sum(x == 1 for x in f.values()) < 40
+    assert {p: x for p, x in f.items() if x > 1} == {(0, ""): 400 * 103, **{(k, p): 400 for k, p in
+                 [(1, "often"), (1, "seen"), (1, "here"), (2, "often seen"), (2, "seen here"), (3, "often seen here")]}}
+
+
 # --- op13
 
 def brute_decontamination(docs, items):
