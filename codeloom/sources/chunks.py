@@ -46,23 +46,37 @@ def chunk_table(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
                        (F.col("at") + size >= F.col("length")).alias("last"), "error")
 
 
-def _range_reader(size: int):
+def _span_reader(size: int):
+    """Chunks of spans (path, relative, first, until, final, error): a file is opened once a span."""
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                before, data, err = b"", b"", r.error
+        import pyarrow as pa
+        names = ["path", "relative", "chunk", "before", "bytes", "last", "error"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.string()]
+        rows, held = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for spans in batches:
+            for r in spans.to_pylist():
+                data, err = b"", r["error"]
+                base = max(r["first"] * size - 3, 0)
                 if err is None:
-                    at = int(r.chunk) * size
                     try:
-                        with open(r.path, "rb") as fh:
-                            fh.seek(max(at - 3, 0))
-                            data = fh.read(min(at, 3) + size)
-                            before, data = data[:min(at, 3)], data[min(at, 3):]
+                        with open(r["path"], "rb") as fh:
+                            fh.seek(base)
+                            data = fh.read((r["until"] + 1) * size - base)
                     except OSError as e:
-                        err = str(e)
-                yield pd.DataFrame([(r.path, r.relative, r.chunk, before, data, r.last, err)],
-                                   columns=["path", "relative", "chunk", "before", "bytes", "last", "error"])
+                        data, err = b"", str(e)
+                for chunk in range(r["first"], r["until"] + 1):
+                    at = chunk * size - base
+                    rows.append((r["path"], r["relative"], chunk, data[max(at - 3, 0):at], data[at:at + size], chunk == r["final"], err))
+                    held += size
+                    if held >= CHUNK_BYTES:
+                        yield batch()
+                        rows, held = [], 0
+        if rows:
+            yield batch()
     return run
 
 
@@ -79,11 +93,14 @@ def scan_chunks(spark: SparkSession, root: str, include: str | None = None, excl
         meta = meta.filter(include_matches("relative", include))
     total = meta.agg(F.sum("size")).first()[0] or 0
     n = max(int(total // target_bytes) + 1, parallelism(spark))
-    chunks = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.coalesce("size", F.lit(0)) - 1) / size), F.lit(0)))
-    last = (F.col("chunk") + 1) * size >= F.coalesce("size", F.lit(0))
-    ranges = meta.select("path", "relative", "size", "error", F.explode(chunks).alias("chunk")).select(
-        "path", "relative", "chunk", last.alias("last"), "error")
-    return ranges.repartition(n, "path", "chunk").mapInPandas(_range_reader(size), SCHEMA)
+    # consecutive small chunks are read together
+    span = max(CHUNK_BYTES // size, 1)
+    final = F.greatest(F.floor((F.coalesce("size", F.lit(0)) - 1) / size), F.lit(0)).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("final"), F.lit(span).cast("long"))
+    spans = meta.select("path", "relative", final.alias("final"), "error").select(
+        "path", "relative", F.explode(starts).alias("first"), "final", "error").withColumn(
+        "until", F.least(F.col("first") + span - 1, "final"))
+    return spans.repartition(n, "path", "first").mapInArrow(_span_reader(size), SCHEMA)
 
 
 # ---------------------------------------------------------------- decoding

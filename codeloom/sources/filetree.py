@@ -224,11 +224,14 @@ def scan(spark: SparkSession, root: str, include: str | None = None, exclude: st
 def _writer(root: str):
     def write(batches):
         import pandas as pd
+        made = None
         for pdf in batches:
             n = 0
             for rel, content in zip(pdf["relative"], pdf["content"]):
                 p = os.path.join(root, rel)
-                os.makedirs(os.path.dirname(p), exist_ok=True)
+                if os.path.dirname(p) != made:
+                    made = os.path.dirname(p)
+                    os.makedirs(made, exist_ok=True)
                 data = content if isinstance(content, (bytes, bytearray)) else str(content).encode("utf-8")
                 with open(p, "wb") as fh:
                     fh.write(data)

@@ -188,3 +188,21 @@ def test_limits_are_arguments(spark):
     whole, cut = df.select(T.build_prompt("relative", "content", "en").alias("a"), T.build_prompt("relative", "content", "en", 8000).alias("b")).first()
     assert whole.endswith(long) and cut.endswith(T.TRUNCATED_FILE_MARK)
     assert df.select(T.is_binary(df["content"].cast("binary"))).first()[0] is False
+
+
+def test_chunks_of_a_span_are_read_at_one_opening(tmp_path, monkeypatch):
+    import builtins
+    import pyarrow as pa
+    data = bytes(range(256)) * 20
+    (tmp_path / "a.bin").write_bytes(data)
+    spans = pa.RecordBatch.from_pydict({"path": [f"{tmp_path}/a.bin", f"{tmp_path}/none"], "relative": ["a.bin", "none"], "first": [3, 0],
+                                        "until": [511, 1], "final": [511, 1], "error": pa.array([None, None], pa.string())})
+    opened, real = [], builtins.open
+    monkeypatch.setattr(builtins, "open", lambda p, *a, **k: opened.append(p) or real(p, *a, **k))
+    out = list(CH._span_reader(10)([spans]))
+    assert len(opened) == 2 and len(out) == 1
+    rows = out[0].to_pylist()
+    assert [(r["chunk"], r["before"], r["bytes"], r["last"], r["error"]) for r in rows if r["relative"] == "a.bin"] == [
+        (i, data[10 * i - 3:10 * i], data[10 * i:10 * i + 10], i == 511, None) for i in range(3, 512)]
+    assert [(r["chunk"], r["bytes"], r["last"], r["error"] is not None) for r in rows if r["relative"] == "none"] == [
+        (0, b"", False, True), (1, b"", True, True)]
