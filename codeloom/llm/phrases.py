@@ -56,9 +56,10 @@ BITS_A_PHRASE = 12
 SALTS = 8
 #: bytes of text counted at once: index arrays take some forty times as much
 CHUNK = 1 << 20
-#: counted phrases that a task holds before it merges and sends them, and chunks of text
-HELD = 1 << 22
-HELD_CHUNKS = 16
+#: keys, and counted phrases, that a task holds before it merges and sends them, and chunks of text
+HELD_KEYS = 1 << 20
+HELD = 1 << 21
+HELD_CHUNKS = 8
 #: a key is the bucket and 32 bits within it
 BUCKETS = 1 << 9
 KEY_BITS = 41
@@ -172,7 +173,7 @@ def _key_counter(levels: tuple[int, ...], proposal=None, before=None):
                     keys, f = np.unique(keys, return_counts=True)
                     held[k].append(keys << np.uint64(8) | np.minimum(f, 255).astype(np.uint64))
                     n += len(keys)
-                if n >= HELD:
+                if n >= HELD_KEYS:
                     yield from (_blocks(k, packed) for k, packed in held.items())
                     held, n = {k: [] for k in levels}, 0
         yield from (_blocks(k, packed) for k, packed in held.items())
@@ -237,7 +238,7 @@ def _counter(reached):
                     at = _wanted(hashes, whole, k, reached)
                     at = at[_held(reached.value, _slots(hashes[k][at], len(reached.value) * 8))]
                     h, first, f = np.unique(hashes[k][at], return_index=True, return_counts=True)
-                    counted[k] = h, f, at[first]
+                    counted[k] = h, f.astype(np.int32), at[first].astype(np.int32)
                     n += len(h)
                 held.append((words, (names, of), counted))
                 if n >= HELD or len(held) >= HELD_CHUNKS:

@@ -132,6 +132,16 @@ def test_phrases_on_documents(spark):
     assert collect(queries.QUERIES["op12_phrases"](spark, SF001)) == sorted(brute_phrases(rows, 10), key=key)
 
 
+def test_phrases_are_sent_in_small_batches():
+    """A task holds and sends at most about a million keys of phrases at once, whatever its input."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 8000))) for _ in range(90)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 30), pa.array(texts[i:i + 30])], ["lang", "text"]) for i in (0, 30, 60)]
+    sent = list(phrases._key_counter((1, 2, 3))(iter(batches)))
+    keys = [sum(len(x) // 4 for x in b["keys"].to_pylist()) for b in sent]
+    assert sum(keys) > 2_000_000 and max(keys) <= 600_000
+
+
 def test_phrases_of_long_texts_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK", 5000)
     rows = [("en", "the same three " * 20000), ("en", "a b, c d! e\nf g h. " * 3000 + "tail words"), ("fr", "x.y " * 4000)]
