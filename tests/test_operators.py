@@ -187,6 +187,32 @@ def test_cache_upsert_semantics(spark):
     assert S.cache_misses(stale, two, "mode", '{"p":1}').count() == 1
 
 
+def test_contents_move_once_beside_many_hits(spark, monkeypatch):
+    """Beyond the broadcast bound contents are dealt by path once and not sorted; the rows are the same."""
+    rows = [(f"/r/{n}", n, len(t), t, 1000 + i) for i, (n, t) in enumerate(
+        [("a.py", "class A:\n"), ("b.rs", "fn f() {\n}\n"), ("c.py", "def g(x):\n"), ("d.rs", "struct S;\n"), ("a.py", "class B:\n")])]
+    rows.append((None, "n.py", 3, "x=1", 5))
+    df = spark.createDataFrame(rows, "path string, relative string, size bigint, content string, at bigint").withColumn(
+        "mtime", F.timestamp_seconds("at")).drop("at")
+    _, results = S.incremental_summary(df.where("relative in ('c.py', 'd.rs')"), S.empty_results(spark))
+    stored = spark.read.parquet(S.write_results(results, spark, "many-hits"))
+    few = sorted(map(str, S.incremental_summary(df, stored)[0].collect()))
+    plans, write = {}, S.materialize
+
+    def keep(table, name="table"):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString()
+        return write(table, name)
+
+    monkeypatch.setattr(S, "materialize", keep)
+    monkeypatch.setattr(S, "BROADCAST_HITS", 0, raising=False)
+    desc = S.incremental_summary(df, stored)[0]
+    assert sorted(map(str, desc.collect())) == few and desc.where("from_cache").count() == 2
+    plan = plans["fresh-descriptions"]
+    joins = re.findall(r"(\w+) \[path#\d+\], \[path#\d+\], LeftAnti", plan)
+    assert joins and set(joins) == {"ShuffledHashJoin"}
+    assert "RoundRobinPartitioning" not in plan.split("LeftAnti")[0]  # above the join of the plain files
+
+
 def test_incremental_summary_roundtrip(spark):
     df = files_df(spark, [("a.py", "def f(x):\n"), ("b.py", "class B:\n")])
     first, results = S.incremental_summary(df, S.empty_results(spark))
